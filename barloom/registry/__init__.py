@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bars",)
+MODULES = ("bars", "patterns")
 
 
 def load() -> tuple[dict, dict]:
