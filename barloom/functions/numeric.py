@@ -66,3 +66,15 @@ def scaled_bars(value: int, timeframe: str) -> int:
 def tidy(messages: list[Column]) -> Column:
     """Array of the messages that apply, in order, NULLs removed."""
     return F.filter(F.array(*messages), lambda m: m.isNotNull())
+
+
+def computed_once(df, columns: dict):
+    """Add columns through a one-row ``inline``.
+
+    A later filter on such a column is not pushed below it and its expression is
+    not copied into every consumer. Use it where a long scoring expression feeds
+    many others, on tables that are already reduced.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline(F.array(made)))

@@ -113,7 +113,9 @@ def _span_groups(spans: list[int]) -> list[list[int]]:
     return groups
 
 
-def with_ema(bars: DataFrame, spans: list[int], value: str = "close", prefix: str = "ema") -> DataFrame:
+def with_ema(
+    bars: DataFrame, spans: list[int], value: str = "close", prefix: str = "ema", one_block: bool = False
+) -> DataFrame:
     """Exponential averages with k = 2/(n+1), seeded with the first value.
 
     The recursion E = E' + k (x - E') unrolls to a weighted sum, so it needs no
@@ -124,8 +126,13 @@ def with_ema(bars: DataFrame, spans: list[int], value: str = "close", prefix: st
     where p is the position in the block. L is 20 (n_max + 1): the weight of
     anything older than the previous block is below double precision, and
     q^-L stays far from overflow. Running sums cost O(1) a row.
+
+    ``one_block`` skips the blocks and their sort. It suits weekly and monthly
+    bars, whose histories are short, and raises if one is too long for it.
     """
     w = by_symbol()
+    if one_block:
+        return _one_block_ema(bars, spans, value, prefix)
     out = bars.withColumn("_i", F.row_number().over(w) - 1)
     for number, group in enumerate(_span_groups(spans)):
         length = 20 * (max(group) + 1)
@@ -158,6 +165,26 @@ def with_ema(bars: DataFrame, spans: list[int], value: str = "close", prefix: st
     return out.drop("_i")
 
 
+def _one_block_ema(bars: DataFrame, spans: list[int], value: str, prefix: str) -> DataFrame:
+    w = by_symbol()
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    limit = int(300 * (min(spans) + 1))  # q^-p stays below 1e261
+    position = F.row_number().over(w) - 1
+    guarded = F.when(position < limit, position).otherwise(
+        F.raise_error(F.lit(f"more than {limit} bars in one history; use one_block=False")).cast("int")
+    )
+    out = bars.withColumns({"_i": guarded, "_first": F.first(value).over(so_far)})
+    q = {n: 1.0 - 2.0 / (n + 1) for n in spans}
+    out = out.withColumns({f"_s{n}": F.sum(F.col(value) * F.pow(F.lit(q[n]), -F.col("_i"))).over(so_far) for n in spans})
+    out = out.withColumns(
+        {
+            f"{prefix}{n}": F.pow(F.lit(q[n]), F.col("_i")) * (F.col("_first") * q[n] + F.col(f"_s{n}") * (1 - q[n]))
+            for n in spans
+        }
+    )
+    return out.drop("_i", "_first", *[f"_s{n}" for n in spans])
+
+
 def bounded_ema(name: str, span: int, window: int, value: str = "close") -> Column:
     """The same average restarted ``window - 1`` bars back, from the full-history one.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from barloom.functions.currency import convert, trading_currency, with_rate
+from barloom.functions.numeric import computed_once
 
 # Median daily turnover in USD -> score, log-interpolated between.
 TURNOVER_SCORES = [
@@ -24,7 +25,7 @@ TURNOVER_SCORES = [
 
 def liquidity_score(usd: Column) -> Column:
     floor, floor_score = TURNOVER_SCORES[0]
-    score = F.when(usd <= 0, F.lit(0.0)).when(usd <= floor, usd * floor_score / floor)
+    score = F.when(usd.isNull() | (usd <= 0), F.lit(0.0)).when(usd <= floor, usd * floor_score / floor)
     for (low, low_score), (high, high_score) in zip(TURNOVER_SCORES, TURNOVER_SCORES[1:]):
         share = (F.ln(usd) - math.log(low)) / (math.log(high) - math.log(low))
         score = score.when(usd < high, F.lit(low_score) + share * (high_score - low_score))
@@ -70,12 +71,13 @@ def with_liquidity(df: DataFrame, fx: DataFrame) -> DataFrame:
     out = df.withColumn("currency", trading_currency(F.col("symbol"), F.col("market")))
     out = with_rate(out, fx, "currency", "_rate")
     usd = convert(F.col("turnover"), F.col("currency"), F.lit("USD"), F.col("_rate"), F.lit(1.0))
-    out = out.withColumn("_usd", usd)
-    return out.withColumns(
+    out = computed_once(out, {"_usd": usd})
+    return computed_once(
+        out,
         {
-            "liquidity_score": F.coalesce(liquidity_score(F.col("_usd")), F.lit(0.0)),
+            "liquidity_score": liquidity_score(F.col("_usd")),
             "turnover_usd": F.round("_usd", 2),
             "liquidity_verified": F.col("_usd").isNotNull(),
             "turnover": F.round("turnover", 2),
-        }
+        },
     ).drop("_usd", "_rate")

@@ -133,7 +133,7 @@ def with_pattern_features(
     """
     timeframe = check_timeframe(timeframe)
     w = by_symbol()
-    out = with_ema(bars, [20, 50, 200])
+    out = with_ema(bars, [20, 50, 200], one_block=timeframe != "D")
     first = {"rn": F.row_number().over(w)}
     if keep_last:
         first["_n"] = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
@@ -141,6 +141,15 @@ def with_pattern_features(
         out = out.withColumns(first).filter(F.col("_n") - F.col("rn") < keep_last + 185)
     else:
         out = out.withColumns(first)
+    pivots = {}
+    if "double_bottom" in patterns:
+        pivots["is_low_pivot"] = _guarded_pivot(pivot_low, scaled_bars(5, timeframe), bool(keep_last))
+    if "head_shoulders" in patterns:
+        pivots["is_high_pivot"] = _guarded_pivot(pivot_high, scaled_bars(4, timeframe), bool(keep_last))
+    out = out.withColumns(pivots) if pivots else out
+    if "head_shoulders" in patterns:
+        # Before the frame columns, while rows are narrow.
+        out = _with_shoulders(out, timeframe)
     frames = {k: v for k, v in _frames(timeframe).items() if any(k in _NEEDED.get(p, ()) for p in patterns)}
     out = with_frame_extremes(out, frames)
     volume_base = F.avg("volume").over(frame(-scaled_bars(20, timeframe), -1))
@@ -154,10 +163,6 @@ def with_pattern_features(
     if study_window:
         for n in (20, 50, 200):
             extra[f"ema{n}"] = bounded_ema(f"ema{n}", n, study_window)
-    if "double_bottom" in patterns:
-        extra["is_low_pivot"] = _guarded_pivot(pivot_low, scaled_bars(5, timeframe), bool(keep_last))
-    if "head_shoulders" in patterns:
-        extra["is_high_pivot"] = _guarded_pivot(pivot_high, scaled_bars(4, timeframe), bool(keep_last))
     out = out.withColumns(extra)
     ratio = F.coalesce(F.try_divide(F.col("volume"), F.col("volume_base")), F.lit(1.0))
     out = out.withColumn("vr", ratio)
@@ -169,8 +174,6 @@ def with_pattern_features(
         out = out.withColumn("vr20", F.col("vr"))
     slope = F.when(F.col("rn") > 30, pct_change(F.col("close"), F.col("close_29_back"))).otherwise(F.lit(0.0))
     out = out.withColumn("phase", market_phase(F.col("rn"), slope)).drop("close_29_back", "volume_base")
-    if "head_shoulders" in patterns:
-        out = _with_shoulders(out, timeframe)
     return out
 
 
@@ -197,38 +200,54 @@ def _with_shoulders(df: DataFrame, timeframe: str) -> DataFrame:
     gap = scaled_bars(10, timeframe)
     lookback = scaled_bars(125, timeframe)
     w = by_symbol()
+    pivot = F.col("is_high_pivot")
     # Rows after the previous pivot up to and including the next one share a number.
-    df = df.withColumn("_seg", F.coalesce(F.sum(F.col("is_high_pivot").cast("int")).over(frame(Window.unboundedPreceding, -1)), F.lit(0)))
-    seg = Window.partitionBy("symbol", "_seg").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_seg_low", F.min("low").over(seg))
-    pivot = F.when(
-        F.col("is_high_pivot"),
-        F.struct(F.col("rn"), F.col("high"), F.col("low"), F.col("_seg_low").alias("seg_low")),
-    )
-    df = df.withColumn("_pivot", pivot)
-    df = df.withColumn("_p1", F.expr("lag(_pivot, 1) ignore nulls over (partition by symbol order by date)"))
-    df = df.withColumn("_p2", F.expr("lag(_pivot, 2) ignore nulls over (partition by symbol order by date)"))
-    left, head, right = F.col("_p2"), F.col("_p1"), F.col("_pivot")
-    separated = (head["rn"] - left["rn"] >= gap) & (right["rn"] - head["rn"] >= gap)
-    tall = (head["high"] > left["high"] * 1.04) & (head["high"] > right["high"] * 1.04)
-    even = F.try_divide(F.abs(left["high"] - right["high"]), F.greatest(left["high"], right["high"])) <= 0.15
-    triple = F.when(
-        F.col("is_high_pivot") & separated & tall & even,
-        F.struct(
-            left["rn"].alias("left_rn"),
-            left["high"].alias("left_high"),
-            head["high"].alias("head_high"),
-            right["high"].alias("right_high"),
-            F.least(left["low"], head["seg_low"], right["seg_low"]).alias("neckline"),
-        ),
+    df = df.withColumn("_seg", F.coalesce(F.sum(pivot.cast("int")).over(frame(Window.unboundedPreceding, -1)), F.lit(0)))
+    seg = Window.partitionBy("symbol").orderBy("_seg", "date")
+    inside = Window.partitionBy("symbol", "_seg").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_low", F.when(pivot, F.min("low").over(inside)))
+    # The two pivots before this one, one primitive column each.
+    fields = {"rn": "rn", "high": "high", "low": "low", "_low": "_low"}
+    for name, source in fields.items():
+        df = df.withColumn(f"_v_{name}", F.when(pivot, F.col(source)))
+    lagged = {}
+    for back in (1, 2):
+        for name in fields:
+            lagged[f"_p{back}_{name}"] = F.expr(
+                f"lag(_v_{name}, {back}) ignore nulls over (partition by symbol order by _seg, date)"
+            )
+    df = df.withColumns(lagged)
+    left, head, right = "_p2_", "_p1_", ""
+
+    def at(which: str, name: str) -> Column:
+        return F.col(f"{which}{name}")
+
+    valid = (
+        pivot
+        & (at(head, "rn") - at(left, "rn") >= gap)
+        & (F.col("rn") - at(head, "rn") >= gap)
+        & (at(head, "high") > at(left, "high") * 1.04)
+        & (at(head, "high") > F.col("high") * 1.04)
+        & (F.try_divide(F.abs(at(left, "high") - F.col("high")), F.greatest(at(left, "high"), F.col("high"))) <= 0.15)
     )
-    df = df.withColumn("_triple", triple)
-    seen = F.last("_triple", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -radius))
-    df = df.withColumn("_seen", seen)
-    valid = F.col("_seen")["left_rn"] >= F.col("rn") - (lookback - 1)
-    return df.withColumn("shoulders", F.when(valid, F.col("_seen"))).drop(
-        "_seg", "_seg_low", "_pivot", "_p1", "_p2", "_triple", "_seen"
+    del right
+    df = df.withColumns(
+        {
+            "_t_left": F.when(valid, at(left, "rn")),
+            "_t_head": F.when(valid, at(head, "high")),
+            "_t_neck": F.when(valid, F.least(at(left, "low"), at(head, "_low"), F.col("_low"))),
+        }
     )
+    seen = seg.rowsBetween(Window.unboundedPreceding, -radius)
+    df = df.withColumns({f"_s{c}": F.last(c, ignorenulls=True).over(seen) for c in ("_t_left", "_t_head", "_t_neck")})
+    inside_lookback = F.col("_s_t_left") >= F.col("rn") - (lookback - 1)
+    made = [c for c in df.columns if c.startswith(("_seg", "_low", "_v_", "_p1_", "_p2_", "_t_", "_s_t_"))]
+    return df.withColumns(
+        {
+            "shoulder_neck": F.when(inside_lookback, F.col("_s_t_neck")),
+            "shoulder_head": F.when(inside_lookback, F.col("_s_t_head")),
+        }
+    ).drop(*made)
 
 
 def _hit(name: str, side: str, score: Column, confidence: Column, level: Column) -> Column:
@@ -292,12 +311,9 @@ def cup_handle(timeframe: str) -> Column:
 
 
 def head_shoulders(timeframe: str) -> Column:
-    shoulders = F.col("shoulders")
-    neckline = shoulders["neckline"]
-    height = F.try_divide(shoulders["head_high"] - neckline, F.greatest(neckline, F.lit(0.01)))
-    fires = (
-        (F.col("rn") >= scaled_bars(130, timeframe)) & shoulders.isNotNull() & (F.col("close") < neckline * 0.99)
-    )
+    neckline = F.col("shoulder_neck")
+    height = F.try_divide(F.col("shoulder_head") - neckline, F.greatest(neckline, F.lit(0.01)))
+    fires = (F.col("rn") >= scaled_bars(130, timeframe)) & (F.col("close") < neckline * 0.99)
     return F.when(
         fires,
         _hit(
@@ -319,46 +335,54 @@ def double_bottom_candidate(timeframe: str) -> Column:
     )
 
 
-def _double_bottom_of(timeframe: str) -> str:
-    """SQL lambda body: bar struct ``c`` -> hit struct or NULL.
+def _pairs_of(timeframe: str) -> str:
+    """SQL: all usable foot pairs of a symbol, from ``_highs`` and ``_feet``.
+
+    What does not depend on the evaluated bar is settled once per pair: the
+    distance, the match of the lows, the neckline and the rise to it, the prior
+    decline. Feet are at most a lookback apart, so a foot has few partners.
+    Ordering by (right, -left) makes ``array_max`` pick the latest right foot
+    and, on ties, the first left foot.
+    """
+
+    def b(n: int) -> int:
+        return scaled_bars(n, timeframe)
 
-    Reads the per-symbol arrays ``_highs`` (1-based, bar number - ``_base``) and
-    ``_feet`` (low pivots in order). ``array_max`` over (right, -left, ...) picks
-    the latest right foot and, on ties, the first left foot.
+    return f"""
+      filter(
+        transform(
+          flatten(transform(_feet, (r, i) -> transform(
+            filter(slice(_feet, greatest(1, i + 1 - {b(120)}), least(i, {b(120)})),
+                   l -> r.rn - l.rn between {b(18)} and {b(120) - 1 - b(5)}
+                        and try_divide(abs(l.low - r.low), greatest(l.low, r.low)) <= 0.05D),
+            l -> struct(r.rn as right, -l.rn as neg_left, l.low as left_low, least(l.low, r.low) as foot)))),
+          p -> struct(p.right as right, p.neg_left as neg_left, p.left_low as left_low, p.foot as foot,
+                 array_max(slice(_highs, -p.neg_left - _base, p.right + p.neg_left + 1)) as neck,
+                 array_max(slice(_highs, greatest(1, -p.neg_left - {b(60)} - _base),
+                           -p.neg_left - _base - greatest(1, -p.neg_left - {b(60)} - _base) + 1)) as prior)),
+        p -> (p.neck - p.foot) / nullif(p.foot, 0D) * 100 >= 8.0D)
     """
 
+
+def _double_bottom_of(timeframe: str) -> str:
+    """SQL lambda body: bar struct ``c`` -> hit struct or NULL, given ``_pairs``."""
+
     def b(n: int) -> int:
         return scaled_bars(n, timeframe)
 
     return f"""
       transform(
-        array(transform(
-          array(array_max(filter(
-            flatten(transform(
-              filter(_feet, p -> p.rn >= c.rn - {b(120) - 1} and p.rn <= c.rn - {b(5)}),
-              r -> transform(
-                filter(_feet, l -> l.rn >= c.rn - {b(120) - 1} and r.rn - l.rn >= {b(18)}
-                       and try_divide(abs(l.low - r.low), greatest(l.low, r.low)) <= 0.05D
-                       and least(l.low, r.low) <= c.base_lo * 1.06D),
-                l -> named_struct('right', r.rn, 'neg_left', -l.rn, 'left_low', l.low, 'right_low', r.low,
-                     'neck', array_max(slice(_highs, l.rn - _base, r.rn - l.rn + 1))))
-            )),
-            s -> (s.neck - least(s.left_low, s.right_low)) / nullif(least(s.left_low, s.right_low), 0D) * 100 >= 8.0D
-          ))),
-          s -> named_struct('s', s,
-               'prior', array_max(slice(_highs, greatest(1, -s.neg_left - {b(60)} - _base),
-                        -s.neg_left - _base - greatest(1, -s.neg_left - {b(60)} - _base) + 1)),
-               'depth', (s.neck - least(s.left_low, s.right_low)) / nullif(least(s.left_low, s.right_low), 0D) * 100)
-        )),
-        a -> if(a[0].s is not null
-                and (a[0].prior - a[0].s.left_low) / nullif(a[0].s.left_low, 0D) * 100 >= 12.0D
-                and c.close > a[0].s.neck * 1.005D
-                and c.confirm_close_lo <= a[0].s.neck * 1.005D
-                and (c.close - a[0].s.neck) / nullif(a[0].s.neck, 0D) * 100 <= 12.0D,
+        array(array_max(filter(_pairs, p -> p.right <= c.rn - {b(5)} and -p.neg_left >= c.rn - {b(120) - 1}
+                               and p.foot <= c.base_lo * 1.06D))),
+        s -> if(s is not null
+                and (s.prior - s.left_low) / nullif(s.left_low, 0D) * 100 >= 12.0D
+                and c.close > s.neck * 1.005D
+                and c.confirm_close_lo <= s.neck * 1.005D
+                and (c.close - s.neck) / nullif(s.neck, 0D) * 100 <= 12.0D,
              named_struct('name', 'double_bottom', 'side', 'BUY',
-               'score', least(94.0D, 61.0D + a[0].depth * 0.7D + least(12.0D, c.vr * 4)),
-               'confidence', least(94.0D, 60.0D + a[0].depth * 0.65D + least(10.0D, c.vr * 3)),
-               'level', a[0].s.neck), null)
+               'score', least(94.0D, 61.0D + (s.neck - s.foot) / nullif(s.foot, 0D) * 70 + least(12.0D, c.vr * 4)),
+               'confidence', least(94.0D, 60.0D + (s.neck - s.foot) / nullif(s.foot, 0D) * 65 + least(10.0D, c.vr * 3)),
+               'level', s.neck), null)
       )[0]
     """
 
@@ -411,39 +435,31 @@ def detect(
 
     # One row per symbol: the arrays are bounded by the number of bars, and the
     # grouping reuses the partitioning of the windows, so nothing moves.
-    fields = ["rn", "date", "close", "vr", "base_lo", "confirm_close_lo", *[k for k in keep if k not in ("close", "vr")]]
-    fields = list(dict.fromkeys(fields))
-    candidate = wanted & double_bottom_candidate(timeframe)
-    base = features.withColumn("_r", direct if direct is not None else F.expr("cast(null as array<int>)"))
-    has_direct = wanted & (F.size("_r") > 0) if direct is not None else F.lit(False)
-    bar = F.struct(
-        *[F.col(c) for c in fields],
-        F.coalesce(candidate, F.lit(False)).alias("_candidate"),
-        *([F.col("_r")] if direct is not None else []),
-    )
+    fields = list(dict.fromkeys(["rn", "date", "close", "vr", "base_lo", "confirm_close_lo", *keep]))
+    candidate = F.coalesce(wanted & double_bottom_candidate(timeframe), F.lit(False))
+    base = features.withColumn("_candidate", candidate)
+    direct_fires = F.lit(False)
+    if direct is not None:
+        base = base.withColumn("_r", direct)
+        direct_fires = wanted & (F.size("_r") > 0)
+        fields.append("_r")
+    bar = F.struct(*[F.col(c) for c in fields], F.col("_candidate"))
     grouped = base.groupBy("symbol").agg(
         F.sort_array(F.collect_list(F.struct("rn", "high"))).alias("_h"),
         F.sort_array(F.collect_list(F.when(F.col("is_low_pivot"), F.struct("rn", "low")))).alias("_feet"),
-        F.sort_array(F.collect_list(F.when(has_direct | candidate, F.struct(F.col("rn").alias("k"), bar.alias("c"))))).alias(
-            "_bars"
-        ),
+        F.collect_list(F.when(direct_fires | F.col("_candidate"), bar)).alias("_bars"),
     )
-    grouped = grouped.filter(F.size("_bars") > 0).select(
-        "symbol",
-        F.col("_h")["high"].alias("_highs"),
-        (F.col("_h")[0]["rn"] - 1).alias("_base"),
-        "_feet",
-        F.col("_bars")["c"].alias("_cands"),
-    )
-    found = grouped.select(
-        "symbol",
-        F.expr(
-            f"transform(_cands, c -> named_struct('c', c, 'db', if(c._candidate, {_double_bottom_of(timeframe)}, null)))"
-        ).alias("_found"),
+    grouped = (
+        grouped.filter(F.size("_bars") > 0)
+        .select("symbol", F.col("_h")["high"].alias("_highs"), (F.col("_h")[0]["rn"] - 1).alias("_base"), "_feet", "_bars")
+        .select("symbol", "_bars", F.inline(F.array(F.struct(F.expr(_pairs_of(timeframe)).alias("_pairs")))))
     )
-    rows = found.select("symbol", F.explode("_found").alias("x")).select(
-        "symbol", F.col("x.c").alias("c"), F.col("x.db").alias("db")
+    searched = F.expr(
+        f"transform(_bars, c -> named_struct('c', c, 'db', if(c._candidate, {_double_bottom_of(timeframe)}, null)))"
     )
+    if direct is None:
+        searched = F.filter(searched, lambda x: x["db"].isNotNull())
+    rows = grouped.select("symbol", F.inline(searched))
     double = ranked(F.col("db"), "double_bottom")
     parts = [F.array_compact(F.array(double))]
     if direct is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.currency import convert, price_scale, with_rate
+from barloom.functions.numeric import computed_once
 
 
 def derive_valuation(snapshots: DataFrame, fx: DataFrame, price: str = "last_price") -> DataFrame:
@@ -36,21 +37,23 @@ def derive_valuation(snapshots: DataFrame, fx: DataFrame, price: str = "last_pri
         .when(last.isNull() | (last <= 0), "no_last_price")
         .when(F.col("_aligned").isNull(), "no_exchange_rate")
     )
-    out = out.withColumn("_aligned", aligned).withColumn("_reason", reason)
+    out = computed_once(out, {"_aligned": aligned})
+    out = computed_once(out, {"_reason": reason})
     open_for = F.col("_reason").isNull()
     pe = F.when(open_for & (F.col("eps") > 0), F.round(F.col("_aligned") / F.col("eps"), 2))
     pbv = F.when(
         open_for & (F.col("book_value_per_share") > 0), F.round(F.col("_aligned") / F.col("book_value_per_share"), 2)
     )
     converted = open_for & ~F.col("_trading").eqNullSafe(F.col("_reporting"))
-    out = out.withColumns(
+    out = computed_once(
+        out,
         {
             "pe": pe,
             "pbv": pbv,
             "upside_pct": F.when(fair.isNotNull() & (last != 0), F.round((fair / last - 1) * 100, 2)),
             "fx_adjusted": F.coalesce(converted, F.lit(False)),
             "fx_rate": F.when(converted, F.round(F.try_divide(F.col("_aligned"), quoted), 6)),
-        }
+        },
     )
     verified = F.col("_reason").isNull() & (F.col("pe").isNotNull() | F.col("pbv").isNotNull())
     note = (
@@ -60,8 +63,5 @@ def derive_valuation(snapshots: DataFrame, fx: DataFrame, price: str = "last_pri
         .when(F.col("fx_adjusted"), "converted_to_reporting_currency")
         .otherwise("same_currency")
     )
-    return (
-        out.withColumn("valuation_verified", verified)
-        .withColumn("valuation_note", note)
-        .drop("_trading", "_reporting", "_from", "_to", "_aligned", "_reason")
-    )
+    out = computed_once(out, {"valuation_verified": verified}).withColumn("valuation_note", note)
+    return out.drop("_trading", "_reporting", "_from", "_to", "_aligned", "_reason")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bars", "patterns")
+MODULES = ("bars", "patterns", "statements", "scan", "profiles")
 
 
 def load() -> tuple[dict, dict]:

@@ -125,16 +125,15 @@ def _fr(first, last):
     return f"OVER ({_W} ROWS BETWEEN {side(first)} AND {side(last)})"
 
 
-def features_sql(timeframe, source=None):
-    """CTEs ending in ``f``: all features plus one struct-free column set per detector."""
+def features_sql(timeframe, base="smooth_bars", ctes=()):
+    """CTEs ending in ``all_hits``: features and one row per hit. ``ctes`` may define ``base``."""
     b = lambda n: scaled_bars(n, timeframe)
     cup = b(170)
-    ctes = [S.SMOOTH]
-    name = "smooth_bars"
+    ctes = [S.SMOOTH, *ctes]
+    name = base
     if timeframe != "D":
-        ctes.append(S.resampled("smooth_bars", "tf_bars", timeframe))
+        ctes.append(S.resampled(base, "tf_bars", timeframe))
         name = "tf_bars"
-    name = source or name
     ctes += [S.numbered(name, "nb"), S.ema("nb", "em")]
     ctes.append(
         f"""

@@ -109,7 +109,7 @@ def main():
         try:
             ok, note = compare(spark, con, queries[name], sql.get(name), args.dir)
         except Exception as error:  # report and go on
-            ok, note = False, f"{type(error).__name__}: {str(error)[:1500]}"
+            ok, note = False, f"{type(error).__name__}: {str(error)[:600]}"
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - started:.1f}s {note}", flush=True)
         if not ok:
             failed.append(name)
