@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from barloom.functions.xirr import xirr
+from barloom.functions.numeric import computed_once
+from barloom.functions.xirr import with_xirr
 
 # Securities whose predecessor equity was cancelled.
 HISTORY_BREAKS = [("CHRD", "2020-11-20", "predecessor shares cancelled in 2020; the later listing is not the same holding")]
@@ -98,7 +99,8 @@ def evaluate_plans(
         "_m", lambda m, i: F.struct(m["d"].alias("d"), F.when(i == 0, F.lit(-initial)).otherwise(F.lit(-monthly)).alias("a"))
     )
     flows = F.concat(payments, F.array(F.struct(F.col("end_date").alias("d"), F.col("ending_value").alias("a"))))
-    out = kept.withColumn("ending_value", value).withColumn("annualized", xirr(flows)).filter("annualized is not null")
+    out = computed_once(kept, {"ending_value": value})
+    out = with_xirr(out, flows, "annualized").filter("annualized is not null")
     invested = F.lit(initial) + F.lit(monthly) * (F.col("months") - 1)
     span = F.greatest(F.datediff("end_date", "start_date") / 365.2425, F.lit(0.01))
     fall = F.aggregate(

@@ -307,10 +307,10 @@ def valuation_methods() -> Column:
 
 
 def median_of(values: Column) -> Column:
-    """Median of a sorted, non-empty array."""
+    """Median of a sorted array; NULL when it is empty."""
     n = F.size(values)
-    low = F.floor((n + 1) / 2).cast("int")
-    high = F.floor((n + 2) / 2).cast("int")
+    low = F.greatest(F.lit(1), F.floor((n + 1) / 2).cast("int"))
+    high = F.greatest(F.lit(1), F.floor((n + 2) / 2).cast("int"))
     return (F.try_element_at(values, low) + F.try_element_at(values, high)) / 2
 
 
@@ -357,9 +357,11 @@ def series_summary() -> Column:
         ("revenue", "total_revenue"), ("net_income", "net_income"), ("eps", "basic_eps"), ("operating_cash_flow", "operating_cash_flow"))]
     rows += [(k, trend_change(k), k) for k in ("roe", "gross_margin", "net_margin")]
     rows.append(("debt_to_equity", trend_change("debt_to_equity", higher_is_better=False, threshold=0.05), "debt_to_equity"))
-    return F.array(
-        *[F.struct(F.lit(k).alias("key"), F.transform("a", lambda p, m=m: p[m]).alias("values"), t.alias("trend")) for k, t, m in rows]
-    )
+
+    def values(name: str) -> Column:
+        return F.transform("a", lambda p: p[name])
+
+    return F.array(*[F.struct(F.lit(k).alias("key"), values(m).alias("values"), t.alias("trend")) for k, t, m in rows])
 
 
 def price_return(bars: DataFrame) -> DataFrame:
