@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bars", "patterns", "statements", "scan", "profiles")
+MODULES = ("bars", "patterns", "statements", "scan", "profiles", "feeds")
 
 
 def load() -> tuple[dict, dict]:
