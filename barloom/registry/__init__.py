@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bars", "patterns", "statements", "scan", "profiles", "feeds")
+MODULES = ("bars", "patterns", "statements", "scan", "profiles", "feeds", "texts")
 
 
 def load() -> tuple[dict, dict]:
