@@ -91,7 +91,9 @@ def business_summaries(spark, d):
 
 
 def customer_sentences(spark, d):
-    text = F.regexp_replace("text", r"\b(of|und|de|y)\b", "one customer")
+    text = F.col("text")
+    for word in (" of ", " und ", " de ", " y "):
+        text = F.replace(text, F.lit(word), F.lit(" one customer "))
     return _docs(spark, d).select("doc_id", FI.customer_concentration(text).alias("customers")).filter("customers <> ''")
 
 
@@ -156,7 +158,7 @@ SELECT doc_id, CASE WHEN len(t) >= 400 THEN len(t) ELSE 0 END AS chars, md5(CASE
 k AS (SELECT *, sum(len(line)) OVER (PARTITION BY doc_id ORDER BY i) - len(line) AS before FROM l WHERE len(line) >= 120 AND NOT regexp_matches(line, '(?i)^(part\\s+[ivx]+\\b|table of contents)'))
 SELECT d.doc_id, coalesce(trim(left(string_agg(k.line, ' ' ORDER BY k.i), 1100)), '') AS summary FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.before <= 1100 GROUP BY d.doc_id""",
     "customer_sentences": f"""WITH h AS (SELECT doc_id, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS h, i FROM documents,
-  unnest(regexp_extract_all(regexp_replace(text, '\\b(of|und|de|y)\\b', 'one customer', 'g'), '(?i){FI.CUSTOMER_PATTERN}')) WITH ORDINALITY AS u(x, i)),
+  unnest(regexp_extract_all(replace(replace(replace(replace(text, ' of ', ' one customer '), ' und ', ' one customer '), ' de ', ' one customer '), ' y ', ' one customer '), '(?i){FI.CUSTOMER_PATTERN}')) WITH ORDINALITY AS u(x, i)),
 d AS (SELECT doc_id, h, min(i) AS i FROM h WHERE h <> '' GROUP BY 1, 2),
 k AS (SELECT *, sum(len(h) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(h) - 2 AS before FROM d)
 SELECT doc_id, left(string_agg(h, ' ' ORDER BY i), 700) AS customers FROM k WHERE before <= 700 GROUP BY 1""",
