@@ -184,14 +184,19 @@ def evidence(edges: DataFrame, timeframe: str) -> DataFrame:
     )
 
 
-def best_evidence(signals: DataFrame, evidence_table: DataFrame) -> DataFrame:
-    """Evidence of the strongest fired pattern per (symbol, date).
+def with_best_evidence(signals: DataFrame, evidence_table: DataFrame, hits: str = "patterns") -> DataFrame:
+    """Add the evidence of the strongest fired pattern of each row.
 
-    ``signals``: symbol, date, pattern, position (rank among the hits). Tradeable
-    patterns come first, then measured ones by edge, then the first that fired.
-    The evidence table has one row per pattern and timeframe.
+    Tradeable patterns come first, then measured ones by edge, then the first
+    that fired. Hits are exploded, matched and folded back in one pass, so the
+    signals are not computed twice. The evidence table has one row per pattern
+    and timeframe; there is one row per (symbol, date) in ``signals``.
     """
-    joined = signals.join(F.broadcast(evidence_table), "pattern", "left").withColumns(
+    others = [c for c in signals.columns if c not in ("symbol", "date")]
+    fired = signals.select("symbol", "date", F.struct(*others).alias("_row"), F.posexplode(hits).alias("_pos", "_hit")).withColumn(
+        "pattern", F.col("_hit.name")
+    )
+    joined = fired.join(F.broadcast(evidence_table), "pattern", "left").withColumns(
         {
             "available": F.coalesce("available", F.lit(False)),
             "tradeable": F.coalesce("tradeable", F.lit(False)),
@@ -199,17 +204,13 @@ def best_evidence(signals: DataFrame, evidence_table: DataFrame) -> DataFrame:
         }
     )
     rank = F.when(F.col("tradeable"), 2).when(F.col("available"), 1).otherwise(0)
-    # max_by keeps one row per key with a partial aggregate, no sort.
     # A measured edge of exactly zero ranks below any other measured one.
     edge = F.when(F.col("tradeable"), F.col("return_edge_pp")).otherwise(F.expr("nullif(return_edge_pp, 0D)"))
     weight = F.when(rank == 0, F.lit(0.0)).otherwise(F.coalesce(edge, F.lit(-999.0)))
-    kept = [
-        c
-        for c in ("pattern", "available", "tradeable", "verdict", "signals", "horizon_bars", "return_edge_pp", "hit_rate_edge_pp")
-        if c in joined.columns
-    ]
+    kept = ["pattern", "available", "tradeable", "verdict", "signals", "horizon_bars", "return_edge_pp", "hit_rate_edge_pp"]
+    best = F.struct(rank.alias("r"), weight.alias("w"), (-F.col("_pos")).alias("p"), F.struct(*[c for c in kept if c in joined.columns]).alias("e"))
     return (
         joined.groupBy("symbol", "date")
-        .agg(F.max(F.struct(rank.alias("r"), weight.alias("w"), (-F.col("position")).alias("p"), F.struct(*kept).alias("e"))).alias("b"))
-        .select("symbol", "date", F.col("b.e").alias("evidence"))
+        .agg(F.max(best).alias("b"), F.first("_row").alias("_row"))
+        .select("symbol", "date", *[F.col(f"_row.{c}").alias(c) for c in others], F.col("b.e").alias("evidence"))
     )

@@ -14,7 +14,7 @@ from barloom.operators.filters import eligible, expected_eod, is_fresh
 from barloom.operators.liquidity import tail_metrics, with_liquidity
 from barloom.operators.patterns import SCAN_PATTERNS, detect, technical_score, with_pattern_features
 from barloom.operators.risk import risk_plan
-from barloom.operators.study import best_evidence
+from barloom.operators.study import with_best_evidence
 from barloom.operators.valuation import derive_valuation
 
 
@@ -52,10 +52,7 @@ def scan_market(
     if evidence is None:
         hits = hits.withColumn("evidence", F.lit(None).cast("struct<pattern:string,tradeable:boolean,verdict:string>"))
     else:
-        fired = hits.select("symbol", "date", F.posexplode("patterns").alias("position", "h")).select(
-            "symbol", "date", "position", F.col("h.name").alias("pattern")
-        )
-        hits = hits.join(best_evidence(fired, evidence), ["symbol", "date"], "left")
+        hits = with_best_evidence(hits, evidence)
 
     base = names.drop(*[c for c in ("liquidity_score", "turnover_usd", "currency") if c in names.columns])
     out = hits.drop("date").join(tail_metrics(daily), "symbol").join(base, "symbol")
