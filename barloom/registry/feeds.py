@@ -336,5 +336,5 @@ g AS (SELECT symbol, date - DATE '1995-01-01' AS i, CASE WHEN volume % 3 = 0 THE
 h AS (SELECT symbol, i, v, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS li,
   min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ri FROM g),
 j AS (SELECT h.symbol, h.i, l.v AS lv, r.v AS rv, li, ri FROM h LEFT JOIN g l ON l.symbol = h.symbol AND l.i = li LEFT JOIN g r ON r.symbol = h.symbol AND r.i = ri)""")
-    + "SELECT symbol, i, round(CASE WHEN li IS NULL THEN rv WHEN ri IS NULL THEN lv WHEN li = ri THEN lv ELSE lv + (rv - lv) * (i - li) / (ri - li) END, 6) AS v FROM j WHERE li IS NOT NULL OR ri IS NOT NULL",
+    + "SELECT symbol, i, round(CASE WHEN li IS NULL THEN rv WHEN ri IS NULL THEN lv WHEN li = ri THEN lv ELSE lv * (1 - (i - li) / (ri - li)::DOUBLE) + rv * ((i - li) / (ri - li)::DOUBLE) END, 6) AS v FROM j WHERE li IS NOT NULL OR ri IS NOT NULL",
 }

@@ -89,7 +89,7 @@ def company_types(spark, d):
 def fair_values(spark, d):
     out = _profiles(spark, d)
     return out.select(
-        "symbol", "price_in_reporting", "fx_adjusted", F.size("pe_history").alias("pe_years"),
+        "symbol", "fx_adjusted", F.size("pe_history").alias("pe_years"),
         F.concat_ws("|", F.transform("methods", lambda m: m["key"])).alias("methods"), "fair_value", "spread", "estimates_agree",
         "margin_of_safety_pct", "verdict", "passed_checks",
     )
@@ -227,17 +227,17 @@ qq AS (
 cur AS (
   SELECT symbol, {RC._QUOTE} AS trading, CASE WHEN CAST(substr(symbol, 2) AS BIGINT) % 4 = 0 THEN 'USD' ELSE {RC._QUOTE} END AS reporting FROM listing
 ),
-fxr AS (SELECT symbol, trading, reporting, CASE WHEN trading = reporting THEN 1.0 ELSE {RC._RATE.format('reporting')} / {RC._RATE.format('trading')} END AS k FROM cur),
+fxr AS (SELECT symbol, trading, reporting, CASE WHEN trading = reporting THEN 1.0 ELSE {RC._RATE.format('trading')} END::DOUBLE AS kf, CASE WHEN trading = reporting THEN 1.0 ELSE {RC._RATE.format('reporting')} END::DOUBLE AS kt FROM cur),
 pc AS (
   SELECT a.symbol, a.period_end, a.basic_eps, (SELECT arg_max(b.close, b.date) FROM smooth_bars b WHERE b.symbol = a.symbol AND b.date <= a.period_end) AS px FROM ap a
 ),
-ph AS (SELECT p.symbol, count(*) AS years, avg(round(px * k / basic_eps, 2)) AS mean_pe FROM pc p JOIN fxr ON fxr.symbol = p.symbol
-  WHERE basic_eps > 0 AND px * k IS NOT NULL GROUP BY 1),
+ph AS (SELECT p.symbol, count(*) AS years, avg(round(px / kf * kt / basic_eps, 2)) AS mean_pe FROM pc p JOIN fxr ON fxr.symbol = p.symbol
+  WHERE basic_eps > 0 AND px / kf * kt IS NOT NULL GROUP BY 1),
 lp AS (SELECT symbol, arg_max(close, date) AS last FROM smooth_bars GROUP BY 1),
 fv0 AS (
-  SELECT q.*, fxr.trading, fxr.reporting, last * k AS price, nullif(coalesce(eq, 0) / sh, 0) AS bps, coalesce(ph.years, 0) AS pe_years,
+  SELECT q.*, fxr.trading, fxr.reporting, last / kf * kt AS price, nullif(coalesce(eq, 0) / sh, 0) AS bps, coalesce(ph.years, 0) AS pe_years,
     CASE WHEN ph.years > 0 AND e2 > 0 THEN round(mean_pe * e2, 4) END AS m1, CASE WHEN e2 > 0 AND ec >= 10 THEN round(least(ec, 40) * e2, 4) END AS m2,
-    CASE WHEN CAST(substr(q.symbol, 2) AS BIGINT) % 2 = 0 THEN round(((CAST(substr(q.symbol, 2) AS BIGINT) % 10) * 10000.0::DOUBLE + 20000) * k, 4) END AS m4,
+    CASE WHEN CAST(substr(q.symbol, 2) AS BIGINT) % 2 = 0 THEN round(((CAST(substr(q.symbol, 2) AS BIGINT) % 10) * 10000.0::DOUBLE + 20000) / kf * kt, 4) END AS m4,
     CAST(substr(q.symbol, 2) AS BIGINT) % 3 = 0 AS business_ok
   FROM qq q JOIN fxr ON fxr.symbol = q.symbol LEFT JOIN ph ON ph.symbol = q.symbol LEFT JOIN lp ON lp.symbol = q.symbol
 ),
@@ -285,7 +285,7 @@ g AS (SELECT symbol, min(date) AS start_date, max(date) AS end_date, arg_min(px,
   WHEN coalesce(rc, pc) >= 20 THEN 'fast_grower' WHEN coalesce(rc, pc) >= 8 THEN 'stalwart' ELSE 'slow_grower' END AS company_type,
   round(rc, 4) AS revenue_cagr, round(pc, 4) AS profit_cagr, round(vol, 4) AS profit_volatility, round(pbv, 2) AS pbv FROM fv""",
     "fair_values": S.with_(*_PROF)
-    + """SELECT symbol, round(price, 4) AS price_in_reporting, price IS NOT NULL AND trading <> reporting AS fx_adjusted, pe_years,
+    + """SELECT symbol, price IS NOT NULL AND trading <> reporting AS fx_adjusted, pe_years,
   concat_ws('|', CASE WHEN m1 IS NOT NULL THEN 'historical_pe' END, CASE WHEN m2 IS NOT NULL THEN 'peg' END, CASE WHEN bps IS NOT NULL THEN 'book_value' END,
     CASE WHEN m4 IS NOT NULL THEN 'analyst' END) AS methods, round(fair, 4) AS fair_value, round(spread, 2) AS spread, agree AS estimates_agree,
   round(mos, 2) AS margin_of_safety_pct, CASE WHEN NOT quality_ok THEN 'avoid' WHEN NOT business_ok THEN 'research' WHEN price_ok THEN 'buy' ELSE 'wait' END AS verdict,

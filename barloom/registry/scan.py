@@ -39,9 +39,11 @@ def snapshots(spark, d):
         (F.max_by("operating_cash_flow", "period_end") > 0).alias("financial_history_complete")
     )
     fields = fields.join(complete, "symbol")
-    return SN.assemble(
-        T.listing(spark, d), T.listing(spark, d), None, fields, O.reviews(spark, d), O.currencies(spark, d)
-    )
+    names = T.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"))
+    out = SN.assemble(names, T.listing(spark, d), None, fields, O.reviews(spark, d))
+    # Here the suffix is not part of the symbol, so the market decides the currency.
+    number = F.substring("symbol", 2, 20).cast("long")
+    return out.withColumn("reporting_currency", F.when(number % 4 == 0, "USD").otherwise(F.col("trading_currency")))
 
 
 def expected_eod(spark, d):
