@@ -217,7 +217,7 @@ def _with_shoulders(df: DataFrame, timeframe: str) -> DataFrame:
                 f"lag(_v_{name}, {back}) ignore nulls over (partition by symbol order by _seg, date)"
             )
     df = df.withColumns(lagged)
-    left, head, right = "_p2_", "_p1_", ""
+    left, head = "_p2_", "_p1_"
 
     def at(which: str, name: str) -> Column:
         return F.col(f"{which}{name}")
@@ -230,7 +230,6 @@ def _with_shoulders(df: DataFrame, timeframe: str) -> DataFrame:
         & (at(head, "high") > F.col("high") * 1.04)
         & (F.try_divide(F.abs(at(left, "high") - F.col("high")), F.greatest(at(left, "high"), F.col("high"))) <= 0.15)
     )
-    del right
     df = df.withColumns(
         {
             "_t_left": F.when(valid, at(left, "rn")),

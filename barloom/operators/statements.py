@@ -125,7 +125,6 @@ def align_quarters(quarters: DataFrame, annual: DataFrame) -> DataFrame:
     """
     years = annual.select("symbol", F.col("period_end").alias("_end"), F.col("fiscal_year").alias("_fy"))
     last = years.groupBy("symbol").agg(F.max("_end").alias("_last"), F.max_by("_fy", "_end").alias("_last_fy"))
-    gap = F.datediff(F.col("_end"), F.col("period_end"))
     # Only the nearest enclosing year counts: collect the few candidates per symbol.
     ends = years.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_end", "_fy"))).alias("_years"))
     out = quarters.join(ends, "symbol", "left").join(last, "symbol", "left")
@@ -138,7 +137,6 @@ def align_quarters(quarters: DataFrame, annual: DataFrame) -> DataFrame:
     elapsed = F.datediff(F.col("period_end"), F.col("_last"))
     inside = F.greatest(F.lit(1), F.least(F.lit(4), F.lit(4) - F.bround(remaining / 91.31).cast("int")))
     after = F.greatest(F.lit(1), F.least(F.lit(3), F.bround(elapsed / 91.31).cast("int")))
-    del gap
     return (
         out.filter(F.col("_years").isNull() | F.col("_y").isNotNull() | elapsed.between(45, 310))
         .withColumns(

@@ -90,7 +90,7 @@ def fair_values(spark, d):
     out = _profiles(spark, d)
     return out.select(
         "symbol", "fx_adjusted", F.size("pe_history").alias("pe_years"),
-        F.concat_ws("|", F.transform("methods", lambda m: m["key"])).alias("methods"), "fair_value", "spread", "estimates_agree",
+        F.concat_ws("|", F.transform("methods", lambda m: m["key"])).alias("methods"), "fair_value_low", "fair_value_high", "spread", "estimates_agree",
         "margin_of_safety_pct", "verdict", "passed_checks",
     )
 
@@ -287,7 +287,7 @@ g AS (SELECT symbol, min(date) AS start_date, max(date) AS end_date, arg_min(px,
     "fair_values": S.with_(*_PROF)
     + """SELECT symbol, price IS NOT NULL AND trading <> reporting AS fx_adjusted, pe_years,
   concat_ws('|', CASE WHEN m1 IS NOT NULL THEN 'historical_pe' END, CASE WHEN m2 IS NOT NULL THEN 'peg' END, CASE WHEN bps IS NOT NULL THEN 'book_value' END,
-    CASE WHEN m4 IS NOT NULL THEN 'analyst' END) AS methods, round(fair, 4) AS fair_value, round(spread, 2) AS spread, agree AS estimates_agree,
+    CASE WHEN m4 IS NOT NULL THEN 'analyst' END) AS methods, round(list_min(est), 4) AS fair_value_low, round(list_max(est), 4) AS fair_value_high, round(spread, 2) AS spread, agree AS estimates_agree,
   round(mos, 2) AS margin_of_safety_pct, CASE WHEN NOT quality_ok THEN 'avoid' WHEN NOT business_ok THEN 'research' WHEN price_ok THEN 'buy' ELSE 'wait' END AS verdict,
   quality_ok::INT + business_ok::INT + value_ok::INT + price_ok::INT AS passed_checks FROM fv""",
     "growth_snapshot": S.with_(*_PROF)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barloom.functions import currency as C
@@ -298,9 +300,6 @@ def _risk_sql(bearish):
 
 def _scan_ctes():
     study = RP._study_ctes()
-    rename = {n: f"scan_{n}" for n in ("tf_bars", "tf_bars_all", "nb", "em", "f0", "f", "all_hits")}
-    import re
-
     scan = RP.features_sql("W", base="done")[1:]
     names = (
         "tf_bars_all tf_bars nb em f0 f breakout retest cup_handle low_pivots db_bars feet necks chosen double_bottom high_pivots "
@@ -310,7 +309,6 @@ def _scan_ctes():
     for name in names:
         # Names are CTE references unless quoted or aliased as a column.
         text = re.sub(rf"(?<=FROM )({name})\b|(?<=JOIN )({name})\b|(?m:^)({name})(?= AS \()", f"scan_{name}", text)
-    del rename
     return [*study, RP_EDGES, _DAY, TAIL, LIQ, *_SNAP, text, _STOPS, _SCAN]
 
 
