@@ -288,3 +288,15 @@ def test_expected_eod_steps_over_weekends(spark):
     df = spark.createDataFrame([(day(d),) for d in days], "d date")
     got = [r[0].isoformat() for r in df.select(expected_eod(F.col("d"))).collect()]
     assert got == ["2026-08-14", "2026-08-14", "2026-08-14", "2026-08-18"]
+
+
+def test_detection_needs_one_exchange(spark, tmp_path):
+    make(spark, series(walk(1)[0])).write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    for timeframe in ("D", "W"):
+        found = P.detect(P.with_pattern_features(bars, timeframe, P.STUDY_PATTERNS, P.STUDY_WINDOW), timeframe, P.STUDY_PATTERNS)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Python" not in plan
+    recent = B.completed(bars, "2020-06-01").select("symbol", "close")
+    scan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(date," in scan and "volume" not in scan.split("ReadSchema")[1]
