@@ -20,7 +20,7 @@ PRICE_ALIASES = {
     "adjusted_open": ("adjusted_open",),
 }
 REQUIRED = ("date", "open", "high", "low", "close")
-FILE_PREFIXES = ("prices_", "tradingview_")
+FILE_PREFIXES = (r"(?:[a-z]+_)?prices_", "tradingview_")
 
 
 def read_text_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
