@@ -21,15 +21,15 @@ OP9_SQL = r"""
 WITH split AS (
     SELECT doc_id, coalesce(text, '') AS body,
            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-           list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents
-), place AS (
+), starts AS (
     SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM split
 ), win AS (
-    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM place
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM starts
 ), again AS (
-    SELECT doc_id, count(DISTINCT at) AS n_repeat_words
-    FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at FROM win WHERE times > 1) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+    FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM win WHERE times > 1) GROUP BY doc_id
 ), base AS (
     SELECT doc_id, body, words, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
            length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
