@@ -85,9 +85,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("windows", "hits")
 
 
-def measured(stats: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Cost in seconds and share of rejected rows of each rule, on a bounded sample."""
-    sample = stats.limit(sample_rows).cache()
+def measured(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+    """Cost in seconds and share of rejected rows of each rule, on a bounded sample: the first rows that a scan gives."""
+    taken = docs.select(F.col(text).alias("text")).limit(sample_rows).collect()
+    sample = statistics(docs.sparkSession.createDataFrame(taken, "text string")).cache()
     try:
         total = sample.count()
 
@@ -115,7 +116,7 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     """``doc``, the base statistics, ``base_failed``, ``kept`` and ``failed_rule`` (null if kept)."""
     stats = statistics(docs, text)
     verdict = F.when(F.expr(BASE_FAILED), F.lit("base"))
-    for rule in cascade(measured(stats, rules, sample_rows), rules):
+    for rule in cascade(measured(docs, text, rules, sample_rows), rules):
         verdict = verdict.when(F.expr(rule.rejects), F.lit(rule.name))
     return stats.select(
         "doc",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import quality_rules
+from barloom.llm import decontamination, packing, quality_qda, quality_rules, url_filter
 from barloom.llm.staging import table
 
 
@@ -17,6 +17,50 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(column: str, divisor: int) -> Column:
+    """What fixes the folds: crc32 of the id as text, modulo ``divisor``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+#: Fixed values of the contract: verdict, host, path.
+URL_RULES = tuple(
+    url_filter.Rule(*x)
+    for x in (
+        ("allow", "org", "/"),
+        ("block", "example.org", "/es/"),
+        ("block", "example.org", "/en/1"),
+        ("allow", "com", "/fr/"),
+        ("block", "com", "/de/"),
+    )
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judged(pages, URL_RULES)
+    return judged.select(F.col("page.page_id").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), packing.default_tokenizer())
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_qda.train(docs, labels.where(remainder("doc_id", 4) != 2))
+    scored = quality_qda.scored(docs.select("doc_id", "text"), model)
+    return scored.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        (remainder("doc.doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 OP9_SQL = r"""
 WITH split AS (
     SELECT doc_id, coalesce(text, '') AS body,
@@ -49,5 +93,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM checked
 """
 
-QUERIES = {"op9_quality_cascade": op9_quality_cascade}
+QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op5_packing": op5_packing,
+    "op7_decontamination": op7_decontamination,
+    "op9_quality_cascade": op9_quality_cascade,
+    "op10_quality_qda": op10_quality_qda,
+}
 SQL: dict[str, str] = {"op9_quality_cascade": OP9_SQL}
