@@ -6,7 +6,8 @@ hit, document and item are laid side by side on the hit's diagonal and words are
 compared one by one, so substituted words inside a copied passage are tolerated
 and chance hits fall away.
 
-The items' hashes are broadcast only while there are at most ``MAX_BROADCAST``
+A bitmap of the items' words, of fixed size, first drops the windows with a word
+that no item has. The items' hashes are broadcast only while there are at most ``MAX_BROADCAST``
 of them; beyond that the same join shuffles. Only hits travel back to the
 documents. One hot document or item is many independent rows.
 """
@@ -25,6 +26,8 @@ SPAN = 7
 #: A window of so many words with at least so many equal ones is an overlap.
 WINDOW = 13
 LEAST_EQUAL = 10
+#: Words of 64 bits in the bitmap of the items' words.
+BIT_WORDS = 4096
 #: Rows of the small side that may be broadcast (about 24 bytes each).
 MAX_BROADCAST = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,15 +41,35 @@ def hashed_words(rows: DataFrame, key: str, text: str) -> DataFrame:
     return split.select("id", F.expr("transform(texts, w -> xxhash64(w))").alias("words"))
 
 
-def seeds(hashed: DataFrame) -> DataFrame:
-    """``id``, ``place`` of the window and ``seed``, a hash of mask and taken words. Texts under ``SPAN`` words have none."""
+def vocabulary_bits(items: DataFrame) -> list[int]:
+    """A bitmap of the hashed words of ``items``: ``BIT_WORDS`` numbers, whatever the items. A word's bit is never missing."""
+    words = items.select(F.explode("words").alias("w"))
+    bits = words.groupBy(F.expr(f"CAST(shiftrightunsigned(w, 6) & {BIT_WORDS - 1} AS INT)").alias("at"))
+    out = [0] * BIT_WORDS
+    for at, value in bits.agg(F.expr("bit_or(shiftleft(1L, CAST(w & 63 AS INT)))").alias("value")).collect():
+        out[at] = value
+    return out
+
+
+def seeds(hashed: DataFrame, bits: list[int] | None = None) -> DataFrame:
+    """``id``, ``place`` of the window and ``seed``, a hash of mask and taken words. Texts under ``SPAN`` words have none.
+
+    With ``bits`` only windows whose taken words all may be words of the items.
+    """
+    if bits is not None:
+        numbers = ", ".join(f"{b}L" if b > -(2**63) else "(-9223372036854775807L - 1L)" for b in bits)
+        known = f"(shiftright(array({numbers})[CAST(shiftrightunsigned(w, 6) & {BIT_WORDS - 1} AS INT)], CAST(w & 63 AS INT)) & 1L) = 1L"
+        hashed = hashed.withColumn("known", F.expr(f"transform(words, w -> {known})"))
     arrays = []
     for number, mask in enumerate(MASKS):
-        taken = ", ".join(f"words[i + {k}]" for k, bit in enumerate(mask) if bit == "1")
-        arrays.append(f"transform(sequence(0, size(words) - {SPAN}), i -> xxhash64({number}, {taken}))")
+        places = [k for k, bit in enumerate(mask) if bit == "1"]
+        windows = f"sequence(0, size(words) - {SPAN})"
+        if bits is not None:
+            windows = f"filter({windows}, i -> {' AND '.join(f'known[i + {k}]' for k in places)})"
+        taken = ", ".join(f"words[i + {k}]" for k in places)
+        arrays.append(f"transform({windows}, i -> struct(i AS place, xxhash64({number}, {taken}) AS seed))")
     long_enough = hashed.where(F.size("words") >= SPAN)
-    spread = long_enough.select("id", F.size("words").alias("n"), F.posexplode(F.expr(f"concat({', '.join(arrays)})")).alias("k", "seed"))
-    return spread.select("id", F.expr(f"k % (n - {SPAN - 1})").alias("place"), "seed")
+    return long_enough.select("id", F.explode(F.expr(f"concat({', '.join(arrays)})")).alias("s")).select("id", "s.place", "s.seed")
 
 
 def _small(df: DataFrame, bound: int) -> DataFrame:
@@ -77,7 +100,7 @@ def leaks(
     item_seeds = seeds(held).select(F.col("id").alias("item"), F.col("place").alias("item_place"), "seed")
     words = hashed_words(docs, key, text)
     hits = (
-        seeds(words)
+        seeds(words, vocabulary_bits(held))
         .join(_small(staged(item_seeds, "item-seeds"), max_broadcast), "seed")
         .select("id", "item", (F.col("place") - F.col("item_place")).alias("diagonal"))
         .distinct()

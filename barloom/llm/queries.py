@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontamination, packing, quality_qda, quality_rules, url_filter
+from barloom.llm import decontamination, jaccard_join, licences, packing, pitman_yor, quality_qda, quality_rules, sharding, toxicity, url_filter
 from barloom.llm.staging import table
 
 
@@ -22,6 +22,34 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    learns = remainder("doc_id", 5) != 0
+    scored = toxicity.scored(docs, toxicity.train(docs.where(learns), labels.where(learns)))
+    return scored.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        (remainder("doc.doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_restored",
+    )
+
+
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learns = F.coalesce(remainder("doc_id", 5) != 1, F.lit(True))
+    model = pitman_yor.train(docs, learns)
+    return pitman_yor.scored(docs, model, learns).select(
+        "doc_id",
+        (~F.col("learned")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.fixed.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 #: Fixed values of the contract: verdict, host, path.
 URL_RULES = tuple(
     url_filter.Rule(*x)
@@ -41,14 +69,36 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("page.page_id").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 9).alias("score"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of their host: licence headers in the HTML, the host's folders as directories."""
+    pages = table(spark, sf_dir, "pages")
+    host, path = url_filter.host_and_path(F.col("url"))
+    files = pages.select("page_id", F.concat(host, path).alias("path"), F.col("html").alias("text"))
+    found = licences.licences(files)
+    return found.select(
+        F.col("file.page_id").alias("page_id"), F.col("file.path").alias("path"), "licence", F.round("score", 9).alias("score"), "origin", "source_folder"
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_qda.train(docs, labels.where(remainder("doc_id", 4) != 2))
@@ -94,9 +144,14 @@ FROM checked
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_url_filter": op3_url_filter,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
+    "op6_licences": op6_licences,
     "op7_decontamination": op7_decontamination,
+    "op8_sharding": op8_sharding,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_quality_qda": op10_quality_qda,
 }

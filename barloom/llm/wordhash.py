@@ -27,7 +27,7 @@ _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 class Words(NamedTuple):
-    """first_row: of the block in its batch. row, hash, start, end: per word. data: lower-cased bytes."""
+    """first_row: of the block in its batch. row, hash, start, end: per word. data: lower-cased bytes. total: prefix sums for hashes."""
 
     first_row: int
     rows: int
@@ -36,6 +36,11 @@ class Words(NamedTuple):
     start: np.ndarray
     end: np.ndarray
     data: np.ndarray
+    total: np.ndarray
+
+    def hashes_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of any stretches of the data; a stretch with the bytes of a word has the word's hash."""
+        return mixed((self.total[end] - self.total[start]) * _power_tables(len(self.data))[1][start])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -92,12 +97,12 @@ def _words(raw: np.ndarray, offsets: np.ndarray, first_row: int) -> Words:
     opens[cuts] = inside[1:-1][cuts]
     closes[cuts - 1] = inside[1:-1][cuts - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    power, inverse = _power_tables(max(size, BLOCK_BYTES))
+    power = _power_tables(max(size, BLOCK_BYTES))[0]
     total = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum(_LETTER[data] * power[:size], out=total[1:])
-    hashes = mixed((total[end] - total[start]) * inverse[start])
     row = np.repeat(np.arange(rows), np.diff(np.searchsorted(start, offsets)))
-    return Words(first_row, rows, row, hashes, start, end, data)
+    words = Words(first_row, rows, row, np.zeros(0, np.uint64), start, end, data, total)
+    return words._replace(hash=words.hashes_of(start, end))
 
 
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
