@@ -26,6 +26,7 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Licensed under the MIT License"),
+    ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
