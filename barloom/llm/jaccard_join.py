@@ -2,22 +2,25 @@
 
 The document by shingle incidence matrix is multiplied with its transpose in
 blocks of shingles: overlap counts of two documents add up over the blocks, and
-pairs below the bound that their sizes set are discarded before any text is
-compared. What keeps the product sparse:
+pairs below the bounds that their sizes set are discarded before any sets are
+compared. The matrix is thinned first, by steps that lose no link:
 
 - Documents with the same shingle set are one node (equal texts among them).
-- A node enters with the ``prefix`` of its shingles, those of smallest hash. Two
-  linked nodes of n and m shingles lack at most e(n) and e(m) of them, so they
-  share at least g = min(g(n), g(m)) prefix shingles, g(n) = prefix(n) - e(n).
-- Shingles of one node only are dropped, and of each node the least g - 1
-  commonest: what they alone would bring cannot reach the bound. Passages that
-  many documents share are commonest, so they open no pairs.
-- A first product takes only each shingle's smallest node with the others, which
-  links a group of copies of any size along a star. The second takes only pairs
-  that are not connected yet.
-
-Candidate pairs are verified on whole shingle sets. Sizes: 100 * overlap >=
-80 * union, in integers.
+- Two linked nodes lack few of each other's shingles, so they share one of the
+  ``prefix`` of each: its shingles of smallest hash, as many as a node may lack,
+  and one. With a sixteenth more they share several. A node whose prefix has
+  fewer shared shingles than that is linked with nothing.
+- For the nodes that are left, whole sets are counted. A node can overlap with
+  another by its shared shingles at most, so it needs 80 % of its own to be
+  shared. It enters the product with its rarest ones, as many as it may lack and
+  one; passages that many documents share are common and open no pairs.
+- A node first meets only the most central node of its shingles (that whose
+  shingles are most shared: of edited copies, the original). That links groups of
+  copies of any size by one pair for each. The product itself then takes only
+  pairs that are not connected yet.
+
+Candidates are verified on whole sets. Sizes: 100 * overlap >= 80 * union, in
+integers.
 """
 
 from __future__ import annotations
@@ -37,131 +40,191 @@ from barloom.llm.staging import staged
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Rows of a table of node ids that may be broadcast (8 bytes each, checked).
+#: Rounds in which a node meets one central node of another component.
+ROUNDS = 3
+#: Rows of a table of ids that may be broadcast (8 bytes each, checked).
 MAX_BROADCAST = 2_000_000
 
-SIGNATURE = "key long, n long, node long, prefix array<long>"
 
-
-def lacking(n):
-    """Most shingles of n that a linked set can lack."""
-    return n - (n * PERCENT + 99) // 100
+def least_overlap(n):
+    """Least overlap of a set of n with any linked one: PERCENT of n, rounded up."""
+    return (n * PERCENT + 99) // 100
 
 
 def prefix_size(n):
-    """Shingles of n that enter the product: one more than can be lacking, and a sixteenth for the overlap bound."""
-    return np.minimum(n, lacking(n) + 1 + n // 16)
+    """Shingles of n that enter the first step: one more than can be lacking, and a sixteenth."""
+    return np.minimum(n, n - least_overlap(n) + 1 + n // 16)
 
 
-def _least_shared(n: Column) -> Column:
-    """Prefix shingles that a node of n shares with any linked one: g of the smallest linked size."""
-    m = F.floor((n * PERCENT + 99) / 100)
-    return F.greatest(F.lit(1), F.least(m - (m - F.floor((m * PERCENT + 99) / 100)), 1 + F.floor(m / 16)))
+def least_shared(n):
+    """Prefix shingles that a set of n shares with any linked one, by the smallest size of that."""
+    m = least_overlap(n)
+    return np.maximum(1, np.minimum(np.minimum(m, m - least_overlap(m) + 1 + m // 16) - (m - least_overlap(m)), prefix_size(n) - (n - least_overlap(n))))
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[wordhash.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per block: its rows' set sizes, where the sets begin, nodes (hashes of the sets) and the shingles by row and hash."""
+    for words in wordhash.blocks(batch.column("_text")):
+        row, value = wordhash.shingles(words, WIDTH)
+        count = np.bincount(row, minlength=words.rows)
+        begin = np.concatenate(([0], np.cumsum(count)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wordhash.mixed(value))))
+        node = wordhash.mixed(sums[begin[1:]] - sums[begin[:-1]] + count.astype(np.uint64)).view(np.int64)
+        yield words, count, begin, node, value
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``key``, set size ``n``, ``node`` (a hash of the set, null if empty) and the prefix."""
+def nodes_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``key``, set size ``n`` and ``node`` (null without words)."""
 
-    def signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in wordhash.blocks(batch.column("_text")):
-                row, value = wordhash.shingles(words, WIDTH)
-                count = np.bincount(row, minlength=words.rows)
-                begin = np.concatenate(([0], np.cumsum(count)))
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wordhash.mixed(value))))
-                node = wordhash.mixed(sums[begin[1:]] - sums[begin[:-1]] + count.astype(np.uint64)).view(np.int64)
-                size = prefix_size(count)
-                inside = np.arange(len(value)) - begin[row] < size[row]
-                # uint64 order is the order of the shingles; as signed numbers they are only names.
-                prefix = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(value[inside].view(np.int64))
-                )
+            for words, count, _, node, _ in _sets(batch):
                 keys = batch.column("_key").slice(words.first_row, words.rows)
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(count.astype(np.int64)), pa.array(node, mask=count == 0), prefix], ["key", "n", "node", "prefix"]
-                )
+                yield pa.RecordBatch.from_arrays([keys, pa.array(count.astype(np.int64)), pa.array(node, mask=count == 0)], ["key", "n", "node"])
+
+    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(nodes, "key long, n long, node long")
+
+
+def prefixes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``shingle, node``: prefix shingles of every node, once in each task that meets the node."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            for words, count, begin, node, value in _sets(batch):
+                new = np.zeros(words.rows, dtype=bool)
+                for k in np.flatnonzero(count):
+                    if (name := int(node[k])) not in met:
+                        met.add(name)
+                        new[k] = True
+                row = np.repeat(np.arange(words.rows), count)
+                inside = new[row] & (np.arange(len(value)) - begin[row] < prefix_size(count)[row])
+                # As signed numbers shingles are only names; which are smallest is settled here.
+                yield pa.RecordBatch.from_arrays([pa.array(value[inside].view(np.int64)), pa.array(node[row[inside]])], ["shingle", "node"])
 
-    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(signature, SIGNATURE)
+    return docs.select(F.col(text).alias("_text")).mapInArrow(spread, "shingle long, node long")
 
 
-def whole_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def whole_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row with words: ``node`` and ``shingles``, the whole set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in wordhash.blocks(batch.column("_text")):
-                row, value = wordhash.shingles(words, WIDTH)
-                count = np.bincount(row, minlength=words.rows)
-                begin = np.concatenate(([0], np.cumsum(count)))
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wordhash.mixed(value))))
-                node = wordhash.mixed(sums[begin[1:]] - sums[begin[:-1]] + count.astype(np.uint64)).view(np.int64)
+            for _, count, begin, node, value in _sets(batch):
                 held = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(value.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node), held], ["node", "shingles"]).filter(pa.array(count > 0))
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(sets, "node long, shingles array<long>")
 
 
-def incidence(nodes: DataFrame) -> DataFrame:
-    """``shingle, node, n``: the part of the matrix that can reach the bound."""
-    rows = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
+def _overlap(n: Column) -> Column:
+    return F.floor((n * PERCENT + 99) / 100)
+
+
+def _least_shared(n: Column) -> Column:
+    m = _overlap(n)
+    g = lambda x: F.least(x, x - _overlap(x) + 1 + F.floor(x / 16)) - (x - _overlap(x))
+    return F.greatest(F.lit(1), F.least(g(m), g(n)))
+
+
+def survivors(prefix_rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``node, n`` of the nodes that share enough of their prefix with others."""
+    same = Window.partitionBy("shingle")
+    shared = prefix_rows.withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)}).where("low <> high")
+    # A node stands once for each task that met it.
+    counted = shared.groupBy("node").agg(F.count("*").alias("rows"), F.count_distinct("shingle").alias("shared"))
+    return counted.join(sizes, "node").where(F.col("shared") >= _least_shared(F.col("n"))).select("node", "n")
+
+
+def incidence(sets: DataFrame) -> DataFrame:
+    """``shingle, node, n, shared, central``: the part of the matrix that can reach the bounds.
+
+    ``shared``: how many shingles of the node others have; ``central``: how common
+    the node's shingles are on average.
+    """
+    rows = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     common = rows.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), F.desc("shingle")))
-    return common.withColumn("rank", rank).where(F.col("rank") >= _least_shared(F.col("n"))).select("shingle", "node", "n")
+    of_node = Window.partitionBy("node")
+    ranked = common.withColumns(
+        {
+            "place": F.row_number().over(of_node.orderBy("df", "shingle")) - 1,
+            "shared": F.count("*").over(of_node),
+            "central": F.sum("df").over(of_node) / F.col("n"),
+        }
+    )
+    able = ranked.where(F.col("shared") >= _overlap(F.col("n")))
+    # Places among all shingles: those of this node alone come first.
+    kept = able.where(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - _overlap(F.col("n")))
+    return kept.select("shingle", "node", "n", "shared", "central")
+
 
+def _can_link(n: Column, m: Column, most: Column) -> Column:
+    """Whether sets of n and m may be linked if they overlap by ``most`` at most."""
+    return most * (100 + PERCENT) >= (n + m) * PERCENT
 
-def _fit(n: Column, m: Column) -> Column:
-    """Sizes that can be linked, n <= m."""
-    return n * 100 >= m * PERCENT
 
+def central_pairs(matrix: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Candidates ``a, b, n, m``: each node ``b`` with the most central node ``a`` of another component that it meets."""
+    known = matrix.withColumn("root", F.col("node")) if roots is None else _with_roots(matrix, roots)
+    same = Window.partitionBy("shingle")
+    who = F.struct("central", "node", "root", "n", "shared")
+    top = known.withColumn("top", F.max(who).over(same))
+    next_best = F.max(F.when(F.col("root") != F.col("top.root"), who)).over(same)
+    met = top.withColumn("next", next_best).where("next IS NOT NULL")
+    hub = F.when(F.col("root") != F.col("top.root"), F.col("top")).otherwise(F.col("next"))
+    fits = _can_link(F.col("n"), F.col("hub.n"), F.least(F.col("shared"), F.col("hub.shared")))
+    chosen = met.withColumn("hub", hub).where(fits).groupBy("node", "n").agg(F.max("hub").alias("hub"))
+    return chosen.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
 
-def star_pairs(matrix: DataFrame) -> DataFrame:
-    """Candidates ``a, b, n, m``: of each shingle its smallest node with every other that fits by size."""
-    first = F.min(F.struct("n", "node")).over(Window.partitionBy("shingle")).alias("hub")
-    pairs = matrix.select("node", "n", first).where((F.col("hub.node") != F.col("node")) & _fit(F.col("hub.n"), F.col("n")))
-    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m")).distinct()
+
+def _with_roots(matrix: DataFrame, roots: DataFrame) -> DataFrame:
+    return matrix.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
 def open_pairs(matrix: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates between nodes of different components, with their overlap in the matrix added up over all blocks.
+    """Candidates between nodes of different components, from the product over all blocks.
 
-    Rows of a shingle stand together, by size; each node meets the larger ones that
-    still fit. Only shingles with two components are left by then.
+    Rows of a shingle stand together, by size, so a node meets the larger ones that
+    still fit and share enough with anyone. Overlaps are added up within a block and
+    over all blocks; a pair stays if they and the shingles outside the matrix can
+    make up the overlap. Only shingles of two components are left by then.
     """
-    known = matrix.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node"))
+    known = _with_roots(matrix, roots)
     both = Window.partitionBy("shingle")
-    mixed = known.withColumn("low", F.min("root").over(both)).withColumn("high", F.max("root").over(both)).where("low <> high")
-    dealt = mixed.select("shingle", "n", "node", "root")
+    mixed = known.withColumns({"low": F.min("root").over(both), "high": F.max("root").over(both)}).where("low <> high")
+    dealt = mixed.select("shingle", "n", "node", "root", "shared")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            shingle, n, node, root = (rows.column(c).to_numpy() for c in ("shingle", "n", "node", "root"))
+            shingle, n, node, root, shared = (rows.column(c).to_numpy() for c in ("shingle", "n", "node", "root", "shared"))
             edges = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]))
-            left, right = [], []
-            waiting = 0
+            one, two, waiting = [], [], 0
             for begin, end in zip(edges, edges[1:]):
                 reach = begin + np.searchsorted(n[begin:end] * PERCENT, n[begin:end] * 100, "right")
                 for i in range(begin, end):
                     j = np.arange(i + 1, reach[i - begin])
-                    j = j[root[j] != root[i]]
-                    left.append(np.full(len(j), i))
-                    right.append(j)
-                    waiting += len(j)
+                    most = np.minimum(shared[i], shared[j])
+                    j = j[(root[j] != root[i]) & (most * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT)]
+                    if len(j):
+                        one.append(np.full(len(j), i))
+                        two.append(j)
+                        waiting += len(j)
                     if waiting > 500_000:
-                        yield added(n, node, np.concatenate(left), np.concatenate(right))
-                        left, right, waiting = [], [], 0
+                        yield added(n, node, np.concatenate(one), np.concatenate(two))
+                        one, two, waiting = [], [], 0
             if waiting:
-                yield added(n, node, np.concatenate(left), np.concatenate(right))
+                yield added(n, node, np.concatenate(one), np.concatenate(two))
 
         def added(n: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            """Overlap counts of this block, one row per pair."""
             swap = node[i] > node[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             order = np.lexsort((node[j], node[i]))
             i, j = i[order], j[order]
-            new = np.concatenate(([True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])))
-            at = np.flatnonzero(new)
-            overlap = np.diff(np.concatenate((at, [len(i)])))
+            at = np.flatnonzero(np.concatenate(([True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1]))))
+            overlap = np.diff(np.append(at, len(i)))
             i, j = i[at], j[at]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], n[i], n[j], overlap)], ["a", "b", "n", "m", "overlap"])
 
@@ -181,17 +244,10 @@ def open_pairs(matrix: DataFrame, roots: DataFrame) -> DataFrame:
     dealt = dealt.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     found = dealt.mapInArrow(product, "a long, b long, n long, m long, overlap long")
     summed = found.groupBy("a", "b", "n", "m").agg(F.sum("overlap").alias("overlap"))
-    return summed.where(F.col("overlap") >= overlap_bound(F.col("n"), F.col("m"))).drop("overlap")
-
-
-def overlap_bound(n: Column, m: Column) -> Column:
-    """Least overlap of two linked nodes in the matrix: their shared prefix less what either's dropped end can hide."""
-
-    def g(size: Column) -> Column:
-        lack = size - F.floor((size * PERCENT + 99) / 100)
-        return F.least(size, lack + 1 + F.floor(size / 16)) - lack
-
-    return F.greatest(F.lit(1), F.least(g(n), g(m)) - (F.greatest(_least_shared(n), _least_shared(m)) - 1))
+    n, m = F.col("n"), F.col("m")
+    needed = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    outside = F.least(_overlap(n), _overlap(m)) - 1
+    return summed.where(F.col("overlap") >= needed - outside).drop("overlap")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,32 +263,54 @@ def _small(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     ``component_id`` is the smallest key that links reach. Null, empty and
     white-space texts have no shingles and are linked with nothing: they keep their
-    own key. A row without a key joins its group but never names it; alone, its
-    component is null. Rows that repeat a key with other texts are linked each by
-    its own text.
+    own key. A row without a key joins the group of its equals but never names it;
+    where no row has one, the component is null. Rows that repeat a key with other
+    texts are linked each by its own text.
     """
-    rows = staged(signatures(docs, key, text), "signatures")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    matrix = staged(incidence(nodes.select("node", "n", "prefix")), "matrix")
-    wanted = staged(
-        rows.select("key", "node").join(_small(matrix.select("node").distinct(), max_broadcast), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")),
-        "wanted",
-    )
-    texts = docs.join(_small(wanted.select(F.col("key").alias("_wanted")).distinct(), max_broadcast), F.col(key) == F.col("_wanted"), "left_semi")
-    sets = staged(whole_sets(texts, key, text).dropDuplicates(["node"]), "sets")
-    links = staged(verified(star_pairs(matrix), sets), "star-links")
-    roots = components(links)
-    more = staged(verified(open_pairs(matrix, roots), sets), "more-links")
+    rows = staged(nodes_of(docs, key, text), "nodes")
+    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"))
+    left = staged(survivors(prefixes(docs, text), sizes).join(sizes.select("node", "key"), "node"), "survivors")
+    wanted = left.where("key IS NOT NULL").select(F.col("key").alias("_wanted")).distinct()
+    texts = docs.join(_small(wanted, max_broadcast), F.col(key) == F.col("_wanted"), "left_semi")
+    nodes = _small(left.select("node"), max_broadcast)
+    sets = staged(whole_sets(texts, text).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    matrix = staged(incidence(sets), "matrix")
+    links, roots = None, None
+    for _ in range(rounds):
+        found = staged(verified(central_pairs(matrix, roots), sets), "central-links")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        if found.isEmpty():
+            break
+    more = staged(verified(open_pairs(matrix, roots), sets), "open-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    grouped = rows.select("key", "n", "node").join(roots, "node", "left")
-    grouped = grouped.withColumn("group", F.coalesce("root", "node"))
+    grouped = rows.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     least = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min("key").alias("least"))
     return grouped.join(least, "group", "left").select(
         F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of ``docs`` whose key names their group; every group keeps one.
+
+    Rows that repeat a key and a text are one document, of which one stays. Rows
+    without a key can't name a group nor be named, so all of them stay.
+    """
+    groups = staged(linked(docs, key, text, max_broadcast), "groups")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(_small(gone, max_broadcast), F.col(key) == F.col("_gone"), "left_anti")
+    named = groups.where("doc_id = component_id")
+    repeated = staged(named.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "repeated")
+    if repeated.isEmpty():
+        return left
+    again = _small(repeated, max_broadcast)
+    return left.join(again, F.col(key) == F.col("_again"), "left_anti").unionByName(
+        left.join(again, F.col(key) == F.col("_again"), "left_semi").dropDuplicates([key, text])
+    )

@@ -42,6 +42,8 @@ LOOK, REPEAT, DROP = -1.0, -0.5, -0.7
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4096
 SLOT_BITS = 22
+#: A feature must be this much beyond chance, and so many times as frequent in toxic texts.
+LEAST_Z, LEAST_RATIO = 5.0, 5.0
 BEGINNINGS = (4, 5)
 
 _SYMBOLS = 29
@@ -252,7 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = F.col("n") / F.lit(float(toxic + clean))
     spread_of = F.sqrt(share * (1 - share) * F.lit(1 / toxic + 1 / clean) + F.lit(1e-12))
     z = (F.col("t") / F.lit(float(toxic)) - (F.col("n") - F.col("t")) / F.lit(float(clean))) / spread_of
-    chosen = counted.withColumn("z", z).where("z >= 4").orderBy(F.desc("z"), "slot").limit(MAX_FEATURES).collect()
+    rate = F.col("t") / F.lit(float(toxic)) >= F.lit(LEAST_RATIO / clean) * (F.col("n") - F.col("t"))
+    chosen = counted.withColumn("z", z).where((F.col("z") >= LEAST_Z) & rate).orderBy(F.desc("z"), "slot").limit(MAX_FEATURES).collect()
     kept = np.array(sorted(r["slot"] for r in chosen), dtype=np.int64)
     listed = F.expr(f"array({', '.join(map(str, kept))})") if len(kept) else F.array().cast("array<int>")
     held = rows.select("label", F.array_intersect("slots", listed).alias("slots")).toPandas()

@@ -65,15 +65,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 0 for k in range(60)} | {100: 100, 101: 100}
 
 
-def test_prefix_bounds_lose_no_link():
-    """Over all sizes: linked sets share enough of what the product keeps."""
-    import duckdb  # noqa: F401
-
-    g = lambda n: int(jaccard_join.prefix_size(np.int64(n))) - int(jaccard_join.lacking(np.int64(n)))
-    least = lambda n: max(1, min((m := (n * 80 + 99) // 100) - (m - (m * 80 + 99) // 100), 1 + m // 16))
-    for n in range(1, 700):
-        for m in range((n * 80 + 99) // 100, n + 1):
-            assert min(g(n), g(m)) >= max(least(n), least(m), 1)
+def test_prefix_bounds_lose_no_link(spark):
+    """Over all sizes: linked sets share what the first step asks for, and both forms of the bound agree."""
+    n = np.arange(1, 900)
+    asked = jaccard_join.least_shared(n)
+    spare = jaccard_join.prefix_size(n) - (n - jaccard_join.least_overlap(n))
+    for size in n:
+        for other in range(int(jaccard_join.least_overlap(size)), size + 1):
+            assert min(spare[size - 1], spare[other - 1]) >= max(asked[size - 1], asked[other - 1])
+    got = spark.range(1, 900).select(jaccard_join._least_shared(F.col("id")).alias("g")).toPandas()["g"]
+    assert got.tolist() == asked.tolist()
 
 
 def test_word_hash_blocks_do_not_depend_on_their_size():
