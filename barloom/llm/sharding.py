@@ -66,12 +66,14 @@ def propagate(groups: DataFrame, capacity: int, shards: int, rounds: int, bucket
         want = want.withColumn("moving", F.when(F.expr("rooms[to] > 0"), F.col("members") - F.col("stay")).otherwise(0)).withColumn(
             "bucket", F.pmod(F.xxhash64("group", F.lit(7)), F.lit(buckets))
         )
-        before = Window.partitionBy("to", "bucket").orderBy(F.desc("stay"), "group").rowsBetween(Window.unboundedPreceding, -1)
-        ahead = F.coalesce(F.sum("moving").over(before), F.lit(0))
-        taken = F.expr("moving > 0")
-        share = F.expr(f"ceil(rooms[to] / {buckets}D)")
-        moved = want.withColumn("take", F.when(taken, F.greatest(F.lit(0), F.least(F.col("moving"), share - ahead))).otherwise(0).cast("long"))
-        # Each bucket may round its share of the room up; the shard's total then exceeds by less than a row per bucket.
+        # First come, first served: what stands before a group in its bucket and in the buckets before.
+        totals = want.groupBy("to", "bucket").agg(F.sum("moving").alias("sum"))
+        earlier = Window.partitionBy("to").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.select("to", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("start"))
+        inside = Window.partitionBy("to", "bucket").orderBy(F.desc("stay"), "group").rowsBetween(Window.unboundedPreceding, -1)
+        want = want.withColumn("ahead", F.coalesce(F.sum("moving").over(inside), F.lit(0))).join(starts, ["to", "bucket"])
+        take = F.expr("greatest(0L, least(moving, rooms[to] - start - ahead))")
+        moved = want.withColumn("take", take.cast("long"))
         gone = (
             f"transform(held, (n, s) -> IF(s = to, 0L, greatest(0L, least(n, take - aggregate("
             f"transform(slice(held, 1, s), (m, r) -> IF(r = to, 0L, m)), {_MORE})))))"

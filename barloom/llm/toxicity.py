@@ -165,7 +165,7 @@ def units(words: wordhash.Words) -> Units:
     triple[2:] = (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & letter[2:]
     tripled = inside(triple) > 0
     size = end - start
-    single = (letters >= 2) & (((looks > 0) & (digits <= letters)) | tripled | ((between >= 2) & (2 * between >= letters - 1)))
+    single = (letters >= 2) & (((looks > 0) & (digits <= 2 * letters)) | tripled | ((between >= 2) & (2 * between >= letters - 1)))
     lone = (size == 1) & (letter | _LOOKS[data])[np.minimum(start, max(len(data) - 1, 0))] if len(data) else size == 1
     joined = np.zeros(len(size), dtype=bool)
     joined[1:] = lone[1:] & lone[:-1] & (words.row[1:] == words.row[:-1])
