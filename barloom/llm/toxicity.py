@@ -289,12 +289,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model.log_probability)
-        place = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
-        place[model.slots] = np.arange(len(model.slots))
+        place = np.full(1 << SLOT_BITS, -1, dtype=np.int16)
+        place[model.slots] = np.arange(len(model.slots), dtype=np.int16)
         for batch in batches:
             for words in wordhash.blocks(batch.column("_text")):
                 row, slot, restored = slots(words, decoder)
-                column = place[slot]
+                column = place[slot].astype(np.int64)
                 hit = column >= 0
                 pair = np.unique(row[hit] * len(model.slots) + column[hit])
                 size = max(len(model.slots), 1)
