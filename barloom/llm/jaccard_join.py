@@ -181,31 +181,40 @@ def _with_roots(matrix: DataFrame, roots: DataFrame) -> DataFrame:
     return matrix.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
-def open_pairs(matrix: DataFrame, roots: DataFrame) -> DataFrame:
+def open_pairs(matrix: DataFrame, roots: DataFrame, met: DataFrame) -> DataFrame:
     """Candidates between nodes of different components, from the product over all blocks.
 
     Rows of a shingle stand together, by size, so a node meets the larger ones that
     still fit and share enough with anyone. Overlaps are added up within a block and
     over all blocks; a pair stays if they and the shingles outside the matrix can
     make up the overlap. Only shingles of two components are left by then.
+
+    ``met`` (a, b, overlap) is what the first central nodes showed. Two nodes that
+    met the same one overlap inside it by no more than the less similar of them
+    does, and outside it by no more than either shares with anyone there: in a group
+    of edited copies that rules out nearly every pair that the original did not link.
     """
-    known = _with_roots(matrix, roots)
+    hubs = met.select(F.col("b").alias("node"), F.col("a").alias("_hub"), F.col("overlap").alias("_inside"))
+    known = _with_roots(matrix, roots).join(hubs, "node", "left")
+    known = known.withColumns({"hub": F.coalesce("_hub", "node"), "inside": F.coalesce("_inside", "shared")}).drop("_hub", "_inside")
     both = Window.partitionBy("shingle")
     mixed = known.withColumns({"low": F.min("root").over(both), "high": F.max("root").over(both)}).where("low <> high")
-    dealt = mixed.select("shingle", "n", "node", "root", "shared")
+    dealt = mixed.select("shingle", "n", "node", "root", "shared", "hub", "inside")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            shingle, n, node, root, shared = (rows.column(c).to_numpy() for c in ("shingle", "n", "node", "root", "shared"))
+            names = ("shingle", "n", "node", "root", "shared", "hub", "inside")
+            shingle, n, node, root, shared, hub, inside = (rows.column(c).to_numpy() for c in names)
             edges = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]))
             one, two, waiting = [], [], 0
             for begin, end in zip(edges, edges[1:]):
                 reach = begin + np.searchsorted(n[begin:end] * PERCENT, n[begin:end] * 100, "right")
                 for i in range(begin, end):
                     j = np.arange(i + 1, reach[i - begin])
-                    most = np.minimum(shared[i], shared[j])
+                    apart = np.minimum(inside[i], inside[j]) + np.minimum(shared[i] - inside[i], shared[j] - inside[j])
+                    most = np.where(hub[i] == hub[j], apart, np.minimum(shared[i], shared[j]))
                     j = j[(root[j] != root[i]) & (most * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT)]
                     if len(j):
                         one.append(np.full(len(j), i))
@@ -250,13 +259,19 @@ def open_pairs(matrix: DataFrame, roots: DataFrame) -> DataFrame:
     return summed.where(F.col("overlap") >= needed - outside).drop("overlap")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that are linked, by their whole sets."""
-    one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    both = pairs.join(one, "b").join(two, "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared * 100 >= (F.col("n") + F.col("m") - shared) * PERCENT).select("a", "b")
+def overlaps(pairs: DataFrame, sets: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``pairs`` (a, b, n, m) with ``overlap`` of their whole sets and whether they are ``linked``.
+
+    Only the sets of nodes that stand in a pair move.
+    """
+
+    def needed(side: str) -> DataFrame:
+        ids = _small(pairs.select(F.col(side).alias("node")).distinct(), max_broadcast)
+        return sets.join(ids, "node", "left_semi").select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
+
+    both = pairs.join(needed("b"), "b").join(needed("a"), "a")
+    counted = both.withColumn("overlap", F.size(F.array_intersect("of_a", "of_b")).cast("long")).drop("of_a", "of_b")
+    return counted.withColumn("linked", F.col("overlap") * 100 >= (F.col("n") + F.col("m") - F.col("overlap")) * PERCENT)
 
 
 def _small(df: DataFrame, bound: int) -> DataFrame:
@@ -280,14 +295,16 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadca
     nodes = _small(left.select("node"), max_broadcast)
     sets = staged(whole_sets(texts, text).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
     matrix = staged(incidence(sets), "matrix")
-    links, roots = None, None
-    for _ in range(rounds):
-        found = staged(verified(central_pairs(matrix, roots), sets), "central-links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    met = staged(overlaps(central_pairs(matrix, None), sets, max_broadcast), "met")
+    links = met.where("linked").select("a", "b")
+    roots = components(links)
+    for _ in range(rounds - 1):
+        found = staged(overlaps(central_pairs(matrix, roots), sets, max_broadcast).where("linked").select("a", "b"), "central-links")
         if found.isEmpty():
             break
-    more = staged(verified(open_pairs(matrix, roots), sets), "open-links")
+        links = links.unionByName(found)
+        roots = components(links)
+    more = staged(overlaps(open_pairs(matrix, roots, met), sets, max_broadcast).where("linked").select("a", "b"), "open-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     grouped = rows.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
