@@ -15,9 +15,10 @@ compared. The matrix is thinned first, by steps that lose no link:
   shared. It enters the product with its rarest ones, as many as it may lack and
   one; passages that many documents share are common and open no pairs.
 - A node first meets only the most central node of its shingles (that whose
-  shingles are most shared: of edited copies, the original). That links groups of
-  copies of any size by one pair for each. The product itself then takes only
-  pairs that are not connected yet.
+  shingles are most shared: of edited copies, the original), and the centre of the
+  component that it is in. That links groups of copies of any size by a pair or
+  two for each. The product itself then takes only pairs that are not connected
+  yet and can be linked by what both share with that centre.
 
 Candidates are verified on whole sets. Sizes: 100 * overlap >= 80 * union, in
 integers.
@@ -40,8 +41,10 @@ from barloom.llm.staging import staged
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Rounds in which a node meets one central node of another component.
-ROUNDS = 3
+#: Rarest common shingles that a pair must show in the product.
+COUNTED = 3
+#: Rounds in which a node meets one more central node of another component before the product.
+ROUNDS = 1
 #: Rows of a table of ids that may be broadcast (8 bytes each, checked).
 MAX_BROADCAST = 2_000_000
 
@@ -137,10 +140,11 @@ def survivors(prefix_rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def incidence(sets: DataFrame) -> DataFrame:
-    """``shingle, node, n, shared, central``: the part of the matrix that can reach the bounds.
+    """``shingle, node, n, shared, place, central``: the part of the matrix that can reach the bounds.
 
-    ``shared``: how many shingles of the node others have; ``central``: how common
-    the node's shingles are on average.
+    ``shared``: how many shingles of the node others have; ``place``: of this
+    shingle among them, rarest first, from 0; ``central``: how common the node's
+    shingles are on average.
     """
     rows = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     common = rows.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
@@ -154,8 +158,8 @@ def incidence(sets: DataFrame) -> DataFrame:
     )
     able = ranked.where(F.col("shared") >= _overlap(F.col("n")))
     # Places among all shingles: those of this node alone come first.
-    kept = able.where(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - _overlap(F.col("n")))
-    return kept.select("shingle", "node", "n", "shared", "central")
+    kept = able.where(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - _overlap(F.col("n")) + (COUNTED - 1))
+    return kept.select("shingle", "node", "n", "shared", "place", "central")
 
 
 def _can_link(n: Column, m: Column, most: Column) -> Column:
@@ -163,59 +167,86 @@ def _can_link(n: Column, m: Column, most: Column) -> Column:
     return most * (100 + PERCENT) >= (n + m) * PERCENT
 
 
-def central_pairs(matrix: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Candidates ``a, b, n, m``: each node ``b`` with the most central node ``a`` of another component that it meets."""
-    known = matrix.withColumn("root", F.col("node")) if roots is None else _with_roots(matrix, roots)
+def central_pairs(matrix: DataFrame) -> DataFrame:
+    """Candidates ``a, b, n, m``: each node ``b`` with the most central node ``a`` of another component that it meets.
+
+    ``matrix`` has ``root``, and ``centre`` and ``inside`` as ``with_centres`` makes them.
+    """
     same = Window.partitionBy("shingle")
-    who = F.struct("central", "node", "root", "n", "shared")
-    top = known.withColumn("top", F.max(who).over(same))
+    who = F.struct("central", "node", "root", "n", "shared", "centre", "inside")
+    top = matrix.withColumn("top", F.max(who).over(same))
     next_best = F.max(F.when(F.col("root") != F.col("top.root"), who)).over(same)
     met = top.withColumn("next", next_best).where("next IS NOT NULL")
-    hub = F.when(F.col("root") != F.col("top.root"), F.col("top")).otherwise(F.col("next"))
-    fits = _can_link(F.col("n"), F.col("hub.n"), F.least(F.col("shared"), F.col("hub.shared")))
-    chosen = met.withColumn("hub", hub).where(fits).groupBy("node", "n").agg(F.max("hub").alias("hub"))
+    met = met.withColumn("hub", F.when(F.col("root") != F.col("top.root"), F.col("top")).otherwise(F.col("next")))
+    chosen = met.where(_can_link(F.col("n"), F.col("hub.n"), _most_shared("hub."))).groupBy("node", "n").agg(F.max("hub").alias("hub"))
     return chosen.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
 
 
+def _most_shared(other: str) -> Column:
+    """Most that a node can share with another (columns with the prefix ``other``), from what both share with their centre.
+
+    With a common centre: inside it no more than the less similar node does, and
+    outside it no more than either shares with anyone there. That rules out nearly
+    every pair of edited copies that are not linked by their original.
+    """
+    inside, shared = F.least("inside", other + "inside"), F.least("shared", other + "shared")
+    outside = F.least(F.col("shared") - F.col("inside"), F.col(other + "shared") - F.col(other + "inside"))
+    return F.when(F.col("centre") == F.col(other + "centre"), inside + outside).otherwise(shared)
+
+
+def centre_pairs(matrix: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates ``a, b, n, m`` of nodes ``b`` with the most central node ``a`` of the component of the node that they met."""
+    nodes = matrix.groupBy("node").agg(F.max("n").alias("n"), F.max("central").alias("central"))
+    of_root = roots.join(nodes, "node").groupBy("root").agg(F.max(F.struct("central", "node", "n")).alias("c"))
+    of_hub = roots.join(of_root, "root").select(F.col("node").alias("a"), F.col("c.node").alias("centre"), F.col("c.n").alias("size"))
+    found = met.select("a", "b", "m").join(of_hub, "a").where((F.col("centre") != F.col("a")) & (F.col("centre") != F.col("b")))
+    return found.select(F.col("centre").alias("a"), "b", F.col("size").alias("n"), "m")
+
+
+def with_centres(matrix: DataFrame, met: DataFrame) -> DataFrame:
+    """Adds ``centre`` and ``inside``: how much of it the node holds. ``met`` (a, b, overlap); a node without is its own centre."""
+    known = met.select(F.col("b").alias("node"), F.col("a").alias("_centre"), F.col("overlap").alias("_inside"))
+    joined = matrix.join(known, "node", "left")
+    own = F.col("_centre").isNull()
+    return joined.withColumns(
+        {"centre": F.when(own, F.col("node")).otherwise(F.col("_centre")), "inside": F.when(own, F.col("shared")).otherwise(F.col("_inside"))}
+    ).drop("_centre", "_inside")
+
+
 def _with_roots(matrix: DataFrame, roots: DataFrame) -> DataFrame:
     return matrix.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
-def open_pairs(matrix: DataFrame, roots: DataFrame, met: DataFrame) -> DataFrame:
+def open_pairs(matrix: DataFrame) -> DataFrame:
     """Candidates between nodes of different components, from the product over all blocks.
 
     Rows of a shingle stand together, by size, so a node meets the larger ones that
-    still fit and share enough with anyone. Overlaps are added up within a block and
-    over all blocks; a pair stays if they and the shingles outside the matrix can
-    make up the overlap. Only shingles of two components are left by then.
-
-    ``met`` (a, b, overlap) is what the first central nodes showed. Two nodes that
-    met the same one overlap inside it by no more than the less similar of them
-    does, and outside it by no more than either shares with anyone there: in a group
-    of edited copies that rules out nearly every pair that the original did not link.
+    still fit and can share enough with it. If two sets overlap by k, their first
+    ``COUNTED`` common shingles stand among the first shared - k + ``COUNTED`` of
+    each; only those places count. Overlaps there are added up within a block and
+    over all blocks, and a pair with fewer is discarded. Only shingles of two
+    components are left by then.
     """
-    hubs = met.select(F.col("b").alias("node"), F.col("a").alias("_hub"), F.col("overlap").alias("_inside"))
-    known = _with_roots(matrix, roots).join(hubs, "node", "left")
-    known = known.withColumns({"hub": F.coalesce("_hub", "node"), "inside": F.coalesce("_inside", "shared")}).drop("_hub", "_inside")
     both = Window.partitionBy("shingle")
-    mixed = known.withColumns({"low": F.min("root").over(both), "high": F.max("root").over(both)}).where("low <> high")
-    dealt = mixed.select("shingle", "n", "node", "root", "shared", "hub", "inside")
+    mixed = matrix.withColumns({"low": F.min("root").over(both), "high": F.max("root").over(both)}).where("low <> high")
+    names = ("shingle", "n", "node", "root", "shared", "centre", "inside", "place")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            names = ("shingle", "n", "node", "root", "shared", "hub", "inside")
-            shingle, n, node, root, shared, hub, inside = (rows.column(c).to_numpy() for c in names)
+            shingle, n, node, root, shared, centre, inside, place = (rows.column(c).to_numpy() for c in names)
+            spare = shared - place + (COUNTED - 1)  # most overlap for which the place counts
             edges = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]))
             one, two, waiting = [], [], 0
             for begin, end in zip(edges, edges[1:]):
                 reach = begin + np.searchsorted(n[begin:end] * PERCENT, n[begin:end] * 100, "right")
                 for i in range(begin, end):
                     j = np.arange(i + 1, reach[i - begin])
-                    apart = np.minimum(inside[i], inside[j]) + np.minimum(shared[i] - inside[i], shared[j] - inside[j])
-                    most = np.where(hub[i] == hub[j], apart, np.minimum(shared[i], shared[j]))
-                    j = j[(root[j] != root[i]) & (most * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT)]
+                    common = np.minimum(inside[i], inside[j]) + np.minimum(shared[i] - inside[i], shared[j] - inside[j])
+                    most = np.where(centre[i] == centre[j], common, np.minimum(shared[i], shared[j]))
+                    needed = ((n[i] + n[j]) * PERCENT + 99 + PERCENT) // (100 + PERCENT)
+                    j = j[(root[j] != root[i]) & (most >= needed) & (spare[i] >= needed) & (spare[j] >= needed)]
                     if len(j):
                         one.append(np.full(len(j), i))
                         two.append(j)
@@ -250,13 +281,11 @@ def open_pairs(matrix: DataFrame, roots: DataFrame, met: DataFrame) -> DataFrame
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    dealt = dealt.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    dealt = mixed.select(*names).repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     found = dealt.mapInArrow(product, "a long, b long, n long, m long, overlap long")
     summed = found.groupBy("a", "b", "n", "m").agg(F.sum("overlap").alias("overlap"))
-    n, m = F.col("n"), F.col("m")
-    needed = F.ceil((n + m) * PERCENT / (100 + PERCENT))
-    outside = F.least(_overlap(n), _overlap(m)) - 1
-    return summed.where(F.col("overlap") >= needed - outside).drop("overlap")
+    needed = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
+    return summed.where(F.col("overlap") >= F.least(F.lit(COUNTED), needed)).drop("overlap")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -293,18 +322,30 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadca
     wanted = left.where("key IS NOT NULL").select(F.col("key").alias("_wanted")).distinct()
     texts = docs.join(_small(wanted, max_broadcast), F.col(key) == F.col("_wanted"), "left_semi")
     nodes = _small(left.select("node"), max_broadcast)
-    sets = staged(whole_sets(texts, text).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = staged(whole_sets(texts, text).join(nodes, "node", "left_semi"), "sets")
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # keys that stand for several rows
+        sets = staged(sets.dropDuplicates(["node"]), "sets")
     matrix = staged(incidence(sets), "matrix")
-    met = staged(overlaps(central_pairs(matrix, None), sets, max_broadcast), "met")
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        return staged(overlaps(pairs, sets, max_broadcast), name)
+
+    alone = matrix.withColumns({"root": F.col("node"), "centre": F.col("node"), "inside": F.col("shared")})
+    met = compared(central_pairs(alone), "met")
     links = met.where("linked").select("a", "b")
+    centred = compared(centre_pairs(matrix, met, components(links)), "centred")
+    links = links.unionByName(centred.where("linked").select("a", "b"))
     roots = components(links)
-    for _ in range(rounds - 1):
-        found = staged(overlaps(central_pairs(matrix, roots), sets, max_broadcast).where("linked").select("a", "b"), "central-links")
+    # The centre's overlap, where it was not the node that was met.
+    met = centred.unionByName(met.join(centred.select("b"), "b", "left_anti"))
+    matrix = staged(with_centres(matrix, met), "centred-matrix")
+    for _ in range(rounds):
+        found = compared(central_pairs(_with_roots(matrix, roots)), "central").where("linked").select("a", "b")
         if found.isEmpty():
             break
         links = links.unionByName(found)
         roots = components(links)
-    more = staged(overlaps(open_pairs(matrix, roots, met), sets, max_broadcast).where("linked").select("a", "b"), "open-links")
+    more = compared(open_pairs(_with_roots(matrix, roots)), "open").where("linked").select("a", "b")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     grouped = rows.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))

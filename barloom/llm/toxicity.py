@@ -45,6 +45,8 @@ SLOT_BITS = 22
 #: A feature must be this much beyond chance, and so many times as frequent in toxic texts.
 LEAST_Z, LEAST_RATIO = 5.0, 5.0
 BEGINNINGS = (4, 5)
+#: Texts are handled in blocks of about so many bytes, whose arrays stay small.
+BLOCK_BYTES = 1 << 18
 
 _SYMBOLS = 29
 _SYMBOL = np.full(256, 28, dtype=np.int32)
@@ -73,7 +75,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(_SYMBOLS**3, dtype=np.int64)
         for batch in batches:
-            for words in wordhash.blocks(batch.column(0)):
+            for words in wordhash.blocks(batch.column(0), BLOCK_BYTES):
                 s = _SYMBOL[words.data]
                 if len(s) > 2:
                     held += np.bincount((s[:-2] * _SYMBOLS + s[1:-1]) * _SYMBOLS + s[2:], minlength=len(held))
@@ -237,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(log_p)
         for batch in batches:
-            for words in wordhash.blocks(batch.column("_text")):
+            for words in wordhash.blocks(batch.column("_text"), BLOCK_BYTES):
                 row, slot, _ = slots(words, decoder)
                 pair = np.unique(row * (1 << SLOT_BITS) + slot)
                 begin = np.searchsorted(pair, np.arange(words.rows + 1) << SLOT_BITS).astype(np.int32)
@@ -292,7 +294,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         place = np.full(1 << SLOT_BITS, -1, dtype=np.int16)
         place[model.slots] = np.arange(len(model.slots), dtype=np.int16)
         for batch in batches:
-            for words in wordhash.blocks(batch.column("_text")):
+            for words in wordhash.blocks(batch.column("_text"), BLOCK_BYTES):
                 row, slot, restored = slots(words, decoder)
                 column = place[slot].astype(np.int64)
                 hit = column >= 0
