@@ -67,13 +67,9 @@ def currency_label(code: Column) -> Column:
 
 
 def with_rate(df: DataFrame, fx: DataFrame, code: str, name: str) -> DataFrame:
-    """Add units of ``code`` per USD; USD is 1, unknown or zero rates are NULL.
-
-    The rate table holds one row per currency, so the broadcast is bounded by
-    the number of currencies in the world.
-    """
+    """Add units of ``code`` per USD; USD is 1, unknown or zero rates are NULL."""
     rates = fx.select(F.upper(F.trim("code")).alias("_code"), F.expr("nullif(per_usd, 0D)").alias("_per_usd"))
-    joined = df.join(F.broadcast(rates), _code(F.col(code)) == F.col("_code"), "left")
+    joined = df.join(rates, _code(F.col(code)) == F.col("_code"), "left")
     return joined.withColumn(name, F.when(_code(F.col(code)) == "USD", 1.0).otherwise(F.col("_per_usd"))).drop(
         "_code", "_per_usd"
     )

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from barloom.session import cut_lineage
+
 # Filing forms by kind.
 ANNUAL_FORMS = ("10-K", "10-K/A", "20-F", "20-F/A", "40-F", "40-F/A")
 QUARTERLY_FORMS = ("10-Q", "10-Q/A")
@@ -320,12 +322,16 @@ def _wide(facts: DataFrame, keys: list[str], value: str, kind: Column, minimum:
 
 
 def normalize(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(annual, quarterly, currency) from raw facts."""
-    mapped = mapped_facts(facts)
-    currency = reporting_currency(mapped)
-    rows = in_currency(mapped, currency)
-    calendar = fiscal_calendar(rows)
-    annual = annual_facts(rows, calendar)
+    """(annual, quarterly, currency) from raw facts.
+
+    Facts are read once and dealt by symbol; what several later steps read is
+    written in between, so no step repeats the ones before it.
+    """
+    mapped = cut_lineage(mapped_facts(facts).repartition("symbol"))
+    currency = cut_lineage(reporting_currency(mapped))
+    rows = cut_lineage(in_currency(mapped, currency))
+    calendar = cut_lineage(fiscal_calendar(rows))
+    annual = cut_lineage(annual_facts(rows, calendar))
     quarters = quarter_facts(rows, calendar, annual)
     annual_wide = _wide(annual, ["fiscal_year", "end", "period_start"], "val", F.lit("reported"), 3)
     quarter_wide = _wide(quarters.withColumn("quarter", F.concat(F.lit("Q"), F.col("q").cast("string"))), ["fiscal_year", "quarter", "end"], "value", F.col("kind"), 2)

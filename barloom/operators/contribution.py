@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from barloom.functions.numeric import computed_once
 from barloom.functions.xirr import with_xirr
+from barloom.session import cut_lineage
 
 # Securities whose predecessor equity was cancelled.
 HISTORY_BREAKS = [("CHRD", "2020-11-20", "predecessor shares cancelled in 2020; the later listing is not the same holding")]
@@ -35,8 +36,8 @@ def breaks_table(spark) -> DataFrame:
 
 
 def continuity_issues(symbols: DataFrame, breaks: DataFrame, as_of: Column, years: int = 10) -> DataFrame:
-    """Symbols whose history was broken inside the plan's window. The break list is a curated table of a few rows."""
-    hit = F.broadcast(breaks.select(F.upper("symbol").alias("_s"), "valid_from", "reason"))
+    """Symbols whose history was broken inside the plan's window."""
+    hit = breaks.select(F.upper("symbol").alias("_s"), "valid_from", "reason")
     return symbols.join(hit, F.upper("symbol") == F.col("_s")).filter(plan_start(as_of, years) < F.col("valid_from")).drop("_s")
 
 
@@ -144,15 +145,16 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     """Row numbers over the whole table without one global window partition.
 
     Rows are range-partitioned by the order, numbered inside their partition and
-    shifted by the size of the partitions before it. The explicit partition
-    count keeps adaptive execution from merging partitions between the two reads.
+    shifted by the size of the partitions before it. Range bounds are drawn from a
+    sample each time an exchange runs, so the dealt rows are written once, with
+    their partition's number, and both the counts and the rows read that.
     """
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *order).withColumn("_p", F.spark_partition_id())
+    ranged = cut_lineage(df.repartitionByRange(count, *order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition: a table of fixed size.
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_p").orderBy(*order)
-    numbered = ranged.withColumn("_i", F.row_number().over(inside))
+    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     return (
         numbered.join(F.broadcast(before), "_p")
         .withColumn(name, (F.col("_i") + F.col("_before")).cast("int"))

@@ -176,9 +176,8 @@ def merge_rates(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def feed_checks(universe: DataFrame, bars: DataFrame, as_of: dt.date | str) -> DataFrame:
     """Data facts an operator looks at first: counts, newest date, older than five days or not."""
-    stats = feed_stats(bars).withColumn("_k", F.lit(1))
-    members = universe.agg(F.count_distinct("symbol").alias("universe_symbols")).withColumn("_k", F.lit(1))
+    listed = universe.agg(F.count_distinct("symbol")).scalar()
     age = F.datediff(F.lit(as_of).cast("date"), F.col("latest_date"))
-    return members.join(F.broadcast(stats), "_k").select(
-        "universe_symbols", F.col("symbols").alias("priced_symbols"), "latest_date", age.alias("age_days"), (age > 5).alias("too_old")
+    return feed_stats(bars).select(
+        listed.alias("universe_symbols"), F.col("symbols").alias("priced_symbols"), "latest_date", age.alias("age_days"), (age > 5).alias("too_old")
     )

@@ -41,7 +41,7 @@ LABELS = {
 SCAN_PATTERNS = ("breakout", "retest", "cup_handle", "double_bottom")
 STUDY_PATTERNS = ("breakout", "retest", "cup_handle", "double_bottom", "head_shoulders")
 STUDY_WINDOW = 420
-HIT_FIELDS = ("name", "side", "score", "confidence", "level")
+HIT_FIELDS = ("name", "side", "score", "confidence", "level", "label", "reasons")
 
 
 def _frames(timeframe: str) -> dict[str, tuple[str, str, int, int]]:
@@ -133,7 +133,7 @@ def with_pattern_features(
     """
     timeframe = check_timeframe(timeframe)
     w = by_symbol()
-    out = with_ema(bars, [20, 50, 200], one_block=timeframe != "D")
+    out = with_ema(bars, [20, 50, 200])
     first = {"rn": F.row_number().over(w)}
     if keep_last:
         first["_n"] = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
@@ -249,13 +249,16 @@ def _with_shoulders(df: DataFrame, timeframe: str) -> DataFrame:
     ).drop(*made)
 
 
-def _hit(name: str, side: str, score: Column, confidence: Column, level: Column) -> Column:
+def _hit(name: str, side: str, score: Column, confidence: Column, level: Column, *reasons: Column) -> Column:
+    """Hit struct; ``reasons`` are short texts, null ones do not apply."""
     return F.struct(
         F.lit(name).alias("name"),
         F.lit(side).alias("side"),
         score.alias("score"),
         confidence.alias("confidence"),
         level.alias("level"),
+        F.lit(LABELS[name]).alias("label"),
+        F.array_compact(F.array(*reasons)).alias("reasons"),
     )
 
 
@@ -271,7 +274,13 @@ def breakout(timeframe: str) -> Column:
         & (vr >= 1.15)
         & (rise <= 15.0)
     )
-    return F.when(fires, _hit("breakout", "BUY", score, F.least(F.lit(96.0), F.lit(62.0) + rise + bonus), level))
+    reasons = (
+        F.format_string("close above the earlier high %.2f", level),
+        F.format_string("volume %.2f times its average", vr),
+        F.lit("close above EMA50"),
+        F.when(close > F.col("ema200"), "close above EMA200"),
+    )
+    return F.when(fires, _hit("breakout", "BUY", score, F.least(F.lit(96.0), F.lit(62.0) + rise + bonus), level, *reasons))
 
 
 def retest(timeframe: str) -> Column:
@@ -287,7 +296,12 @@ def retest(timeframe: str) -> Column:
     )
     score = F.least(F.lit(92.0), F.lit(60.0) + quality * 14 + F.least(F.lit(13.0), vr * 5))
     confidence = F.least(F.lit(93.0), F.lit(60.0) + quality * 20 + F.least(F.lit(10.0), vr * 4))
-    return F.when(fires, _hit("retest", "BUY", score, confidence, level))
+    reasons = (
+        F.format_string("earlier resistance %.2f held as support", level),
+        F.lit("close back above the level"),
+        F.format_string("volume %.2f times its average", vr),
+    )
+    return F.when(fires, _hit("retest", "BUY", score, confidence, level, *reasons))
 
 
 def cup_handle(timeframe: str) -> Column:
@@ -306,7 +320,12 @@ def cup_handle(timeframe: str) -> Column:
     )
     score = F.least(F.lit(96.0), F.lit(64.0) + depth * 55 + F.least(F.lit(12.0), vr * 4))
     confidence = F.least(F.lit(95.0), F.lit(62.0) + depth * 50 + F.least(F.lit(10.0), vr * 3))
-    return F.when(fires, _hit("cup_handle", "BUY", score, confidence, handle_hi))
+    reasons = (
+        F.format_string("cup %.1f%% deep", depth * 100),
+        F.format_string("handle gave back %.1f%%", pullback * 100),
+        F.format_string("close above the handle's high %.2f", handle_hi),
+    )
+    return F.when(fires, _hit("cup_handle", "BUY", score, confidence, handle_hi, *reasons))
 
 
 def head_shoulders(timeframe: str) -> Column:
@@ -321,6 +340,9 @@ def head_shoulders(timeframe: str) -> Column:
             F.least(F.lit(91.0), F.lit(60.0) + height * 85),
             F.least(F.lit(91.0), F.lit(60.0) + height * 70),
             neckline,
+            F.format_string("head at %.2f above both shoulders", F.col("shoulder_head")),
+            F.format_string("close below the neckline %.2f", neckline),
+            F.lit("bearish: lowers conviction in a long entry"),
         ),
     )
 
@@ -381,7 +403,10 @@ def _double_bottom_of(timeframe: str) -> str:
              named_struct('name', 'double_bottom', 'side', 'BUY',
                'score', least(94.0D, 61.0D + (s.neck - s.foot) / nullif(s.foot, 0D) * 70 + least(12.0D, c.vr * 4)),
                'confidence', least(94.0D, 60.0D + (s.neck - s.foot) / nullif(s.foot, 0D) * 65 + least(10.0D, c.vr * 3)),
-               'level', s.neck), null)
+               'level', s.neck, 'label', '{LABELS["double_bottom"]}',
+               'reasons', array(format_string('two lows near %.2f after a fall of %.1f%%', s.foot, (s.prior - s.left_low) / nullif(s.prior, 0D) * 100),
+                                format_string('close above the neckline %.2f', s.neck),
+                                format_string('volume %.2f times its average', c.vr))), null)
       )[0]
     """
 
@@ -407,11 +432,13 @@ def detect(
     patterns: tuple[str, ...] = SCAN_PATTERNS,
     keep: list[str] | None = None,
     only: Column | None = None,
+    also: Column | None = None,
 ) -> DataFrame:
     """Bars with at least one hit: ``symbol, date, rn, hits, <keep>``.
 
     ``hits`` holds the hit structs by score, highest first, ties in the order
-    the patterns were asked for. ``only`` limits the evaluated bars.
+    the patterns were asked for. ``only`` limits the evaluated bars. Bars where
+    ``also`` holds come out as well, with an empty ``hits`` if nothing fired.
     """
     timeframe = check_timeframe(timeframe)
     keep = list(keep or [])
@@ -419,6 +446,7 @@ def detect(
     wanted = only if only is not None else F.lit(True)
     order = {p: i for i, p in enumerate(patterns)}
     plain = [p for p in patterns if p != "double_bottom"]
+    also = F.coalesce(also, F.lit(False)) if also is not None else F.lit(False)
 
     def ranked(column: Column, name: str) -> Column:
         return F.when(
@@ -427,7 +455,8 @@ def detect(
 
     direct = F.array_compact(F.array(*[ranked(DETECTORS[p](timeframe), p) for p in plain])) if plain else None
     if "double_bottom" not in patterns:
-        out = features.filter(wanted).withColumn("_r", direct).filter(F.size("_r") > 0)
+        out = features.withColumn("_r", F.when(wanted, direct).otherwise(F.array_compact(F.array(F.when(F.lit(False), direct[0])))))
+        out = out.filter((F.size("_r") > 0) | also)
         return out.select(
             "symbol", "date", "rn", F.transform(F.array_sort("_r"), lambda x: x["h"]).alias("hits"), *keep
         )
@@ -440,13 +469,16 @@ def detect(
     direct_fires = F.lit(False)
     if direct is not None:
         base = base.withColumn("_r", direct)
-        direct_fires = wanted & (F.size("_r") > 0)
-        fields.append("_r")
+        direct_fires = F.col("_fires")
+        base = base.withColumn("_fires", F.coalesce(wanted & (F.size("_r") > 0), F.lit(False)))
+        fields += ["_r", "_fires"]
+    base = base.withColumn("_also", also)
+    fields.append("_also")
     bar = F.struct(*[F.col(c) for c in fields], F.col("_candidate"))
     grouped = base.groupBy("symbol").agg(
         F.sort_array(F.collect_list(F.struct("rn", "high"))).alias("_h"),
         F.sort_array(F.collect_list(F.when(F.col("is_low_pivot"), F.struct("rn", "low")))).alias("_feet"),
-        F.collect_list(F.when(direct_fires | F.col("_candidate"), bar)).alias("_bars"),
+        F.collect_list(F.when(direct_fires | F.col("_candidate") | F.col("_also"), bar)).alias("_bars"),
     )
     grouped = (
         grouped.filter(F.size("_bars") > 0)
@@ -457,13 +489,13 @@ def detect(
         f"transform(_bars, c -> named_struct('c', c, 'db', if(c._candidate, {_double_bottom_of(timeframe)}, null)))"
     )
     if direct is None:
-        searched = F.filter(searched, lambda x: x["db"].isNotNull())
+        searched = F.filter(searched, lambda x: x["db"].isNotNull() | x["c"]["_also"])
     rows = grouped.select("symbol", F.inline(searched))
     double = ranked(F.col("db"), "double_bottom")
     parts = [F.array_compact(F.array(double))]
     if direct is not None:
-        parts.insert(0, F.col("c._r"))
-    rows = rows.withColumn("_all", F.concat(*parts)).filter(F.size("_all") > 0)
+        parts.insert(0, F.when(F.col("c._fires"), F.col("c._r")).otherwise(F.slice("c._r", 1, 0)))
+    rows = rows.withColumn("_all", F.concat(*parts)).filter((F.size("_all") > 0) | F.col("c._also"))
     return rows.select(
         "symbol",
         F.col("c.date").alias("date"),
@@ -493,6 +525,19 @@ def technical_score(hits: Column) -> Column:
     return clamp(total, 0, 100)
 
 
+def technical_reasons(hits: Column) -> Column:
+    """What added to or took from the technical score, as short texts."""
+    close = F.col("close")
+    return F.array_compact(
+        F.array(
+            *[F.when(close > F.col(f"ema{n}"), f"close above EMA{n}") for n in (20, 50, 200)],
+            F.when(F.col("vr20") >= 1.35, "volume well above its average"),
+            F.when(F.col("phase") == "RUN", "market phase RUN"),
+            F.when(F.exists(hits, lambda h: h["side"] == "SELL"), "bearish pattern"),
+        )
+    )
+
+
 def pattern_label(name: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     return F.coalesce(F.try_element_at(table, name), name)

@@ -96,12 +96,15 @@ def with_segment_shares(valid: DataFrame, today: dt.date | str) -> DataFrame:
     )
 
 
-def business_fields(symbols: DataFrame, journal: DataFrame, catalog: DataFrame, filings: DataFrame, fields: dict[str, tuple[str | None, str | None, str | None]]) -> DataFrame:
+def business_fields(symbols: DataFrame, journal: DataFrame, catalog: DataFrame, filings: DataFrame, fields: dict[str, tuple[str | None, str | None, str | None]], names: DataFrame | None = None) -> DataFrame:
     """Each field from the journal, else the catalog, else the filing, with its origin.
 
     ``fields``: output name -> (journal column, catalog column, filing column).
-    The catalog is looked up by alias.
+    ``names`` (alias, symbol), as ``aliases`` makes it, lets a symbol find its
+    catalog entry under another name.
     """
+    if names is not None:
+        catalog = catalog.join(names, "symbol").drop("symbol").withColumnRenamed("alias", "symbol")
     sources = {"journal": journal, "reference": catalog, "filing": filings}
     out = symbols.select("symbol")
     for name, df in sources.items():

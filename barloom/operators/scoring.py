@@ -262,7 +262,7 @@ def technical_insight(score: Column, hits: Column) -> Column:
     return _insight(
         "technical", score, _label(score, 78, "A setup", 58, "Watch", "Weak"),
         F.when(F.size(hits) > 0, F.concat(F.lit("detected: "), names)).otherwise("no pattern"),
-        F.slice(F.transform(hits, lambda h: F.format_string("%s level %.2f", h["name"], h["level"])), 1, 5),
+        F.transform(hits, lambda h: F.format_string("%s level %.2f", h["name"], h["level"])),
     )
 
 
@@ -273,7 +273,7 @@ def financial_insight(score: Column) -> Column:
         F.when(pending, "Pending").otherwise(_label(score, 75, "Strong", 55, "Check", "Weak")),
         F.when(pending, "no verified statements").when(score >= 65, "supports the setup").otherwise("needs caution"),
         F.when(pending, F.array().cast("array<string>")).otherwise(
-            F.concat(F.slice(financial_bullets(), 1, 4), F.slice(financial_warnings(), 1, 2))
+            F.concat(financial_bullets(), financial_warnings())
         ),
     )
 
@@ -288,7 +288,7 @@ def business_insight(score: Column) -> Column:
 def valuation_insight(score: Column) -> Column:
     return _insight(
         "valuation", score, _label(score, 72, "Attractive", 55, "Fair", "Expensive"), F.lit("price against value"),
-        F.slice(valuation_warnings(), 1, 2),
+        valuation_warnings(),
     )
 
 

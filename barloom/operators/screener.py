@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import compound_growth
+from barloom.functions.numeric import compound_growth, computed_once
 
 # Industry group -> words in the filed industry name, first match in this order.
 INDUSTRY_GROUPS = {
@@ -77,7 +77,7 @@ TRENDS = {
 
 
 def classify_industry(industry: Column) -> Column:
-    """Group of the first needle found, in declared order; one regex per group."""
+    """Group of the first needle found, in declared order."""
     text = F.lower(F.trim(F.coalesce(industry, F.lit(""))))
     out = F.when(text == "", UNCLASSIFIED)
     for group, needles in INDUSTRY_GROUPS.items():
@@ -119,8 +119,9 @@ def build_screener(filings: DataFrame, snapshots: DataFrame, quality: DataFrame,
     out = filings.join(snapshots.select("symbol", "name", "market"), "symbol")
     if market.upper() != "ALL":
         out = out.filter(F.upper("market") == market.upper())
-    out = out.withColumn("industry_group", classify_industry(F.col("industry")))
-    out = out.withColumn("trends", trends_of(F.col("industry_group"))).join(quality, "symbol", "left")
+    # Some hundred comparisons, made once per company and not copied into every use.
+    out = computed_once(out, {"industry_group": classify_industry(F.col("industry"))})
+    out = computed_once(out, {"trends": trends_of(F.col("industry_group"))}).join(quality, "symbol", "left")
     if reviewed is not None:
         out = out.join(reviewed.select("symbol", F.lit(True).alias("_r")).distinct(), "symbol", "left")
         return out.withColumn("reviewed", F.coalesce("_r", F.lit(False))).drop("_r")

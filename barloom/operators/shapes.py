@@ -70,9 +70,10 @@ def last_per_period(bars: DataFrame, timeframe: str) -> DataFrame:
     )
 
 
-def shape_index(bars: DataFrame, listing: DataFrame, as_of, timeframe: str = "D", bars_kept: int = 180) -> DataFrame:
-    """Symbols with the closes of their newest completed bars, at most ``bars_kept`` each."""
-    tail = last_per_period(last_bars(completed(bars, as_of), bars_kept), timeframe)
+def shape_index(bars: DataFrame, listing: DataFrame, as_of, timeframe: str = "D", bars_kept: int | None = None) -> DataFrame:
+    """Symbols with the closes of their completed bars; of the newest ``bars_kept`` if given."""
+    done = completed(bars, as_of)
+    tail = last_per_period(done if bars_kept is None else last_bars(done, bars_kept), timeframe)
     series = tail.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "close")))["close"].alias("closes"))
     return series.join(listing, "symbol")
 

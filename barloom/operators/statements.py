@@ -16,6 +16,7 @@ from pyspark.sql import Window
 
 from barloom.functions.currency import currency_label, currency_name, trading_currency
 from barloom.functions.numeric import compound_growth, ratio, snapshot_growth, statement_growth
+from barloom.session import cut_lineage
 
 # Statement lines and how they behave.
 METRICS = (
@@ -279,8 +280,10 @@ def coverage(
     """Statement coverage per symbol: years, quarters, gaps and a status.
 
     ``universe`` adds symbols without any statement; ``excluded`` lists
-    transition periods (symbol, period_end, source_form).
+    transition periods (symbol, period_end, source_form). Both statement tables
+    are read several times, so they are written once first.
     """
+    annual, quarters = cut_lineage(annual), cut_lineage(quarters)
     core = len(CORE_METRICS)
     five = last_periods(annual, 5).withColumn("_core", core_count())
     a = five.groupBy("symbol").agg(

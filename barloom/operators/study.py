@@ -43,39 +43,43 @@ def outcome(horizon: int, direction: Column, cost_bps: float, entry: Column | No
     return F.when(exit_close.isNotNull() & (price != 0), value)
 
 
-def apply_cooldown(signals: DataFrame, cooldown: int, index: str = "rn", key: str = "symbol") -> DataFrame:
+def apply_cooldown(signals: DataFrame, cooldown: int, index: str = "rn", key: str = "symbol", counts: Column | None = None, also: Column | None = None) -> DataFrame:
     """Greedy selection per symbol: a signal counts when at least ``cooldown`` bars after the last kept one.
 
-    A fold over the sorted signals of one symbol. Signals are sparse and at most
-    one per bar, so a group is bounded by the number of trading days.
+    Rows where ``counts`` holds (all by default) are signals; the fold sees their
+    bar numbers only. Rows where ``also`` holds come out whatever the fold says.
+    With either given, ``is_signal`` tells the kept signals.
     """
+    counts = counts if counts is not None else F.lit(True)
+    kept_too = also if also is not None else F.lit(False)
     payload = [c for c in signals.columns if c != key]
-    grouped = signals.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(index).alias("_k"), F.struct(*payload).alias("_v")))).alias("_s")
-    )
-    element = grouped.schema["_s"].dataType.elementType.simpleString()
-    start = F.struct(
-        F.lit(-(2**31)).cast("long").alias("last"),
-        F.expr(f"cast(array() as array<{element}>)").alias("kept"),
+    marked = signals.withColumns({"_counts": F.coalesce(counts, F.lit(False)), "_also": F.coalesce(kept_too, F.lit(False))})
+    grouped = marked.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("_counts"), F.col(index).cast("long")))).alias("_k"),
+        F.collect_list(F.struct("_counts", "_also", F.col(index).cast("long").alias("_i"), F.struct(*payload).alias("_v"))).alias("_rows"),
     )
+    start = F.struct(F.lit(-(2**31)).cast("long").alias("last"), F.expr("cast(array() as array<bigint>)").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = x["_k"].cast("long") - acc["last"] >= cooldown
+        fresh = x - acc["last"] >= cooldown
         return F.struct(
-            F.when(fresh, x["_k"].cast("long")).otherwise(acc["last"]).alias("last"),
-            F.when(fresh, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
+            F.when(fresh, x).otherwise(acc["last"]).alias("last"),
+            F.when(fresh, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"),
         )
 
-    kept = grouped.select(key, F.explode(F.aggregate("_s", start, step)["kept"]).alias("_x"))
-    return kept.select(key, *[F.col("_x._v")[c].alias(c) for c in payload])
+    chosen = grouped.select(key, "_rows", F.aggregate("_k", start, step)["kept"].alias("_kept"))
+    told = F.transform(
+        "_rows", lambda r: F.struct((r["_counts"] & F.array_contains(F.col("_kept"), r["_i"])).alias("s"), r["_also"].alias("a"), r["_v"].alias("v"))
+    )
+    rows = chosen.select(key, F.explode(F.filter(told, lambda r: r["s"] | r["a"])).alias("_x"))
+    flag = [] if also is None else [F.col("_x.s").alias("is_signal")]
+    return rows.select(key, *[F.col("_x.v")[c].alias(c) for c in payload], *flag)
 
 
-def baseline_bars(bars: DataFrame, start: int, longest: int, step: int) -> DataFrame:
+def is_baseline_bar(start: int, longest: int, step: int) -> Column:
     """Every ``step``-th bar from ``start`` that still has a full holding period (0-based)."""
     index = F.col("rn") - 1
-    return bars.filter(
-        (index >= start) & (index < F.col("bar_count") - longest) & ((index - start) % max(1, step) == 0)
-    )
+    return (index >= start) & (index < F.col("bar_count") - longest) & ((index - start) % max(1, step) == 0)
 
 
 def summarize(outcomes: DataFrame, groupings: list[list[str]]) -> DataFrame:
@@ -126,18 +130,25 @@ def with_reliability(stats: DataFrame, minimum: int = RELIABLE_SIGNALS) -> DataF
     return stats.withColumn("reliable", F.col("samples") >= minimum)
 
 
-def edge_over(stats: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Return and hit-rate advantage over the baseline at the same horizon.
+def by_signals(stats: DataFrame) -> DataFrame:
+    """Group summaries with ``place``, their order inside a kind of grouping: most signals first, then by name."""
+    names = [c for c in ("pattern", "market") if c in stats.columns]
+    order = Window.partitionBy("group_kind", "horizon").orderBy(F.desc("samples"), *names)
+    return stats.withColumn("place", F.row_number().over(order))
+
+
+def edges_of(summary: DataFrame) -> DataFrame:
+    """Return and hit-rate advantage of signals over the baseline at the same horizon.
 
-    The baseline has one row per horizon, so broadcasting it is bounded by the
-    number of horizons asked for.
+    ``summary`` holds both, told apart by ``group_kind``; the baseline's figures
+    reach the other rows of their horizon in the same pass.
     """
-    base = baseline.select(
-        "horizon",
-        F.col("average_return_pct_net").alias("baseline_return_pct_net"),
-        F.col("hit_rate_pct").alias("baseline_hit_rate_pct"),
+    same = Window.partitionBy("horizon")
+    of_baseline = lambda c: F.max(F.when(F.col("group_kind") == "baseline", F.col(c))).over(same)
+    out = summary.withColumns(
+        {"baseline_return_pct_net": of_baseline("average_return_pct_net"), "baseline_hit_rate_pct": of_baseline("hit_rate_pct")}
     )
-    return stats.join(F.broadcast(base), "horizon", "left").withColumns(
+    return with_reliability(out.filter("market is null and group_kind not in ('market', 'baseline')")).withColumns(
         {
             "return_edge_pp": F.round(F.col("average_return_pct_net") - F.col("baseline_return_pct_net"), 3),
             "hit_rate_edge_pp": F.round(F.col("hit_rate_pct") - F.col("baseline_hit_rate_pct"), 2),
@@ -154,7 +165,7 @@ MINIMUM_EDGE_PP = 0.5
 def evidence(edges: DataFrame, timeframe: str) -> DataFrame:
     """Verdict per pattern at the longest measured horizon.
 
-    ``edges`` is the by-pattern output of :func:`edge_over`. Every pattern is
+    ``edges`` is the by-pattern output of :func:`edges_of`. Every pattern is
     judged at the study's longest horizon.
     """
     by_pattern = edges.filter("pattern is not null")
@@ -196,7 +207,7 @@ def with_best_evidence(signals: DataFrame, evidence_table: DataFrame, hits: str
     fired = signals.select("symbol", "date", F.struct(*others).alias("_row"), F.posexplode(hits).alias("_pos", "_hit")).withColumn(
         "pattern", F.col("_hit.name")
     )
-    joined = fired.join(F.broadcast(evidence_table), "pattern", "left").withColumns(
+    joined = fired.join(evidence_table, "pattern", "left").withColumns(
         {
             "available": F.coalesce("available", F.lit(False)),
             "tradeable": F.coalesce("tradeable", F.lit(False)),

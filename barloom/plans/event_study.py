@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -61,41 +61,42 @@ def event_study(
             listing = listing.orderBy("symbol").limit(max_symbols)
     prepared = study_bars(bars, listing, timeframe, as_of, longest)
     features = with_pattern_features(prepared, timeframe, patterns, STUDY_WINDOW)
-    features = features.withColumns(ST.forward_columns(horizons))
+    features = features.withColumns({**ST.forward_columns(horizons), "is_baseline": ST.is_baseline_bar(start, longest, baseline_step)})
     outcome_columns = [f"{n}_{h}" for h in horizons for n in ("exit", "low", "high")]
     index = F.col("rn") - 1
     in_range = (index >= start) & (index < F.col("bar_count") - longest)
-    hits = detect(features, timeframe, patterns, keep=["market", "close", *outcome_columns], only=in_range)
-    hits = hits.withColumn("hit", F.col("hits")[0]).withColumn(
-        "direction", F.when(F.col("hit.side") == "SELL", -1).otherwise(1)
+    # Signals and the baseline's bars are rows of one pass over the features.
+    hits = detect(
+        features, timeframe, patterns, keep=["market", "close", "is_baseline", *outcome_columns], only=in_range, also=F.col("is_baseline")
     )
-    kept = ST.apply_cooldown(
-        hits.filter(F.col("close") != 0).select(
-            "symbol", "rn", "date", "market", F.col("hit.name").alias("pattern"), F.col("hit.side").alias("side"),
-            "direction", "close", *outcome_columns,
-        ),
-        cooldown,
-    )
-    outcomes = F.array(
-        *[
-            F.struct(F.lit(h).alias("horizon"), ST.outcome(h, F.col("direction"), cost_bps).alias("o"))
-            for h in horizons
+    hit = F.try_element_at("hits", F.lit(1))
+    hits = hits.select(
+        "symbol", "rn", "date", "market", hit["name"].alias("pattern"), hit["side"].alias("side"),
+        F.when(hit["side"] == "SELL", -1).otherwise(1).alias("direction"), "close", "is_baseline", *outcome_columns,
+    ).filter(F.col("close") != 0)
+    kept = ST.apply_cooldown(hits, cooldown, counts=F.col("pattern").isNotNull(), also=F.col("is_baseline"))
+
+    def outcomes(kind: str, direction: Column) -> list[Column]:
+        return [
+            F.struct(F.lit(kind).alias("kind"), F.lit(h).alias("horizon"), ST.outcome(h, direction, cost_bps).alias("o")) for h in horizons
         ]
+
+    both = F.concat(
+        F.when(F.col("is_signal"), F.array(*outcomes("signal", F.col("direction")))).otherwise(F.slice(F.array(*outcomes("signal", F.col("direction"))), 1, 0)),
+        F.when(F.col("is_baseline"), F.array(*outcomes("baseline", F.lit(1)))).otherwise(F.slice(F.array(*outcomes("baseline", F.lit(1))), 1, 0)),
     )
-    events = kept.select(
-        "symbol", "market", "pattern", "side", F.lit(timeframe).alias("timeframe"), F.col("date").alias("signal_date"),
-        F.explode(outcomes).alias("x"),
-    ).select("symbol", "market", "pattern", "side", "timeframe", "signal_date", "x.horizon", "x.o.*").filter(
-        "return_pct is not null"
-    )
-    base_rows = prepared.withColumns({"rn": F.row_number().over(Window.partitionBy("symbol").orderBy("date"))})
-    base_rows = ST.baseline_bars(base_rows.withColumns(ST.forward_columns(horizons)), start, longest, baseline_step)
-    base_outcomes = F.array(
-        *[F.struct(F.lit(h).alias("horizon"), ST.outcome(h, F.lit(1), cost_bps).alias("o")) for h in horizons]
-    )
-    base_events = base_rows.select(F.explode(base_outcomes).alias("x")).select("x.horizon", "x.o.*").filter(
-        "return_pct is not null"
+    rows = kept.select(
+        "symbol", "market", "pattern", "side", F.lit(timeframe).alias("timeframe"), F.col("date").alias("signal_date"), F.explode(both).alias("x")
+    ).select("symbol", "market", "pattern", "side", "timeframe", "signal_date", "x.kind", "x.horizon", "x.o.*").filter("return_pct is not null")
+    signal = F.col("kind") == "signal"
+    named = rows.withColumns({c: F.when(signal, F.col(c)) for c in ("pattern", "market")})
+    summary = ST.summarize(named, [["kind"], ["kind", "pattern"], ["kind", "market"]])
+    # A grouping by pattern or market says nothing about the baseline.
+    summary = summary.filter("kind = 'signal' or group_kind = 'kind'")
+    kind = F.when(F.col("kind") == "baseline", "baseline").when(F.col("group_kind") == "kind", "overall").otherwise(
+        F.regexp_replace("group_kind", r"^kind\+", "")
     )
-    baseline = ST.summarize(base_events, [[]]).withColumn("group_kind", F.lit("baseline"))
-    stats = ST.with_reliability(ST.summarize(events, [[], ["pattern"], ["market"]]))
-    return EventStudy(events, stats, baseline, ST.edge_over(stats.filter("market is null and group_kind <> 'market'"), baseline))
+    summary = summary.withColumn("group_kind", kind)
+    stats = ST.with_reliability(summary.filter("kind = 'signal'").drop("kind"))
+    baseline = summary.filter("kind = 'baseline'").drop("kind", "pattern", "market")
+    return EventStudy(rows.filter(signal).drop("kind"), stats, baseline, ST.edges_of(summary).drop("kind"))

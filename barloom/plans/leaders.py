@@ -28,7 +28,7 @@ def long_run_leaders(
     day = F.lit(as_of).cast("date")
     breaks = breaks if breaks is not None else breaks_table(bars.sparkSession)
     broken = continuity_issues(names.select("symbol"), breaks, day, years).select("symbol")
-    usable = bars.join(names.select("symbol"), "symbol", "left_semi").join(F.broadcast(broken), "symbol", "left_anti")
+    usable = bars.join(names.select("symbol"), "symbol", "left_semi").join(broken, "symbol", "left_anti")
     plans = evaluate_plans(usable, as_of, years=years, min_months=min_months)
     ranked = rank_leaders(plans, min_return)
     return ranked.join(names.select("symbol", "name", "market", "sector", "index_groups"), "symbol")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numeric import computed_once
 from barloom.operators import scoring as X
-from barloom.operators.bars import check_timeframe, completed, resample, with_min_history
+from barloom.operators.bars import check_timeframe, completed, last_bars, resample, with_min_history
 from barloom.operators.filters import eligible, expected_eod, is_fresh
 from barloom.operators.liquidity import tail_metrics, with_liquidity
 from barloom.operators.patterns import SCAN_PATTERNS, detect, technical_score, with_pattern_features
@@ -171,3 +171,10 @@ def verification_counts(results: DataFrame) -> DataFrame:
     counts = results.groupBy(F.col("verification_level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     levels = results.sparkSession.createDataFrame([(k,) for k in X.LEVELS], "level string")
     return levels.join(counts, "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("results"))
+
+
+def symbol_detail(results: DataFrame, bars: DataFrame, snapshots: DataFrame, n: int = 180) -> DataFrame:
+    """The newest ``n`` bars of every result, with its scan row and snapshot beside them."""
+    detail = results.select("symbol", F.struct(*[c for c in results.columns if c != "symbol"]).alias("result"))
+    held = snapshots.select("symbol", F.struct(*[c for c in snapshots.columns if c != "symbol"]).alias("snapshot"))
+    return last_bars(bars, n).join(detail, "symbol").join(held, "symbol", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.operators import contribution as CO
 from barloom.operators import health as H
 from barloom.operators import journal as J
 from barloom.operators import screener as SC
@@ -25,8 +26,14 @@ def symbol_freshness(spark, d):
     return H.symbol_freshness(raw(spark, d), AS_OF)
 
 
+def _behind(bars, day, days):
+    """A feed that lags up to ``days`` days behind ``day``, by the symbol's number."""
+    number = F.substring("symbol", 2, 20).cast("int")
+    return bars.filter(F.col("date") < F.date_sub(F.lit(day).cast("date"), number % days))
+
+
 def oldest_stale(spark, d):
-    return H.oldest_stale(raw(spark, d).filter("date < DATE '2001-10-30'"), AS_OF)
+    return H.oldest_stale(_behind(raw(spark, d), "2001-10-30", 9), AS_OF)
 
 
 def stale_symbols(spark, d):
@@ -35,7 +42,7 @@ def stale_symbols(spark, d):
 
 def gap_fill(spark, d):
     bars = raw(spark, d)
-    out = H.fill_gaps(bars.filter("date < DATE '2001-10-20'"), bars, T.listing(spark, d), "2001-10-30")
+    out = H.fill_gaps(_behind(bars, "2001-10-29", 13), bars, T.listing(spark, d), "2001-10-30")
     return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max("date").alias("latest_date"))
 
 
@@ -71,15 +78,13 @@ def universe_overview(spark, d):
 def members_of(spark, d):
     """Part suppliers as index members: group = brand, symbol = supplier."""
     pairs = T.table(spark, d, "lineitem").join(T.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return pairs.select(F.col("p_brand").alias("group"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), "l_shipdate").filter(
-        "l_shipdate >= TIMESTAMP_NTZ '2001-01-01 00:00:00'"
-    )
+    return pairs.select(F.col("p_brand").alias("group"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), "l_shipdate")
 
 
 def membership_changes(spark, d):
     rows = members_of(spark, d)
-    old = rows.filter("l_shipdate < TIMESTAMP_NTZ '2001-05-01 00:00:00'")
-    new = rows.filter("l_shipdate >= TIMESTAMP_NTZ '2001-05-01 00:00:00'")
+    old = rows.filter("l_shipdate < TIMESTAMP_NTZ '1998-05-01 00:00:00'")
+    new = rows.filter("l_shipdate >= TIMESTAMP_NTZ '1998-05-01 00:00:00'")
     return U.membership_changes(old, new).withColumn("removed_share", F.round("removed_share", 6))
 
 
@@ -177,12 +182,13 @@ def shape_vectors(spark, d):
     rows = T.table(spark, d, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")
     )
-    rows = SH.with_shape(rows.select("vec_id", F.slice("v", 1, 40).alias("v")), "v")
-    return rows.select("vec_id", F.posexplode("shape").alias("i", "z")).filter("i % 9 = 0").select("vec_id", "i", F.round("z", 6).alias("z"))
+    # Closed to a ring of 65 points, so that resampling to 64 has something to do.
+    rows = SH.with_shape(rows.select("vec_id", F.concat("v", F.slice("v", 1, 1)).alias("v")), "v")
+    return rows.select("vec_id", F.posexplode("shape").alias("i", "z")).select("vec_id", "i", F.round("z", 6).alias("z"))
 
 
 def _index(spark, d):
-    return SH.shape_index(smooth(spark, d), T.listing(spark, d), AS_OF)
+    return SH.shape_index(smooth(spark, d), T.listing(spark, d), AS_OF, bars_kept=180)
 
 
 def shape_match(spark, d):
@@ -191,6 +197,12 @@ def shape_match(spark, d):
     return SH.match_shapes(index, query).select("symbol", F.round("score", 6).alias("score"))
 
 
+def ranked_orders(spark, d):
+    """All orders ranked by price, without one task that sees them all."""
+    rows = T.table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    return CO.global_rank(rows, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()])
+
+
 def shape_closes(spark, d):
     out = SH.last_per_period(smooth(spark, d), "W")
     return out
@@ -206,7 +218,7 @@ QUERIES = {
     for f in (
         price_health, symbol_freshness, oldest_stale, stale_symbols, gap_fill, retained_history, publish_guard, statement_health, feed_checks,
         universe_overview, membership_changes, membership_merge, member_counts, normalized_symbols, closed_trades, rejected_trades,
-        trade_summary, review_rules, screener, industry_counts, trend_counts, shape_vectors, shape_match, shape_closes,
+        trade_summary, review_rules, screener, industry_counts, trend_counts, shape_vectors, shape_match, shape_closes, ranked_orders,
     )
 }
 QUERIES["interpolated_series"] = interpolated
@@ -265,12 +277,12 @@ h AS (SELECT *, CASE WHEN m < DATE '2001-10-30' THEN 'stale' WHEN s < 0.97 * r O
   f AS symbols_fresh, r - s AS missing_count, 0 AS failed_count, round(s * 100.0::DOUBLE / r, 1) AS coverage FROM h""",
     "symbol_freshness": S.with_(S.RAW, _LATEST)
     + "SELECT count(*) AS checked, count(*) FILTER (latest_date >= DATE '2001-10-30') AS fresh, count(*) FILTER (latest_date < DATE '2001-10-30') AS stale, round(count(*) FILTER (latest_date >= DATE '2001-10-30') * 100.0::DOUBLE / count(*), 1) AS coverage_pct FROM latest",
-    "oldest_stale": S.with_(S.RAW, "latest AS (SELECT symbol, max(date) AS latest_date FROM raw_bars WHERE date < DATE '2001-10-30' GROUP BY 1)")
+    "oldest_stale": S.with_(S.RAW, "latest AS (SELECT symbol, max(date) AS latest_date FROM raw_bars WHERE date < DATE '2001-10-30' - CAST(substring(symbol, 2) AS INTEGER) % 9 GROUP BY 1)")
     + "SELECT * FROM latest WHERE latest_date < DATE '2001-10-30' ORDER BY latest_date, symbol LIMIT 12",
     "stale_symbols": S.with_(S.RAW, S.LISTING, _LATEST)
     + "SELECT l.symbol FROM listing l LEFT JOIN latest d ON d.symbol = l.symbol WHERE market = 'US' AND (latest_date IS NULL OR latest_date < DATE '2001-10-29')",
     "gap_fill": S.with_(S.RAW, S.LISTING, """
-b AS (SELECT symbol, date FROM raw_bars WHERE date < DATE '2001-10-20'),
+b AS (SELECT symbol, date FROM raw_bars WHERE date < DATE '2001-10-29' - CAST(substring(symbol, 2) AS INTEGER) % 13),
 f AS (SELECT r.symbol, max(r.date) AS date FROM raw_bars r JOIN listing l ON l.symbol = r.symbol AND l.market = 'US' WHERE r.date <= DATE '2001-10-30' GROUP BY 1),
 a AS (SELECT * FROM b UNION ALL SELECT f.symbol, f.date FROM f WHERE f.date > coalesce((SELECT max(b.date) FROM b WHERE b.symbol = f.symbol), DATE '1900-01-01'))""")
     + "SELECT symbol, count(*) AS bars, max(date) AS latest_date FROM a GROUP BY 1",
@@ -294,8 +306,8 @@ k AS (SELECT 'group' AS kind, unnest(string_split(upper(index_groups), '|')) AS
     + """SELECT kind, id, count(*) AS registered, count(latest_date) AS price_available, count(*) FILTER (latest_date >= DATE '2001-10-30') AS price_fresh,
   count(latest_date) - count(*) FILTER (latest_date >= DATE '2001-10-30') AS price_stale, count(*) - count(latest_date) AS price_missing,
   count(*) FILTER (status <> 'missing') AS financial_cached, count(*) FILTER (annual_complete) AS annual_5y, count(*) FILTER (status = 'complete') AS financial_complete FROM k GROUP BY 1, 2""",
-    "membership_changes": """WITH m AS (SELECT p_brand AS grp, 'S' || l_suppkey AS symbol, bool_or(l_shipdate < TIMESTAMP '2001-05-01') AS o, bool_or(l_shipdate >= TIMESTAMP '2001-05-01') AS n
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_shipdate >= TIMESTAMP '2001-01-01' GROUP BY 1, 2)
+    "membership_changes": """WITH m AS (SELECT p_brand AS grp, 'S' || l_suppkey AS symbol, bool_or(l_shipdate < TIMESTAMP '1998-05-01') AS o, bool_or(l_shipdate >= TIMESTAMP '1998-05-01') AS n
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
 SELECT grp AS "group", count(*) FILTER (n) AS members, count(*) FILTER (n AND NOT o) AS added, count(*) FILTER (o AND NOT n) AS removed, count(*) FILTER (o) AS before,
   round(count(*) FILTER (o AND NOT n)::DOUBLE / nullif(count(*) FILTER (o), 0), 6) AS removed_share,
   coalesce(count(*) FILTER (o AND NOT n)::DOUBLE / nullif(count(*) FILTER (o), 0) > 0.35, false) AS review FROM m GROUP BY 1""",
@@ -325,11 +337,12 @@ WHERE list_contains(trends, 'consumer') AND revenue_cagr >= -90 AND debt_to_equi
     "industry_counts": S.with_(*_COMPANIES) + "SELECT industry_group, count(*) AS companies FROM ct GROUP BY 1",
     "trend_counts": S.with_(*_COMPANIES)
     + "SELECT t.trend, count(c.symbol) AS companies FROM (SELECT unnest(['ai', 'cloud', 'healthcare', 'energy_transition', 'digital_finance', 'infrastructure', 'consumer', 'real_assets']) AS trend) t LEFT JOIN ct c ON list_contains(c.trends, t.trend) GROUP BY 1",
-    "shape_vectors": S.with_("src AS (SELECT vec_id AS id, CAST(embedding[1:40] AS DOUBLE[]) AS v FROM embeddings)", _zshape("src"))
-    + "SELECT id AS vec_id, i, round(z, 6) AS z FROM zs WHERE i % 9 = 0",
+    "shape_vectors": S.with_("src AS (SELECT vec_id AS id, CAST(embedding || embedding[1:1] AS DOUBLE[]) AS v FROM embeddings)", _zshape("src"))
+    + "SELECT id AS vec_id, i, round(z, 6) AS z FROM zs",
     "shape_match": S.with_(S.SMOOTH, _TAILS, _zshape("tl"))
     + """SELECT a.id AS symbol, round(greatest(0, least(100, (sum(a.z * b.z) / 64 + 1) * 50)), 6) AS score
 FROM zs a JOIN zs b ON a.i = b.i AND b.id = 'S1' GROUP BY 1 ORDER BY sum(a.z * b.z) DESC, a.id LIMIT 8""",
+    "ranked_orders": "SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders",
     "shape_closes": S.with_(S.SMOOTH) + "SELECT symbol, max(date) AS date, arg_max(close, date) AS close FROM smooth_bars GROUP BY symbol, date_trunc('week', date)",
     "interpolated_series": S.with_(S.RAW, """
 g AS (SELECT symbol, date - DATE '1995-01-01' AS i, CASE WHEN volume % 3 = 0 THEN close END AS v FROM raw_bars),

@@ -16,6 +16,8 @@ from barloom.sources import trade_ticks as T
 
 AS_OF = S.AS_OF
 WEEKLY = dict(timeframe="W", horizons=(5, 10, 20), cooldown=8)
+DAILY = dict(timeframe="D", horizons=(5, 10, 20), cooldown=20)
+MONTHLY = dict(timeframe="M", horizons=(3, 6, 12), cooldown=4)
 
 
 def bars_of(spark, d, timeframe):
@@ -92,6 +94,28 @@ def event_study_edges(spark, d):
     )
 
 
+def _edges(setting):
+    def run(spark, d):
+        return _study(spark, d, **setting).edges.select(
+            "pattern", "horizon", "samples", "return_edge_pp", "hit_rate_edge_pp", "baseline_return_pct_net"
+        )
+
+    return run
+
+
+def study_places(spark, d):
+    """Group summaries in their order: most signals first."""
+    places = ST.by_signals(_study(spark, d).stats)
+    return places.select("group_kind", "market", "pattern", "horizon", "samples", "place")
+
+
+def pattern_reasons(spark, d):
+    """Label and reasons of every weekly hit; numbers are masked, their printing differs between engines."""
+    hits = hits_of(spark, d, "W", P.STUDY_PATTERNS).select("symbol", "date", F.explode("hits").alias("h"))
+    masked = F.transform("h.reasons", lambda r: F.regexp_replace(r, r"[0-9]+\.[0-9]+", "#"))
+    return hits.select("symbol", "date", "h.name", "h.label", F.array_join(masked, "; ").alias("reasons"))
+
+
 def pattern_evidence(spark, d):
     return ST.evidence(_study(spark, d).edges, "W").select(
         "pattern", "timeframe", "verdict", "tradeable", "signals", "horizon_bars", "return_edge_pp", "hit_rate_edge_pp"
@@ -110,6 +134,10 @@ QUERIES = {
     "event_study_baseline": event_study_baseline,
     "event_study_edges": event_study_edges,
     "pattern_evidence": pattern_evidence,
+    "event_study_daily": _edges(DAILY),
+    "event_study_monthly": _edges(MONTHLY),
+    "study_places": study_places,
+    "pattern_reasons": pattern_reasons,
 }
 
 
@@ -125,8 +153,16 @@ def _fr(first, last):
     return f"OVER ({_W} ROWS BETWEEN {side(first)} AND {side(last)})"
 
 
-def features_sql(timeframe, base="smooth_bars", ctes=()):
-    """CTEs ending in ``all_hits``: features and one row per hit. ``ctes`` may define ``base``."""
+def _restarted_ema(window, spans=(20, 50, 200)):
+    """Averages over the newest ``window`` bars only."""
+    values = ", ".join(f"list_reduce(v, lambda a, b: (b - a) * (2.0::DOUBLE / {n + 1}) + a) AS ema{n}" for n in spans)
+    return f"""
+em AS (SELECT symbol, rn, {values}
+  FROM (SELECT symbol, rn, list(close) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS v FROM nb))"""
+
+
+def features_sql(timeframe, base="smooth_bars", ctes=(), window=None):
+    """CTEs ending in ``all_hits``: features and one row per hit. ``ctes`` may define ``base``; ``window`` restarts the averages."""
     b = lambda n: scaled_bars(n, timeframe)
     cup = b(170)
     ctes = [S.SMOOTH, *ctes]
@@ -134,7 +170,7 @@ def features_sql(timeframe, base="smooth_bars", ctes=()):
     if timeframe != "D":
         ctes.append(S.resampled(base, "tf_bars", timeframe))
         name = "tf_bars"
-    ctes += [S.numbered(name, "nb"), S.ema("nb", "em")]
+    ctes += [S.numbered(name, "nb"), _restarted_ema(window) if window else S.ema("nb", "em")]
     ctes.append(
         f"""
 f0 AS (SELECT b.*, e.ema20, e.ema50, e.ema200 FROM nb b JOIN em e ON b.symbol = e.symbol AND b.rn = e.rn),
@@ -283,25 +319,27 @@ kept AS (
 )"""
 
 
-def _study_ctes():
+def _study_ctes(timeframe="W", horizons=(5, 10, 20), cooldown=8):
+    start, longest = 24 if timeframe == "M" else 90, max(horizons)
+    # Only daily histories are longer than the study's window.
     return [
-        *features_sql("W"),
+        *features_sql(timeframe, window=P.STUDY_WINDOW if timeframe == "D" else None),
         S.LISTING,
-        """
-long_bars AS (SELECT f.*, l.market FROM f JOIN listing l ON f.symbol = l.symbol WHERE f.n >= 111),
+        f"""
+long_bars AS (SELECT f.*, l.market FROM f JOIN listing l ON f.symbol = l.symbol WHERE f.n >= {start + longest + 1}),
 first_hits AS (
   SELECT h.symbol, h.rn, h.date, l.market, h.name AS pattern, h.side, row_number() OVER (PARTITION BY h.symbol, h.rn ORDER BY h.score DESC, h.pos) AS pick
-  FROM all_hits h JOIN long_bars l ON l.symbol = h.symbol AND l.rn = h.rn WHERE h.rn - 1 >= 90 AND h.rn - 1 < l.n - 20
+  FROM all_hits h JOIN long_bars l ON l.symbol = h.symbol AND l.rn = h.rn WHERE h.rn - 1 >= {start} AND h.rn - 1 < l.n - {longest}
 ),
 sig AS (SELECT * FROM first_hits WHERE pick = 1)""",
-        _cooldown_ctes("sig", 8),
+        _cooldown_ctes("sig", cooldown),
         f"""
-horizons AS (SELECT unnest([5, 10, 20]) AS horizon),
+horizons AS (SELECT unnest({list(horizons)}) AS horizon),
 starts AS (
   SELECT s.symbol, s.rn, s.date, s.market, s.pattern, s.side, CASE WHEN s.side = 'SELL' THEN -1 ELSE 1 END AS dir
   FROM sig s JOIN kept k ON k.symbol = s.symbol AND k.rn = s.rn
 ),
-base_starts AS (SELECT symbol, rn, 1 AS dir FROM long_bars WHERE rn - 1 >= 90 AND rn - 1 < n - 20 AND (rn - 1 - 90) % 10 = 0),
+base_starts AS (SELECT symbol, rn, 1 AS dir FROM long_bars WHERE rn - 1 >= {start} AND rn - 1 < n - {longest} AND (rn - 1 - {start}) % 10 = 0),
 paths AS (
   SELECT b.symbol, b.rn, h.horizon, b.close AS entry,
     arg_max(x.close, x.rn) AS exit_close, min(x.low) AS lo, max(x.high) AS hi
@@ -310,7 +348,7 @@ paths AS (
   GROUP BY 1, 2, 3, 4
 ),
 events_out AS (
-  SELECT s.symbol, s.market, s.pattern, s.side, 'W' AS timeframe, s.date AS signal_date, p.horizon,
+  SELECT s.symbol, s.market, s.pattern, s.side, '{timeframe}' AS timeframe, s.date AS signal_date, p.horizon,
     round((exit_close / entry - 1) * 100 * dir, 3) AS return_pct,
     round((exit_close / entry - 1) * 100 * dir - 0.3, 3) AS return_pct_net,
     round((CASE WHEN dir > 0 THEN lo ELSE hi END / entry - 1) * 100 * dir, 3) AS max_drawdown_pct,
@@ -370,6 +408,27 @@ FROM events_out GROUP BY GROUPING SETS ((pattern, horizon), (market, horizon), (
     + f"SELECT 'baseline' AS group_kind, horizon, {_STATS} FROM base_out GROUP BY horizon",
     "event_study_edges": S.with_(*_study_ctes(), _EDGES, recursive=True)
     + "SELECT pattern, horizon, samples, return_edge_pp, hit_rate_edge_pp, baseline_return_pct_net FROM e",
+    **{
+        name: S.with_(*_study_ctes(**setting), _EDGES, recursive=True)
+        + "SELECT pattern, horizon, samples, return_edge_pp, hit_rate_edge_pp, baseline_return_pct_net FROM e"
+        for name, setting in (("event_study_daily", DAILY), ("event_study_monthly", MONTHLY))
+    },
+    "study_places": S.with_(*_study_ctes(), recursive=True)
+    + """
+SELECT *, row_number() OVER (PARTITION BY group_kind, horizon ORDER BY samples DESC, pattern NULLS FIRST, market NULLS FIRST) AS place FROM (
+  SELECT CASE WHEN GROUPING(pattern) = 0 THEN 'pattern' WHEN GROUPING(market) = 0 THEN 'market' ELSE 'overall' END AS group_kind, market, pattern, horizon, count(*) AS samples
+  FROM events_out GROUP BY GROUPING SETS ((pattern, horizon), (market, horizon), (horizon)))""",
+    "pattern_reasons": S.with_(*features_sql("W"), recursive=True)
+    + """
+SELECT h.symbol, h.date, h.name,
+  CASE h.name WHEN 'breakout' THEN 'Breakout' WHEN 'retest' THEN 'Breakout Retest' WHEN 'cup_handle' THEN 'Cup & Handle' WHEN 'double_bottom' THEN 'Double Bottom' ELSE 'Head & Shoulders' END AS label,
+  CASE h.name
+    WHEN 'breakout' THEN 'close above the earlier high #; volume # times its average; close above EMA50' || CASE WHEN f.close > f.ema200 THEN '; close above EMA200' ELSE '' END
+    WHEN 'retest' THEN 'earlier resistance # held as support; close back above the level; volume # times its average'
+    WHEN 'cup_handle' THEN 'cup #% deep; handle gave back #%; close above the handle''s high #'
+    WHEN 'double_bottom' THEN 'two lows near # after a fall of #%; close above the neckline #; volume # times its average'
+    ELSE 'head at # above both shoulders; close below the neckline #; bearish: lowers conviction in a long entry' END AS reasons
+FROM all_hits h JOIN f ON f.symbol = h.symbol AND f.rn = h.rn""",
     "pattern_evidence": S.with_(*_study_ctes(), _EDGES, recursive=True)
     + """
 SELECT pattern, 'W' AS timeframe,

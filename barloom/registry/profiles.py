@@ -49,6 +49,14 @@ def leaders(spark, d):
     return out.select("rank", "symbol", "market", F.round("annualized_return_pct", 5).alias("annualized_return_pct"), "ending_value")
 
 
+def podium(spark, d):
+    return L.podium(leaders(spark, d))
+
+
+def leaders_search(spark, d):
+    return L.search(L.long_run_leaders(adjusted(spark, d), T.listing(spark, d), AS_OF, min_return=0.0, **PLAN), " #00000001 ").select("rank", "symbol")
+
+
 def leader_counts(spark, d):
     names = T.listing(spark, d)
     broken = C.continuity_issues(names.select("symbol"), C.breaks_table(spark), F.lit(AS_OF).cast("date"))
@@ -119,6 +127,8 @@ QUERIES = {
     "contribution_plans": contribution_plans,
     "long_run_leaders": leaders,
     "leader_counts": leader_counts,
+    "podium": podium,
+    "leaders_search": leaders_search,
     "price_return": price_return,
     "asof_period_close": period_closes,
     "quality_stages": quality_stages,
@@ -303,3 +313,6 @@ g AS (SELECT symbol, min(date) AS start_date, max(date) AS end_date, arg_min(px,
   CASE WHEN n % 4 = 0 THEN 'USD' ELSE {RC._QUOTE} END AS reporting_currency, {RC._QUOTE} AS trading_currency
 FROM (SELECT *, CAST(substr(symbol, 2) AS BIGINT) AS n FROM listing) l LEFT JOIN complete c ON c.symbol = l.symbol""",
 }
+
+SQL["podium"] = f"SELECT * FROM ({SQL['long_run_leaders']}) WHERE rank <= 3"
+SQL["leaders_search"] = f"SELECT rank, symbol FROM ({SQL['long_run_leaders']}) JOIN supplier ON 'S' || s_suppkey = symbol WHERE contains(lower(symbol || ' ' || s_name), '#00000001')"

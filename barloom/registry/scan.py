@@ -23,6 +23,7 @@ from barloom.registry import patterns as RP
 from barloom.registry import sql as S
 from barloom.registry import statements as RS
 from barloom.registry.bars import smooth
+from barloom.session import cut_lineage
 from barloom.sources import order_statements as O
 from barloom.sources import trade_ticks as T
 
@@ -34,10 +35,10 @@ def daily(spark, d):
 
 
 def snapshots(spark, d):
-    annual = ST.add_ratios(O.annual_statements(spark, d))
-    fields = ST.snapshot_fields(annual).drop("as_of")
+    statements = cut_lineage(O.annual_statements(spark, d))
+    fields = ST.snapshot_fields(ST.add_ratios(statements)).drop("as_of")
     # History counts as complete where the newest year has positive operating cash.
-    complete = O.annual_statements(spark, d).groupBy("symbol").agg(
+    complete = statements.groupBy("symbol").agg(
         (F.max_by("operating_cash_flow", "period_end") > 0).alias("financial_history_complete")
     )
     fields = fields.join(complete, "symbol")
@@ -63,6 +64,11 @@ def target_selection(spark, d):
     return rows.select("symbol", "market")
 
 
+def target_selection_all(spark, d):
+    rows = FL.select_targets(T.listing(spark, d), ["US", "HK"], ["g0", "g2"])
+    return rows.select("symbol", "market")
+
+
 def liquidity(spark, d):
     rows = L.tail_metrics(daily(spark, d)).join(T.listing(spark, d), "symbol")
     out = L.with_liquidity(rows, O.fx_rates(spark, d))
@@ -138,9 +144,11 @@ def _risk(bearish):
 
 
 def _scan(spark, d, detail=False):
-    evidence = STU.evidence(ES.event_study(smooth(spark, d), T.listing(spark, d), as_of=AS_OF, **RP.WEEKLY).edges, "W")
+    bars = cut_lineage(smooth(spark, d))
+    # A scan reads stored evidence; here the study that makes it runs first.
+    evidence = cut_lineage(STU.evidence(ES.event_study(bars, T.listing(spark, d), as_of=AS_OF, **RP.WEEKLY).edges, "W"))
     return SC.scan_market(
-        smooth(spark, d), snapshots(spark, d), O.fx_rates(spark, d), evidence, as_of=AS_OF, patterns=STUDY_PATTERNS,
+        bars, snapshots(spark, d), O.fx_rates(spark, d), evidence, as_of=AS_OF, patterns=STUDY_PATTERNS,
         min_score=0.0, min_liquidity=0.0, timeframe="W", detail=detail,
     )
 
@@ -171,10 +179,21 @@ def scan_overview(spark, d):
     return out.withColumn("best_score", F.round("best_score", 5))
 
 
+def symbol_detail(spark, d):
+    bars = cut_lineage(smooth(spark, d))
+    rows = SC.symbol_detail(_scan(spark, d), completed(bars, AS_OF), T.listing(spark, d))
+    return rows.select("symbol", "date", F.round("close", 6).alias("close"), F.round("result.final_score", 5).alias("final_score"), F.col("snapshot.name").alias("name"))
+
+
+def verification_counts(spark, d):
+    return SC.verification_counts(_scan(spark, d))
+
+
 QUERIES = {
     "expected_eod": expected_eod,
     "eligible_symbols": eligible_symbols,
     "target_selection": target_selection,
+    "target_selection_all": target_selection_all,
     "liquidity_profile": liquidity,
     "trading_currency": currencies,
     "fx_conversion": fx_conversion,
@@ -185,6 +204,8 @@ QUERIES = {
     "market_scan": market_scan,
     "scan_detail": scan_detail,
     "scan_overview": scan_overview,
+    "verification_counts": verification_counts,
+    "symbol_detail": symbol_detail,
 }
 
 _DAY = f"done AS (SELECT * FROM smooth_bars WHERE date < DATE '{AS_OF}')"
@@ -363,6 +384,8 @@ FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)""",
     + "SELECT symbol, market, index_groups FROM listing WHERE market = 'TH' AND list_contains(string_split(index_groups, '|'), 'G1')",
     "target_selection": S.with_(S.LISTING)
     + "SELECT symbol, market FROM listing WHERE market IN ('US', 'HK') AND (index_groups LIKE '%|G0' OR index_groups LIKE '%|G2') ORDER BY symbol LIMIT 20",
+    "target_selection_all": S.with_(S.LISTING)
+    + "SELECT symbol, market FROM listing WHERE market IN ('US', 'HK') AND (index_groups LIKE '%|G0' OR index_groups LIKE '%|G2')",
     "liquidity_profile": S.with_(*_BASE)
     + f"""SELECT symbol, market, currency, round(turnover, 2) AS turnover, round(usd, 2) AS turnover_usd, {_score_case()} AS liquidity_score,
   usd IS NOT NULL AS liquidity_verified, round(atr, 5) AS atr, support, resistance, last_price, price_as_of FROM lq""",
@@ -400,3 +423,9 @@ FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)""",
     + """SELECT (SELECT count(*) FROM sd) AS results, round((SELECT max(final) FROM sd), 5) AS best_score,
   (SELECT count(*) FROM sd WHERE grade IN ('A', 'A+')) AS top_grades, (SELECT market FROM bm ORDER BY n DESC, best DESC, market LIMIT 1) AS busiest_market""",
 }
+
+SQL["verification_counts"] = f"""SELECT l.level, count(m.symbol) AS results FROM (VALUES {", ".join(f"('{k}')" for k in X.LEVELS)}) AS l(level)
+LEFT JOIN ({SQL["market_scan"]}) m ON m.verification_level = l.level GROUP BY 1"""
+SQL["symbol_detail"] = S.with_(S.SMOOTH, S.LISTING, f"m AS ({SQL['market_scan']})", f"""
+t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM smooth_bars WHERE date < DATE '{AS_OF}')""") + """
+SELECT t.symbol, t.date, round(t.close, 6) AS close, m.final_score, l.name FROM t JOIN m ON m.symbol = t.symbol JOIN listing l ON l.symbol = t.symbol WHERE back <= 180"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import statements as ST
 from barloom.registry import sql as S
+from barloom.session import cut_lineage
 from barloom.sources import order_statements as O
 from barloom.sources import trade_ticks as T
 
@@ -61,8 +62,12 @@ def q4_derivation(spark, d):
     return out.withColumn("value", F.round("value", 5))
 
 
+#: Leaves one year in five of every symbol out, another one for each symbol.
+_GAP = "(fiscal_year + CAST(substring(symbol, 2) AS INTEGER)) % 5 <> 0"
+
+
 def quarter_alignment(spark, d):
-    a = annual(spark, d).filter("fiscal_year <= 1999")
+    a = annual(spark, d).filter(_GAP)
     q = quarters(spark, d).drop("fiscal_year", "quarter").select("symbol", "period_end")
     return ST.align_quarters(q, a).select("symbol", "period_end", "fiscal_year", "quarter")
 
@@ -74,7 +79,7 @@ def reconciliation(spark, d):
 
 def _full_quarters(spark, d):
     """Quarters with the derived Q4 added back in, wide."""
-    q = ST.to_long(quarters(spark, d))
+    q = cut_lineage(ST.to_long(quarters(spark, d)))
     added = ST.derive_q4(q, ST.to_long(annual(spark, d))).select("symbol", "fiscal_year", "quarter", "period_end", "metric", "value")
     return ST.to_wide(q.unionByName(added), ["symbol", "fiscal_year", "quarter", "period_end"])
 
@@ -114,7 +119,7 @@ def history_status(spark, d):
 
 
 def backfill_plan(spark, d):
-    return ST.backfill_plan(annual(spark, d).filter("fiscal_year >= 1998 or symbol < 'S5'"))
+    return ST.backfill_plan(annual(spark, d).filter(_GAP))
 
 
 def merged_periods(spark, d):
@@ -387,8 +392,8 @@ p AS (
     + "SELECT symbol, fiscal_year, quarter, period_end, metric, round(value, 5) AS value, kind FROM q4 WHERE value IS NOT NULL",
     "quarter_alignment": S.with_(
         STATEMENTS,
-        """
-y AS (SELECT symbol, period_end AS e, fiscal_year AS fy FROM annual WHERE fiscal_year <= 1999),
+        f"""
+y AS (SELECT symbol, period_end AS e, fiscal_year AS fy FROM annual WHERE {_GAP}),
 l AS (SELECT symbol, max(e) AS last_end, max(fy) AS last_fy FROM y GROUP BY 1),
 m AS (
   SELECT q.symbol, q.period_end, y.e, y.fy, l.last_end, l.last_fy,
@@ -430,7 +435,7 @@ n AS (SELECT f.symbol, count(DISTINCT f.fiscal_year) AS years, count(DISTINCT f.
     "backfill_plan": S.with_(
         STATEMENTS,
         f"""
-b AS (SELECT * FROM annual WHERE fiscal_year >= 1998 OR symbol < 'S5'
+b AS (SELECT * FROM annual WHERE {_GAP}
   QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) <= 5),
 s AS (SELECT symbol, count(*) AS n, min({_CORE}) AS poorest, max(fiscal_year) AS y FROM b GROUP BY 1)""",
     )

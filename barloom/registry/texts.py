@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import company_facts as CF
 from barloom.operators import filings as FI
 from barloom.registry import sql as S
+from barloom.session import cut_lineage
 from barloom.sources import trade_ticks as T
 
 _CONCEPTS = {"total_revenue": "Revenues", "net_income": "NetIncomeLoss", "operating_cash_flow": "NetCashProvidedByUsedInOperatingActivities"}
@@ -40,6 +41,11 @@ def raw_facts(spark, d):
         F.inline(F.array(
             *[fact(c, F.col(m), year_start) for m, c in _CONCEPTS.items()],
             fact("Assets", F.col("assets"), F.lit(None).cast("date")),
+            fact("StockholdersEquity", F.col("assets") * 0.5, F.lit(None).cast("date")),
+            fact("LongTermDebtCurrent", F.col("assets") * 0.1, F.lit(None).cast("date")),
+            fact("ShortTermBorrowings", F.col("assets") * 0.05, F.lit(None).cast("date")),
+            fact("CostOfRevenue", F.col("total_revenue") * 0.6, year_start),
+            fact("PaymentsToAcquirePropertyPlantAndEquipment", F.col("total_revenue") * 0.02, year_start),
             fact("EarningsPerShareBasic", F.col("net_income") / 1000, year_start, "USD/shares"),
         )),
     )
@@ -50,9 +56,53 @@ def raw_facts(spark, d):
             fact(_CONCEPTS["operating_cash_flow"], F.col("ytd"), year_start),
         )),
     )
-    return a.unionByName(qrow).withColumns(
+    clean = a.unionByName(qrow).withColumns(
         {"taxonomy": F.lit("us-gaap"), "filed": F.date_add("end", 50), "fp": F.lit("FY")}
     )
+    # Every seventh filer reports under the other taxonomy.
+    other = F.create_map(*[F.lit(x) for kv in _IFRS.items() for x in kv])
+    ifrs = (F.substring("symbol", 2, 20).cast("int") % 7 == 0) & F.col("concept").isin(*_IFRS)
+    clean = clean.withColumns(
+        {"taxonomy": F.when(ifrs, "ifrs-full").otherwise(F.col("taxonomy")), "concept": F.when(ifrs, other[F.col("concept")]).otherwise(F.col("concept"))}
+    )
+    return clean.unionByName(_noise(clean))
+
+
+#: The other taxonomy's names of the concepts in use.
+_IFRS = {
+    "Revenues": "Revenue", "NetIncomeLoss": "ProfitLoss", "NetCashProvidedByUsedInOperatingActivities": "CashFlowsFromUsedInOperatingActivities",
+    "EarningsPerShareBasic": "BasicEarningsLossPerShare",
+}
+
+
+def _noise(clean):
+    """Facts that must change nothing: overruled, in another currency, invalid or of another period."""
+    annual = clean.filter("form = '10-K'")
+    flows = annual.filter("start is not null and unit = 'USD'")
+    wrong = {"val": F.col("val") * 3}
+    rows = [
+        # Reported earlier and corrected by the later filing.
+        flows.withColumns({**wrong, "filed": F.date_sub("filed", 20), "accn": F.concat("accn", F.lit("-old"))}),
+        # A concept that is less preferred, in the same filing.
+        flows.filter("concept = 'Revenues'").withColumns({**wrong, "concept": F.lit("SalesRevenueNet")}),
+        # A second currency, in the older years only.
+        flows.filter("fy < 1997").withColumns({**wrong, "unit": F.lit("EUR")}),
+        # Filed before its period ends; a month under an annual form; a form that does not count.
+        flows.withColumns({**wrong, "filed": F.date_sub("end", 5), "accn": F.concat("accn", F.lit("-early"))}),
+        flows.withColumns({**wrong, "start": F.date_sub("end", 30), "accn": F.concat("accn", F.lit("-short")), "form": F.lit("10-K/A")}).filter("fy % 5 = 0"),
+        flows.withColumns({**wrong, "form": F.lit("8-K"), "accn": F.concat("accn", F.lit("-8"))}),
+        # A fiscal year of the same label that ends five days earlier, filed earlier.
+        flows.filter("concept in ('Revenues', 'Revenue') and fy % 3 = 0").withColumns(
+            {**wrong, "start": F.date_sub("start", 5), "end": F.date_sub("end", 5), "filed": F.date_sub("filed", 25), "accn": F.concat("accn", F.lit("-near"))}
+        ),
+        # A transition period after the year's end, and values that are no numbers.
+        flows.filter("fy = 2001").withColumns({"start": F.date_add("end", 1), "end": F.date_add("end", 92), "filed": F.date_add("filed", 92), "form": F.lit("10-KT"), "accn": F.concat("accn", F.lit("-t"))}),
+        flows.withColumns({"val": F.lit(float("nan")), "filed": F.date_add("filed", 9), "accn": F.concat("accn", F.lit("-nan"))}),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def facts_annual(spark, d):
@@ -63,6 +113,20 @@ def facts_annual(spark, d):
     )
 
 
+def facts_derived(spark, d):
+    """What the reported figures imply: liabilities, debt, gross profit, capital spending, free cash flow."""
+    annual, _, _ = CF.normalize(raw_facts(spark, d))
+    names = ("total_liabilities", "total_debt", "gross_profit", "capital_expenditure", "free_cash_flow")
+    return annual.select("symbol", "fiscal_year", *[F.round(c, 4).alias(c) for c in names], F.size("metric_sources").alias("sources"))
+
+
+def excluded_facts(spark, d):
+    """Transition periods after the last accepted year."""
+    facts = cut_lineage(raw_facts(spark, d))
+    annual, _, _ = CF.normalize(facts)
+    return CF.excluded_periods(facts, annual)
+
+
 def facts_quarterly(spark, d):
     _, quarters, _ = CF.normalize(raw_facts(spark, d))
     return quarters.select(
@@ -91,12 +155,30 @@ def business_summaries(spark, d):
 
 
 def customer_sentences(spark, d):
-    text = F.col("text")
-    for word in (" of ", " und ", " de ", " y "):
-        text = F.replace(text, F.lit(word), F.lit(" one customer "))
+    """Natural text in which some line starts are a customer phrase."""
+    text = F.regexp_replace("text", CUSTOMER_OPENING, "One customer $1")
     return _docs(spark, d).select("doc_id", FI.customer_concentration(text).alias("customers")).filter("customers <> ''")
 
 
+#: Line starts that the check turns into a customer phrase: rare, as in a filing.
+CUSTOMER_OPENING = r"(?m)^(Of|In|The|De|Die|La) "
+
+
+def section_excerpts(spark, d):
+    body = F.concat(F.lit("Intro\nCompetition\n"), F.col("text"), F.lit("\nEmployees\nmore"))
+    return _docs(spark, d).select("doc_id", FI.section_excerpt(body).alias("excerpt"))
+
+
+def filing_profiles(spark, d):
+    """Pages as filings between the section's headings."""
+    html = F.concat(F.lit("<p>Item 1. Business</p>"), F.col("html"), F.lit("<p>Item 1A. Risk Factors</p>"))
+    out = FI.filing_profiles(T.table(spark, d, "pages").select("page_id", html.alias("html")))
+    return out.select(
+        "page_id", F.md5("business_summary").alias("summary_digest"), F.col("found.business_summary").alias("has_summary"),
+        F.col("found.competition").alias("has_competition"), F.col("found.customer_concentration").alias("has_customers"), "schema_version",
+    )
+
+
 def segment_tables(spark, d):
     """Supplier revenue by return flag written as filing tables, with a total row; some totals are off."""
     key = F.col("l_suppkey")
@@ -123,7 +205,7 @@ def reconciled_segments(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (facts_annual, facts_quarterly, page_text, business_sections, business_summaries, customer_sentences, reconciled_segments)
+    for f in (facts_annual, facts_quarterly, page_text, business_sections, business_summaries, customer_sentences, reconciled_segments, section_excerpts, filing_profiles, facts_derived, excluded_facts)
 }
 
 _TEXT = "html"
@@ -151,17 +233,27 @@ p AS (SELECT *, lag(q) OVER (PARTITION BY symbol, fy ORDER BY q) AS pq FROM b)
 SELECT symbol, fy AS fiscal_year, 'Q' || q AS quarter, last_day(make_date(fy, q * 3, 1)) AS period_end, round(r, 6) AS total_revenue, round(n, 6) AS net_income,
   CASE WHEN q = 1 OR pq = q - 1 THEN round(c, 6) END AS operating_cash_flow,
   CASE WHEN q = 1 THEN 'reported' WHEN pq = q - 1 THEN 'derived_ytd_difference' END AS cash_kind FROM p""",
+    "facts_derived": """WITH y AS (SELECT 'S' || l_suppkey AS symbol, year(l_shipdate) AS fiscal_year, round(sum(l_extendedprice), 4) AS r, round(sum(l_extendedprice) * 2, 4) AS a, round(sum(l_extendedprice * l_tax), 4) AS c FROM lineitem GROUP BY 1, 2)
+SELECT symbol, fiscal_year, round(a - a * 0.5::DOUBLE, 4) AS total_liabilities, round(a * 0.1::DOUBLE + a * 0.05::DOUBLE, 4) AS total_debt, round(r - r * 0.6::DOUBLE, 4) AS gross_profit,
+  round(-(r * 0.02::DOUBLE), 4) AS capital_expenditure, round(c - r * 0.02::DOUBLE, 4) AS free_cash_flow, 10 AS sources FROM y""",
+    "excluded_facts": "SELECT DISTINCT 'S' || l_suppkey AS symbol, DATE '2002-04-02' AS period_end, '10-KT' AS source_form, 91 AS duration_days FROM lineitem WHERE year(l_shipdate) = 2001",
     "page_text": f"WITH t AS (SELECT page_id, {_TEXT} AS t FROM pages) SELECT page_id, len(t) AS chars, md5(t) AS digest FROM t",
-    "business_sections": f"""WITH t AS (SELECT doc_id, {_STRIP.format('text')} AS t, text FROM documents)
-SELECT doc_id, CASE WHEN len(t) >= 400 THEN len(t) ELSE 0 END AS chars, md5(CASE WHEN len(t) >= 400 THEN t ELSE '' END) AS digest FROM t""",
+    "business_sections": f"""WITH t AS (SELECT doc_id, {_STRIP.format('text')} AS t FROM documents) SELECT doc_id, len(t) AS chars, md5(t) AS digest FROM t""",
     "business_summaries": """WITH l AS (SELECT doc_id, trim(l) AS line, i FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(l, i)),
-k AS (SELECT *, sum(len(line)) OVER (PARTITION BY doc_id ORDER BY i) - len(line) AS before FROM l WHERE len(line) >= 120 AND NOT regexp_matches(line, '(?i)^(part\\s+[ivx]+\\b|table of contents)'))
-SELECT d.doc_id, coalesce(trim(left(string_agg(k.line, ' ' ORDER BY k.i), 1100)), '') AS summary FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.before <= 1100 GROUP BY d.doc_id""",
+k AS (SELECT * FROM l WHERE len(line) >= 120 AND NOT regexp_matches(line, '(?i)^(part\\s+[ivx]+\\b|table of contents)'))
+SELECT d.doc_id, coalesce(string_agg(k.line, ' ' ORDER BY k.i), '') AS summary FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id""",
     "customer_sentences": f"""WITH h AS (SELECT doc_id, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS h, i FROM documents,
-  unnest(regexp_extract_all(replace(replace(replace(replace(text, ' of ', ' one customer '), ' und ', ' one customer '), ' de ', ' one customer '), ' y ', ' one customer '), '(?i){FI.CUSTOMER_PATTERN}')) WITH ORDINALITY AS u(x, i)),
-d AS (SELECT doc_id, h, min(i) AS i FROM h WHERE h <> '' GROUP BY 1, 2),
-k AS (SELECT *, sum(len(h) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(h) - 2 AS before FROM d)
-SELECT doc_id, left(string_agg(h, ' ' ORDER BY i), 700) AS customers FROM k WHERE before <= 700 GROUP BY 1""",
+  unnest(regexp_extract_all(regexp_replace(text, '{CUSTOMER_OPENING}', 'One customer \\1', 'g'), '(?i)[^.\\n]*{FI.CUSTOMER_PHRASES}[^.\\n]*\\.')) WITH ORDINALITY AS u(x, i)),
+d AS (SELECT doc_id, h, min(i) AS i FROM h WHERE h <> '' GROUP BY 1, 2)
+SELECT doc_id, string_agg(h, ' ' ORDER BY i) AS customers FROM d GROUP BY 1""",
+    "section_excerpts": """WITH l AS (SELECT doc_id, trim(l) AS line, i FROM documents, unnest(string_split(text || chr(10) || 'Employees' || chr(10) || 'more', chr(10))) WITH ORDINALITY AS u(l, i)),
+s AS (SELECT doc_id, min(i) AS stop FROM l WHERE regexp_matches(line, '^[A-Z].{0,70}$') GROUP BY 1),
+e AS (SELECT l.doc_id, trim(regexp_replace(string_agg(line, ' ' ORDER BY i), '\\s+', ' ', 'g')) AS t FROM l JOIN s ON s.doc_id = l.doc_id AND i < stop GROUP BY 1)
+SELECT doc_id, CASE WHEN coalesce(t, '') = '' THEN '' ELSE 'Competition — ' || t END AS excerpt FROM documents LEFT JOIN e USING (doc_id)""",
+    "filing_profiles": f"""WITH t AS (SELECT page_id, {_TEXT} AS t FROM pages),
+l AS (SELECT page_id, trim(l) AS line, i FROM t, unnest(string_split(t, chr(10))) WITH ORDINALITY AS u(l, i)),
+k AS (SELECT page_id, string_agg(line, ' ' ORDER BY i) AS s FROM l WHERE len(line) >= 120 AND NOT regexp_matches(line, '(?i)^(part\\s+[ivx]+\\b|table of contents)') GROUP BY 1)
+SELECT page_id, md5(coalesce(s, '')) AS summary_digest, coalesce(s, '') <> '' AS has_summary, false AS has_competition, false AS has_customers, 1 AS schema_version FROM t LEFT JOIN k USING (page_id)""",
     "reconciled_segments": """WITH p AS (SELECT 'S' || l_suppkey AS symbol, l_suppkey AS k, 'Flag ' || l_returnflag AS name, round(sum(l_quantity), 0) AS v FROM lineitem GROUP BY 1, 2, 3),
 t AS (SELECT symbol, sum(v) AS t, count(*) AS n FROM p GROUP BY 1)
 SELECT p.symbol, round(t.t / 1000, 3) AS total, 'USD' AS currency, p.name, round(p.v / 1000, 3) AS amount FROM p JOIN t ON t.symbol = p.symbol WHERE k % 4 <> 0 AND n >= 2""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,20 @@ def build_session(app: str = "barloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, scratch: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; survives lost executors.
 
-    ``scratch`` is only for sessions where ``spark.checkpoint.dir`` is not set,
-    such as tests.
+    The folder is ``spark.checkpoint.dir``. Only a local master without one, as in
+    tests, gets a temporary folder; on a cluster a missing folder is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    folder = folder or scratch
-    if folder is None:
-        return df
     if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="barloom-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -20,28 +22,44 @@ PRICE_ALIASES = {
     "adjusted_open": ("adjusted_open",),
 }
 REQUIRED = ("date", "open", "high", "low", "close")
-FILE_PREFIXES = (r"(?:[a-z]+_)?prices_", "tradingview_")
+# Prefixes of price files, longer ones first; further ones are a parameter.
+FILE_PREFIXES = ("prices_", "trading_", "tradingview_")
 
 
 def read_text_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with every column as text under its trimmed, lower-case header name.
 
     Only the header line is read ahead; there is no inference pass. Files under
-    one path must share a header; read differing ones separately.
+    one path must share a header: one that differs fails the job, since its
+    columns would land under other names. Read differing ones separately.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         return spark.createDataFrame([], T.StructType([]))
-    header = spark.createDataFrame([(first[0][0],)], "line string").select(F.from_csv("line", ",".join(f"c{i} string" for i in range(first[0][0].count(",") + 1))).alias("h")).first()
-    names = [(n or f"_c{i}").replace("﻿", "").strip().lower() for i, n in enumerate(header["h"])]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE")
+    # Names as the file has them, so that every file's header is held against them; then the plain ones.
+    rows = spark.read.csv(path, header=True, schema=_text_schema([n or f"_c{i}" for i, n in enumerate(next(csv.reader([first[0][0]])))]), enforceSchema=False, mode="PERMISSIVE")
+    return rows.toDF(*[_plain(n) for n in rows.columns])
+
+
+def split_lines(lines: DataFrame, header: str, line: str = "line") -> DataFrame:
+    """Text columns of lines without a header; other columns of ``lines`` stay. Short lines have nulls at the end."""
+    names = [_plain(n or f"_c{i}") for i, n in enumerate(next(csv.reader([header])))]
+    others = [c for c in lines.columns if c != line]
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return lines.select(*others, F.from_csv(F.col(line), F.lit(schema)).alias("_c")).select(*others, "_c.*")
+
+
+def _plain(name: str) -> str:
+    return name.replace("\ufeff", "").strip().lower()
 
 
-def symbol_from_file(path: Column) -> Column:
-    """Symbol a price file is named after."""
-    # Only the first matching prefix is stripped.
-    alternatives = "|".join(FILE_PREFIXES)
+def _text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def symbol_from_file(path: Column, prefixes: tuple[str, ...] = FILE_PREFIXES) -> Column:
+    """Symbol a price file is named after; the first of ``prefixes`` that fits is stripped."""
+    alternatives = "|".join(prefixes)
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/\\]+?)(\.[^./\\]*)?$", 1), rf"^(?i:{alternatives})", "")
     return F.upper(F.regexp_replace(F.regexp_replace(stem, "_BK", ".BK"), "_", "."))
 
@@ -65,8 +83,15 @@ def first_value(df: DataFrame, *names: str, default: str = "") -> Column:
 
 
 def read_price_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Price files to bars; a missing required column is an error, rows too short for them are skipped."""
-    rows = read_text_columns(spark, path)
+    """Price files to bars; see ``price_rows``."""
+    return price_rows(read_text_columns(spark, path), F.input_file_name())
+
+
+def price_rows(rows: DataFrame, file: Column) -> DataFrame:
+    """Text columns to bars; a missing required column is an error, rows too short for them are skipped.
+
+    ``file`` names the symbol of rows that have none.
+    """
     lookup = set(rows.columns)
     chosen = {f: next((a for a in aliases if a in lookup), None) for f, aliases in PRICE_ALIASES.items()}
     missing = sorted(f for f in REQUIRED if chosen[f] is None)
@@ -81,7 +106,7 @@ def read_price_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     for field in REQUIRED:
         complete = complete & F.col(f"`{chosen[field]}`").isNotNull()
     return rows.filter(complete).select(
-        F.coalesce(text("symbol"), symbol_from_file(F.input_file_name())).alias("symbol"),
+        F.coalesce(text("symbol"), symbol_from_file(file)).alias("symbol"),
         parse_date(F.col(f"`{chosen['date']}`")).alias("date"),
         *[text(f).cast("double").alias(f) for f in ("open", "high", "low", "close")],
         F.coalesce(text("volume").cast("double"), F.lit(0.0)).alias("volume"),
@@ -97,8 +122,12 @@ FUNDAMENTAL_NUMBERS = (
 
 
 def read_fundamentals_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Fundamentals files; see ``fundamental_rows``."""
+    return fundamental_rows(read_text_columns(spark, path))
+
+
+def fundamental_rows(rows: DataFrame) -> DataFrame:
     """Fundamentals with blank numbers as 0 and the usual text defaults."""
-    rows = read_text_columns(spark, path)
     have = set(rows.columns)
 
     def text(name: str, default: str = "") -> Column:
@@ -115,8 +144,12 @@ def read_fundamentals_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_universe_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Universe files; see ``universe_rows``."""
+    return universe_rows(read_text_columns(spark, path))
+
+
+def universe_rows(rows: DataFrame) -> DataFrame:
     """Listed symbols with market, sector and groups; rows without a symbol drop out."""
-    rows = read_text_columns(spark, path)
     out = rows.select(
         F.trim(first_value(rows, "symbol", "ticker")).alias("symbol"),
         F.trim(first_value(rows, "name")).alias("_name"),
@@ -134,7 +167,14 @@ def assert_unique_symbols(universe: DataFrame) -> DataFrame:
     return checked.filter(F.coalesce(F.assert_true(F.col("_n") == 1, "duplicate symbol in universe").isNull(), F.lit(True))).drop("_n")
 
 
-def symbol_list(universe: DataFrame, limit: int | None = None) -> DataFrame:
-    """Distinct symbols with their market, by symbol; ``limit`` keeps the first."""
-    out = universe.groupBy("symbol").agg(F.min("market").alias("market"))
-    return out.orderBy("symbol").limit(limit) if limit is not None else out
+def symbol_list(universe: DataFrame, limit: int | None = None, position: str | None = None) -> DataFrame:
+    """Distinct symbols with their market; ``limit`` keeps the first.
+
+    The order is that of ``position``, a column with a row's place in its file,
+    and a symbol's market is that of its first row; without it the order is by symbol.
+    """
+    if position is None:
+        out = universe.groupBy("symbol").agg(F.min("market").alias("market"))
+        return out.orderBy("symbol").limit(limit) if limit is not None else out
+    out = universe.groupBy("symbol").agg(F.min_by("market", position).alias("market"), F.min(position).alias(position))
+    return out.orderBy(position).limit(limit) if limit is not None else out

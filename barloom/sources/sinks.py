@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,22 +58,43 @@ def read_profiles(spark: SparkSession, path: str, schema_version: int) -> DataFr
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Bars partitioned by year, so date filters prune folders."""
-    bars.withColumn("year", F.year("date")).repartition("year", F.pmod(F.hash("symbol"), F.lit(64))).write.mode("overwrite").partitionBy("year").parquet(path)
+    """Bars partitioned by year, so date filters prune folders.
+
+    Rows go to even partitions by year, as many as their size asks for; a large
+    year is split over several tasks, a small one is not.
+    """
+    bars.withColumn("year", F.year("date")).hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def publish_version(table: DataFrame, folder: str, version: str) -> str:
     """Write a new version next to the old ones and only then point readers to it.
 
-    Earlier versions stay as backups. The pointer is itself a one-row table.
+    Earlier versions stay as backups. Pointers are rows of a table that only
+    grows; the largest number is current, so a reader always finds a whole version
+    and a failed write changes nothing.
     """
     target = f"{folder}/version={version}"
     table.write.mode("errorifexists").parquet(target)
     spark = table.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_current")
+    number = _pointers(spark, folder).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] + 1
+    spark.createDataFrame([(number, version)], _POINTER).coalesce(1).write.mode("append").parquet(f"{folder}/_versions")
     return target
 
 
+_POINTER = "number long, version string"
+
+
+def _pointers(spark: SparkSession, folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(_POINTER).parquet(f"{folder}/_versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _POINTER)
+
+
 def read_current(spark: SparkSession, folder: str) -> DataFrame:
-    row = spark.read.parquet(f"{folder}/_current").first()
+    row = _pointers(spark, folder).orderBy(F.desc("number")).first()
+    if row is None:
+        raise FileNotFoundError(f"nothing is published in {folder}")
     return spark.read.parquet(f"{folder}/version={row['version']}")

@@ -74,19 +74,11 @@ def test_ema_over_several_blocks(spark):
     bars = make(spark, series(closes))
     # Short spans make blocks of 20 * 21 = 420 bars, so three blocks are crossed.
     got = [(r["ema5"], r["ema20"]) for r in I.with_ema(bars, [5, 20]).orderBy("date").collect()]
-    one = [(r["ema5"], r["ema20"]) for r in I.with_ema(bars, [5, 20], one_block=True).orderBy("date").collect()]
     for n, at in ((5, 0), (20, 1)):
         e = closes[0]
         for i, c in enumerate(closes):
             e = e if i == 0 else (c - e) * 2 / (n + 1) + e
             assert got[i][at] == pytest.approx(e, rel=1e-10)
-            assert one[i][at] == pytest.approx(e, rel=1e-10)
-
-
-def test_ema_single_block_refuses_long_histories(spark):
-    bars = make(spark, series([10.0] * 1300))
-    with pytest.raises(Exception, match="one_block"):
-        I.with_ema(bars, [2], one_block=True).collect()
 
 
 def _double_bottom():
@@ -300,3 +292,18 @@ def test_detection_needs_one_exchange(spark, tmp_path):
     recent = B.completed(bars, "2020-06-01").select("symbol", "close")
     scan = recent._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(date," in scan and "volume" not in scan.split("ReadSchema")[1]
+
+
+def test_cooldown_lets_flagged_rows_through(spark):
+    rows = [("A", i, i in (1, 3, 9), i % 4 == 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "symbol string, rn int, fires boolean, base boolean")
+    got = ST.apply_cooldown(df, 5, counts=F.col("fires"), also=F.col("base")).collect()
+    assert sorted((r["rn"], r["is_signal"]) for r in got) == [(0, False), (1, True), (4, False), (8, False), (9, True)]
+
+
+def test_hits_carry_label_and_reasons(spark):
+    closes = _double_bottom()
+    bars = make(spark, series(closes, volumes=[1000] * (len(closes) - 4) + [2000] * 4))
+    hits = P.detect(P.with_pattern_features(bars, "D", P.STUDY_PATTERNS), "D", P.STUDY_PATTERNS)
+    hit = hits.selectExpr("explode(hits) h").filter("h.name = 'double_bottom'").first()["h"]
+    assert hit["label"] == "Double Bottom" and len(hit["reasons"]) == 3 and hit["reasons"][1].startswith("close above the neckline")

@@ -158,10 +158,39 @@ def test_customer_sentences_keep_long_sentences_whole(spark):
 def test_topic_windows_merge(spark):
     body = "a" * 5000 + " competition " + "b" * 9000 + " our customers " + "c" * 500
     (got,) = one(spark, FI.topic_text(F.lit(body)).alias("x"))
-    assert got.count("[...]") == 2 and "competition" in got and "our customers" in got and len(got) <= 11_000
+    assert got.count("[...]") == 2 and "competition" in got and "our customers" in got
+    assert len(one(spark, FI.topic_text(F.lit(body), limit=900).alias("x"))[0]) <= 900
     assert one(spark, FI.topic_text(F.lit("short")).alias("x")) == ("short",)
 
 
+def test_long_sections_and_late_headings_are_kept(spark):
+    long = "Item 1. Business\nItem 1A. Risk\nItem 1. Business\n" + "word " * 40_000 + "\nItem 1A. Risk Factors\n"
+    body, short = one(spark, FI.section_body(F.lit(long)).alias("b"), FI.section_body(F.lit("Item 1. Business\nshop\nItem 1A. Risk")).alias("c"))
+    assert len(body) == 199_999 and short == "shop"
+    text = "We sell. Item 4. Information on the Company\nA mill.\nItem 5. Results"
+    assert one(spark, FI.section_body(F.lit(text)).alias("b")) == ("A mill.",)
+    assert one(spark, FI.section_body(F.lit(long), 10**6).alias("b")) == ("",)
+
+
+def test_excerpt_of_any_length(spark):
+    body = "Competition\n" + "We compete.\nLow line\n" + "many firms sell the same goods at other prices in this market, " * 100 + "\nEmployees\nx"
+    (whole, part) = one(spark, FI.section_excerpt(F.lit(body)).alias("x"), FI.section_excerpt(F.lit(body), min_chars=200).alias("y"))
+    assert whole == "" or whole.startswith("Competition")
+    assert part.startswith("Competition — We compete. Low line many firms") and "Employees" not in part and len(part) > 6000
+
+
+def test_a_seventh_report_can_reconcile(spark):
+    def table(total):
+        cells = "".join(f"<tr><td>Part {n}</td></tr><tr><td>Revenues</td><td>{v}</td></tr>" for n, v in (("A", 40), ("B", 60)))
+        return f"<table><tr><th>Revenue (Details) - USD ($) $ in Millions</th></tr><tr><td>All</td></tr><tr><td>Revenues</td><td>{total}</td></tr>{cells}</table>"
+
+    rows = [("S", i, "Revenue by part (Details)", table(100 if i == 7 else 999)) for i in range(1, 8)]
+    reports = spark.createDataFrame(rows, "symbol string, report int, title string, html string")
+    found = FI.first_reconciled(FI.reconciled_segments(FI.segment_pairs(FI.candidate_reports(reports, "(?i)revenue by"))))
+    assert found.first()["report"] == 7
+    assert FI.candidate_reports(reports, "(?i)revenue by", most=6).count() == 6
+
+
 def test_segments_need_distinct_names(spark):
     def table(*rows):
         head = "<tr><th>Revenue (Details) - USD ($) $ in Millions</th></tr>"
@@ -210,6 +239,11 @@ def test_publish_and_store_versions(spark, tmp_path):
     sinks.publish_version(df.union(df), folder, "2")
     assert sinks.read_current(spark, folder).count() == 2
     assert spark.read.parquet(f"{folder}/version=1").count() == 1
+    with pytest.raises(Exception):
+        sinks.publish_version(df, folder, "2")  # exists already: nothing changes
+    assert sinks.read_current(spark, folder).count() == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.read_current(spark, str(tmp_path / "none"))
 
 
 def test_export_refused_unless_ready(spark, tmp_path):

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.xirr import with_xirr
@@ -254,3 +255,19 @@ def test_exchange_history(spark):
     assert (r["date"].isoformat(), r["open"], r["volume"]) == ("2026-08-18", 1210.5, 1000.0)
     got = spark.range(1).select(LJ.market_number(F.lit("(1,234.5)")).alias("a"), LJ.market_number(F.lit("--")).alias("b")).first()
     assert (got["a"], got["b"]) == (-1234.5, None)
+
+
+def test_global_rank_of_many_rows_with_payload(spark):
+    """More rows than the range sample, few distinct keys, columns that only one side needs."""
+    from barloom.operators.contribution import global_rank
+
+    rows = spark.range(500_000).select("id", (F.hash("id") % 5000).alias("k"), F.repeat(F.lit("x"), 20).alias("payload"), (F.col("id") * 2).alias("other"))
+    order = [F.col("k").desc(), F.col("id").asc()]
+    out = global_rank(rows, order).drop("other")
+    w = Window.orderBy("rank")
+    checked = out.withColumns({"pk": F.lag("k").over(w), "pid": F.lag("id").over(w)})
+    got = checked.agg(
+        F.count_distinct("rank").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"),
+        F.count_if((F.col("pk") < F.col("k")) | ((F.col("pk") == F.col("k")) & (F.col("pid") > F.col("id")))).alias("breaks"),
+    ).first()
+    assert tuple(got) == (500_000, 1, 500_000, 0)
