@@ -20,6 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.numeric import computed_once
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 SAMPLE_ROWS = 400
@@ -121,9 +123,12 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     verdict = F.when(F.expr(BASE_FAILED), F.lit("base"))
     for rule in cascade(measured(docs, text, rules, sample_rows), rules):
         verdict = verdict.when(F.expr(rule.rejects), F.lit(rule.name))
-    return stats.select(
-        "doc",
-        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
-        F.expr(BASE_FAILED).alias("base_failed"),
-        verdict.alias("failed_rule"),
-    ).withColumn("kept", F.col("failed_rule").isNull())
+    # Through a one-row generator: a filter on the verdict must not be pushed below the statistics,
+    # where every use would compute them anew.
+    return computed_once(
+        stats.select("doc", "body", "words", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"),
+        {"base_failed": F.expr(BASE_FAILED), "failed_rule": verdict},
+    ).select(
+        *("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule"),
+        F.col("failed_rule").isNull().alias("kept"),
+    )
