@@ -195,6 +195,24 @@ def merge_memberships(existing: DataFrame, snapshots: DataFrame, refreshed: tupl
     )
 
 
+def update_memberships(existing: DataFrame, members: DataFrame, today: dt.date | str) -> tuple[DataFrame, DataFrame]:
+    """(merged, report): a new snapshot merged into the universe, group by group.
+
+    ``members``: group, as_of, symbol, name, market, sector. ``report`` has a row
+    per group with its counts, the rule it breaks and whether it was ``accepted``; a
+    group that breaks a rule or loses too many members keeps its old tags.
+    """
+    tags = F.explode(F.split(F.coalesce("index_groups", F.lit("")), r"\|"))
+    current = existing.select("symbol", tags.alias("group")).filter(F.col("group").isin(*MANAGED_GROUPS))
+    changes = membership_changes(current, members.select("group", "symbol")).select("group", "added", "removed", "removed_share", "review")
+    report = validate_members(members, today).join(changes, "group", "left")
+    report = report.withColumn("accepted", F.col("error").isNull() & ~F.coalesce("review", F.lit(False)))
+    # At most one name per managed group.
+    accepted = tuple(sorted(r["group"] for r in report.filter("accepted").select("group").collect()))
+    good = members.filter(F.col("group").isin(*accepted)) if accepted else members.limit(0)
+    return merge_memberships(existing, good, accepted), report
+
+
 def coverage_overview(universe: DataFrame, latest: DataFrame, coverage: DataFrame, expected: Column) -> DataFrame:
     """Registered, priced, fresh and statement counts per group, market and in total.
 

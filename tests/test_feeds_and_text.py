@@ -54,6 +54,21 @@ def test_membership_merge_keeps_custom_groups(spark):
     assert got == {"A": "MINE", "B": "WATCHLIST", "C": "SP500", "D": "SP500"}
 
 
+def test_universe_update_refuses_a_bad_group(spark):
+    day = dt.date(2026, 8, 18)
+    rows = [("HSTECH", day, f"{i:04d}.HK", "n", "HK", "Tech") for i in range(31)]
+    rows += [("HSI", day, "0001.HK", "n", "HK", "Tech")]
+    members = spark.createDataFrame(rows, "group string, as_of date, symbol string, name string, market string, sector string")
+    existing = spark.createDataFrame(
+        [("0001.HK", "n", "HK", "Tech", "HSI|MINE"), ("9999.HK", "n", "HK", "X", "HSI"), ("0002.HK", "n", "HK", "X", "HSTECH")],
+        "symbol string, name string, market string, sector string, index_groups string",
+    )
+    merged, report = U.update_memberships(existing, members, "2026-08-20")
+    assert {r["group"]: (r["error"], r["accepted"]) for r in report.collect()} == {"HSTECH": (None, True), "HSI": ("count_out_of_bounds", False)}
+    got = {r["symbol"]: r["index_groups"] for r in merged.collect()}
+    assert got["0001.HK"] == "HSI|HSTECH|MINE" and got["9999.HK"] == "HSI" and got["0030.HK"] == "HSTECH" and len(got) == 32
+
+
 def test_member_validation(spark):
     rows = [("HSTECH", dt.date(2026, 8, 1), f"{i:04d}.HK", "n", "HK") for i in range(31)]
     rows += [("HSI", dt.date(2026, 8, 18), "0001.HK", "n", "HK")]
