@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from barloom.functions.numeric import computed_once
+
 #: Bound of the labelled sample that the fit sees.
 MAX_LABELLED = 20_000
 #: Shrinkage towards the pooled covariance, and towards the identity.
@@ -68,7 +70,9 @@ def raw_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     for name, (pattern, _) in COUNTED.items():
         fields[name] = F.char_length("body") - F.char_length(F.regexp_replace("body", pattern, ""))
-    return split.select("doc", F.struct(*(value.cast("double").alias(name) for name, value in fields.items())).alias("raw"))
+    raw = F.struct(*(value.cast("double").alias(name) for name, value in fields.items()))
+    # Through a one-row generator, so that a filter on the score is not pushed below the statistics.
+    return computed_once(split, {"raw": raw}).select("doc", "raw")
 
 
 def transformed(raw: pd.DataFrame) -> np.ndarray:

@@ -24,6 +24,12 @@ def test_rule_statistics_match_plain_python(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_a_filter_on_the_verdict_stays_above_the_statistics(spark):
+    kept = quality_rules.judged(cases.frame(spark, [(1, cases.prose(1, 80))])).where("kept").select("doc.*")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Python" not in plan
+
+
 def test_rules_reject_junk_and_keep_prose(spark):
     prose = cases.prose(1, 120)
     junk = {
