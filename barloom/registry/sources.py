@@ -130,7 +130,7 @@ def chart_json(spark, d):
     options = {"ignoreNullFields": "false"}
     body = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), options)
     out = LJ.chart_bars(per.select("symbol", body.alias("body")))
-    return out.select("symbol", "date", "open", "high", "low", "close", "volume", "adjusted_close", F.round(F.col("adjusted_open") / F.col("open"), 2).alias("adjustment"))
+    return out.select("symbol", "date", "open", "high", "low", "close", "volume", F.floor("adjusted_close").alias("adjusted_close"), F.round(F.col("adjusted_open") / F.col("open"), 2).alias("adjustment"))
 
 
 def exchange_history(spark, d):
@@ -368,7 +368,7 @@ FROM listing WHERE {_N} % 6 <> 0""",
     "provider_lines": S.with_(_YEARS) + """SELECT symbol, make_date(y, 12, 31) AS period_end, m.metric, round(v * m.f, 2) AS value, 'USD' AS currency
 FROM y, (VALUES ('total_revenue', 2), ('net_income', 1)) AS m(metric, f) WHERE y % 4 <> 0""",
     "chart_json": S.with_(S.RAW) + f"""SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, floor(volume) AS volume,
-  CASE WHEN {_N} % 2 = 0 THEN round(close * 0.37::DOUBLE, 6) END AS adjusted_close, CASE WHEN {_N} % 2 = 0 THEN 0.37::DOUBLE END AS adjustment
+  CASE WHEN {_N} % 2 = 0 THEN CAST(floor(round(close * 0.37::DOUBLE, 6)) AS BIGINT) END AS adjusted_close, CASE WHEN {_N} % 2 = 0 THEN 0.37::DOUBLE END AS adjustment
 FROM raw_bars WHERE day(date) <> 13""",
     "exchange_history": S.with_(S.RAW) + f"""SELECT symbol, date, round(open, 2) AS open, round(high, 2) AS high, -round(low, 2) AS low, round(close, 2) AS close, CASE WHEN {_N} % 4 = 0 THEN 0 ELSE floor(volume) END AS volume
 FROM raw_bars WHERE day(date) <> 29 AND {_N} % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""",
