@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -116,6 +117,32 @@ def test_leaks_with_substitutions(spark):
     assert far == got
 
 
+def test_leaks_of_every_length_and_place_match_brute_force(spark):
+    """Items of 1 to 14 words with every set of substitutions, inside a document and cut off at its edges."""
+    rng = random.Random(12)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(1, 15)]
+    docs = []
+    for n, w in items:
+        allowed = n - -(-min(n, 13) * 10 // 13)
+        for places in (p for size in range(min(allowed + 1, n) + 1) for p in combinations(range(n), size)):
+            if len(places) > 2 and n > 7 and places != (4, 5, 6) and rng.random() < 0.7:
+                continue
+            copy = [f"x{k}" if k in places else v for k, v in enumerate(w)]
+            docs += [["p", *copy, "q"], copy]
+        for cut in range(1, min(allowed + 2, n)):
+            docs += [w[cut:], w[:-cut], [*w[cut:], "q", "r"], ["p", "q", *w[:-cut]]]
+    want = set()
+    for key, doc in enumerate(docs):
+        for n, w in items:
+            for diagonal in range(1 - n, len(doc)):
+                equal = [0 <= k + diagonal < len(doc) and doc[k + diagonal] == v for k, v in enumerate(w)]
+                if max(sum(equal[i : i + 13]) for i in range(n)) >= -(-min(n, 13) * 10 // 13):
+                    want.add((key, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items] + [(99, " ")], "item_id long, text string")
+    found = decontamination.leaks(cases.frame(spark, [(k, " ".join(d)) for k, d in enumerate(docs)]), bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_clean_keeps_whole_rows_and_unnamed_ones(spark):
     docs, items, want = planted()
     frame = cases.frame(spark, [*docs, (None, items[0][1]), (6000, None)])
