@@ -1,11 +1,17 @@
 """Toxicity of texts behind leetspeak, spacing and repetition.
 
 The channel: a writer turns letters into look-alikes, repeats them or puts
-separators between them. A unit (a word that shows such signs, or a run of single
-letters) becomes a lattice: per character its readings with a cost, and being
+separators between them. A unit (a word with any repeated letter, inner separator
+or look-alike, or a run of single letters) becomes a lattice: per character its readings with a cost, and being
 dropped as a repetition or separator. A Viterbi search over pairs of letters
 finds the reading that is likeliest under a character trigram model of the
-corpus. A unit without signs has one path, itself, so only the others are searched.
+corpus. Other words have one path, themselves.
+
+Units with strong signs count as they read. A doubled letter, one separator or a
+look-alike among hardly any letters is common in plain words too ('tool', 'so-so',
+'1st'), so these units count both as written and as they read, and are shown and
+counted as restored only where the reading has a weighted feature that the written
+word lacks. Equal ones of a block are searched once.
 
 The restored words and their beginnings are features of a logistic regression:
 those that toxic texts hold more often than chance allows, with weights that are
@@ -103,11 +109,15 @@ class Decoder:
 
     def __init__(self, log_probability: np.ndarray):
         self.log_p = log_probability.tolist()
-        self.read = lru_cache(maxsize=100_000)(self._read)
+        self.held = lru_cache(maxsize=100_000)(self._read)
+
+    def read(self, unit: str) -> str:
+        """The likeliest reading of a lower-cased unit. Readings of long units are not kept."""
+        return self.held(unit) if len(unit) <= 64 else self._read(unit)
 
     def _read(self, unit: str) -> str:
-        """The likeliest reading of a lower-cased unit."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # The text of a state is a chain of (chain before, character), so long units take linear time.
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         before = ""
         for c in unit:
             code = ord(c)
@@ -119,7 +129,7 @@ class Decoder:
                 paths += [(ord(x) - 96, x, LOOK) for x in LOOKS_LIKE.get(c, "")]
                 if c == before:
                     paths.append((-1, "", REPEAT))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, text) in states.items():
                 row = self.log_p[a][b]
                 for symbol, shown, cost in paths:
@@ -128,18 +138,30 @@ class Decoder:
                     else:
                         key, value = (b, symbol), score + cost + row[symbol]
                     if key not in new or value > new[key][0]:
-                        new[key] = (value, text + shown)
+                        new[key] = (value, (text, shown) if shown else text)
             states, before = new, c
-        return max(((score + self.log_p[a][b][0], text) for (a, b), (score, text) in states.items()))[1]
+
+        def spelled(text: tuple) -> str:
+            out = []
+            while text:
+                text, shown = text
+                out.append(shown)
+            return "".join(reversed(out))
+
+        return max(((score + self.log_p[a][b][0], spelled(text)) for (a, b), (score, text) in states.items()))[1]
 
 
 class Units(NamedTuple):
-    """Trimmed words, and which are units: ``single`` of one word, ``runs`` (first, last) of words with one character each."""
+    """Trimmed words, and which are units: ``single`` of one word, ``runs`` (first, last) of words with one character each.
+
+    ``weak`` are words whose signs plain words have too.
+    """
 
     start: np.ndarray
     end: np.ndarray
     single: np.ndarray
     runs: np.ndarray
+    weak: np.ndarray
 
 
 def units(words: wordhash.Words) -> Units:
@@ -166,15 +188,24 @@ def units(words: wordhash.Words) -> Units:
     triple = np.zeros(len(data), dtype=bool)
     triple[2:] = (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & letter[2:]
     tripled = inside(triple) > 0
+    again = np.zeros(len(data), dtype=bool)
+    for width, least, most in ((1, 0, 0x7F), (2, 0xC0, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xFF)):
+        second = np.flatnonzero((data[width:] == data[:-width]) & (data[width:] >= least) & (data[width:] <= most) & letter[width:]) + width
+        for k in range(1, width):
+            second = second[second + k < len(data)]
+            second = second[data[second + k] == data[second + k - width]]
+        again[second] = True
     size = end - start
     single = (letters >= 2) & (((looks > 0) & (digits <= 2 * letters)) | tripled | ((between >= 2) & (2 * between >= letters - 1)))
+    # One character alone is no word with signs; in a row of them it belongs to a run.
+    weak = ~single & (size >= 2) & ((looks > 0) | (between > 0) | (inside(again) > 0))
     lone = (size == 1) & (letter | _LOOKS[data])[np.minimum(start, max(len(data) - 1, 0))] if len(data) else size == 1
     joined = np.zeros(len(size), dtype=bool)
     joined[1:] = lone[1:] & lone[:-1] & (words.row[1:] == words.row[:-1])
     first = np.flatnonzero(lone & ~joined)
     last = np.flatnonzero(lone & ~np.concatenate((joined[1:], [False]))) if len(size) else first
     runs = np.column_stack((first, last))
-    return Units(start, end, np.flatnonzero(single), runs[runs[:, 1] - runs[:, 0] >= 2])
+    return Units(start, end, np.flatnonzero(single), runs[runs[:, 1] - runs[:, 0] >= 2], np.flatnonzero(weak))
 
 
 def readings(words: wordhash.Words, found: Units, decoder: Decoder) -> list[tuple[int, int, str]]:
@@ -192,29 +223,95 @@ def readings(words: wordhash.Words, found: Units, decoder: Decoder) -> list[tupl
     return out
 
 
-def slots(words: wordhash.Words, decoder: Decoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and slot of every feature of the restored words, and the number of restored units per row."""
+class Also(NamedTuple):
+    """Words that count as written and as they read: ``word``, which of ``read`` it is, and one word written like that for each."""
+
+    word: np.ndarray
+    which: np.ndarray
+    read: list[str]
+    example: np.ndarray
+
+
+def other_readings(words: wordhash.Words, found: Units, decoder: Decoder) -> Also:
+    """The weak units that read otherwise than written."""
+    start, end = found.start[found.weak], found.end[found.weak]
+    _, one, which = np.unique(words.hashes_of(start, end), return_index=True, return_inverse=True)
+    written = [words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[one], end[one])]
+    read = [decoder.read(w) for w in written]
+    new = np.array([r != w for r, w in zip(read, written)], dtype=bool)
+    place = np.cumsum(new) - 1
+    changed = new[which]
+    return Also(found.weak[changed], place[which[changed]], [r for r, n in zip(read, new) if n], found.weak[one[new]])
+
+
+def features(source: wordhash.Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index and slot of every feature of the stretches: the whole and its beginnings."""
+    index, value = [], []
+    for kind, size in enumerate((1 << 30, *BEGINNINGS)):
+        long_enough = np.flatnonzero(end - start > size) if kind else np.arange(len(start))
+        s = start[long_enough]
+        hashes = source.hashes_of(s, np.minimum(end[long_enough], s + size))
+        index.append(long_enough)
+        value.append((wordhash.mixed(hashes + np.uint64(kind)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64))
+    return np.concatenate(index), np.concatenate(value)
+
+
+def features_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the text and slot of every feature of its words."""
+    index, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for again in wordhash.blocks(pa.array(texts, pa.string())):
+        at, slot = features(again, again.start, again.end)
+        index.append(again.first_row + again.row[at])
+        value.append(slot)
+    return np.concatenate(index), np.concatenate(value)
+
+
+def gained(words: wordhash.Words, found: Units, also: Also, place: np.ndarray) -> np.ndarray:
+    """Which of ``also.read`` have a feature of the model (``place`` not negative) that the written word lacks."""
+    index, value = features_of_texts(also.read)
+    at, written = features(words, found.start[also.example], found.end[also.example])
+    has = set(zip(at[place[written] >= 0].tolist(), written[place[written] >= 0].tolist()))
+    out = np.zeros(len(also.read), dtype=bool)
+    for k, slot in zip(index[place[value] >= 0].tolist(), value[place[value] >= 0].tolist()):
+        out[k] |= (k, slot) not in has
+    return out
+
+
+def slots(words: wordhash.Words, decoder: Decoder, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and slot of every feature of the restored words, and the number of restored units per row.
+
+    Weak units are counted as restored by the model's ``place`` of each slot, without it not at all.
+    """
     found = units(words)
     changed = readings(words, found, decoder)
     keep = found.end > found.start
     for first, last, _ in changed:
         keep[first : last + 1] = False
     restored = np.zeros(words.rows, dtype=np.int64)
-    parts = [(words, words.row[keep], found.start[keep], found.end[keep])]
+    kept = np.flatnonzero(keep)
+    index, slot = features(words, found.start[kept], found.end[kept])
+    row, value = [words.row[kept[index]]], [slot]
     if changed:
         rows = np.array([words.row[first] for first, _, _ in changed])
         np.add.at(restored, rows, 1)
-        for again in wordhash.blocks(pa.array([text for _, _, text in changed])):
-            parts.append((again, rows[again.first_row + again.row], again.start, again.end))
-    row, value = [], []
-    for source, of_row, start, end in parts:
-        for kind, size in enumerate((1 << 30, *BEGINNINGS)):
-            long_enough = (end - start > size) if kind else np.ones(len(start), dtype=bool)
-            s = start[long_enough]
-            hashes = source.hashes_of(s, np.minimum(end[long_enough], s + size))
-            row.append(of_row[long_enough])
-            value.append(wordhash.mixed(hashes + np.uint64(kind)) & np.uint64((1 << SLOT_BITS) - 1))
-    return np.concatenate(row), np.concatenate(value).astype(np.int64), restored
+        index, slot = features_of_texts([text for _, _, text in changed])
+        row.append(rows[index])
+        value.append(slot)
+    also = other_readings(words, found, decoder)
+    if also.read:
+        index, slot = features_of_texts(also.read)
+        order = np.argsort(index, kind="stable")
+        count = np.bincount(index, minlength=len(also.read))
+        begin = np.cumsum(count) - count
+        pair = np.unique(words.row[also.word] * len(also.read) + also.which)
+        of_row, which = pair // len(also.read), pair % len(also.read)
+        sizes = count[which]
+        row.append(np.repeat(of_row, sizes))
+        value.append(slot[order][np.repeat(begin[which], sizes) + wordhash._counters(sizes)])
+        if place is not None:
+            meant = gained(words, found, also, place)[also.which]
+            np.add.at(restored, words.row[also.word[meant]], 1)
+    return np.concatenate(row), np.concatenate(value), restored
 
 
 class Model(NamedTuple):
@@ -224,6 +321,13 @@ class Model(NamedTuple):
     bias: float
 
 
+def places(model: Model) -> np.ndarray:
+    """Place of each slot among the model's features, -1 for none."""
+    out = np.full(1 << SLOT_BITS, -1, dtype=np.int16)
+    out[model.slots] = np.arange(len(model.slots), dtype=np.int16)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Trigrams of ``docs``, and a fit on at most ``max_labelled`` rows of ``labels`` (those with the smallest hash of their key).
 
@@ -291,11 +395,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model.log_probability)
-        place = np.full(1 << SLOT_BITS, -1, dtype=np.int16)
-        place[model.slots] = np.arange(len(model.slots), dtype=np.int16)
+        place = places(model)
         for batch in batches:
             for words in wordhash.blocks(batch.column("_text"), BLOCK_BYTES):
-                row, slot, restored = slots(words, decoder)
+                row, slot, restored = slots(words, decoder, place)
                 column = place[slot].astype(np.int64)
                 hit = column >= 0
                 pair = np.unique(row[hit] * len(model.slots) + column[hit])
@@ -315,11 +418,14 @@ def restored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = StructType([StructField("doc", docs.schema), *schema.fields])
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model.log_probability)
+        decoder, place = Decoder(model.log_probability), places(model)
         for batch in batches:
             for words in wordhash.blocks(batch.column("_text"), 1):
                 found, pieces, at = units(words), [], 0
-                for first, last, read in readings(words, found, decoder):
+                also = other_readings(words, found, decoder)
+                meant = gained(words, found, also, place)
+                more = [(int(k), int(k), also.read[w]) for k, w in zip(also.word, also.which) if meant[w]]
+                for first, last, read in sorted(readings(words, found, decoder) + more):
                     pieces += [words.data[at : found.start[first]].tobytes(), read.encode()]
                     at = int(found.end[last])
                 pieces.append(words.data[at:].tobytes())

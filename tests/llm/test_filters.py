@@ -213,6 +213,18 @@ def test_deobfuscation(spark, toxic_model):
     assert text[90] == cases.prose(900, 200)
 
 
+def test_weak_signs_are_decoded_and_plain_words_stay(spark, toxic_model):
+    hidden = {0: "you iddiioot", 1: "such an id-iot !", 2: "1d107", 3: "mor-on", 4: "mmoron", 5: "p47h371c", 6: "moorron"}
+    plain = [(50, "10 2024 100 so-so"), (51, "\u96ea\u96ea ana-logo abba " + "\u30c3" * 5000), (52, "x" * 200 + "-" + "ab" * 3000)]
+    docs = cases.frame(spark, [*hidden.items(), *plain])
+    got = {r.doc.doc_id: r for r in toxicity.scored(docs, toxic_model).collect()}
+    assert [k for k in hidden if got[k].score < 0.5 or got[k].n_restored < 1] == []
+    assert all(got[k].score < 0.5 for k, _ in plain)
+    text = {r.doc.doc_id: r.restored for r in toxicity.restored(docs, toxic_model).collect()}
+    assert text[0] == "you idiot" and text[1] == "such an idiot !" and text[2] == "idiot"
+    assert text[50] == plain[0][1]
+
+
 def test_viterbi_finds_the_best_path(toxic_model):
     """Against every path of a short lattice."""
     log_p, decoder = toxic_model.log_probability, toxicity.Decoder(toxic_model.log_probability)
