@@ -1,16 +1,16 @@
 """Order-preserving packing of token streams by dynamic programming.
 
 The token streams of a partition's documents stand in their order, one after
-the other. Every document end, every sentence end and, in sentences longer than
-a window, every full window is a possible cut. The program picks the cuts with
+the other. Every position is a possible cut. The program picks the cuts with
 the least total cost: padding of each sequence, a penalty for a cut inside a
 document and a larger one inside a sentence, and a price per sequence.
 
     best(j) = cut(j) + price + min over i, position(j) - position(i) <= window, of best(i) + padding(j - i)
 
-Padding is window - length, so the minimum runs over best(i) + position(i) and a
-monotone queue gives it in constant time. Lengths that are a power of two take
-no padding; they are looked up one by one.
+Padding is window - length, so the minimum runs over best(i) + position(i).
+Positions are taken a window at a time: running minima give what stands before
+the window and what is in it, and the latter is repeated until nothing changes.
+Lengths that are a power of two take no padding; they are looked up one by one.
 
 Work is per partition of the scan, with no shuffle: order is that of the table's
 files and rows. Batches are packed with a carry of the last open sequence, so
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,8 @@ WINDOW = 1024
 END = 0
 #: Costs in tokens: a sequence, a cut at a sentence end, a cut inside a sentence.
 PRICE, IN_DOCUMENT, IN_SENTENCE = 64.0, 2.0, 64.0
+#: Sentence ends beyond ASCII: CJK, full-width, Arabic, Urdu, Devanagari, Ethiopic, Khmer, Burmese and the ellipsis.
+MARKS = "\u3002\uff01\uff1f\uff0e\uff61\u061f\u06d4\u0964\u0965\u1362\u1367\u17d4\u104b\u2026"
 #: Tokens that are packed at a time; the last sequences of a chunk are packed again with the next.
 CHUNK = 200_000
 
@@ -80,6 +81,13 @@ class Tokenizer:
         self.ends_sentence = np.zeros(size, dtype=bool)
         for token, id_ in ranks.items():
             self.ends_sentence[id_] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?")) or b"\n" in token
+        # A mark beyond ASCII may be spread over tokens, so the last three bytes of each token are kept.
+        self.marks = np.unique([int.from_bytes(m.encode(), "big") for m in MARKS])
+        self.tail, self.tail_size, self.may_end = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, dtype=bool)
+        last_bytes = {m.encode()[-1] for m in MARKS}
+        for token, id_ in ranks.items():
+            self.tail[id_], self.tail_size[id_] = int.from_bytes(token[-3:], "big"), min(len(token), 3)
+            self.may_end[id_] = token[-1] in last_bytes
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
@@ -87,60 +95,74 @@ class Tokenizer:
         return np.asarray(self.core.encode_ordinary(text), dtype=np.uint32)
 
 
+    def sentence_ends(self, stream: np.ndarray) -> np.ndarray:
+        """Positions after the last token of each sentence."""
+        ends = self.ends_sentence[stream]
+        at = np.flatnonzero(self.may_end[stream] & ~ends)
+        tail, size = self.tail[stream[at]], self.tail_size[stream[at]]
+        for back in (1, 2):
+            before = stream[np.maximum(at - back, 0)]
+            more = (size < 3) & (at >= back)
+            tail = np.where(more, tail | self.tail[before] << 8 * size, tail) & 0xFFFFFF
+            size = np.where(more, np.minimum(size + self.tail_size[before], 3), size)
+        ends[at] = np.isin(tail, self.marks) | np.isin(tail & 0xFFFF, self.marks)
+        return np.flatnonzero(ends) + 1
+
+
 def cut_points(sentence_ends: np.ndarray, document_ends: np.ndarray, total: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream of ``total`` tokens may be cut, and the penalty of each.
 
     ``document_ends`` are positions after a document's last token, ``sentence_ends``
-    after a sentence's. Gaps longer than the window get cuts at full windows.
+    after a sentence's. Every position may be cut, whatever the window.
     """
-    positions = np.union1d(np.union1d(sentence_ends, document_ends), [0, total])
-    gaps = np.flatnonzero(np.diff(positions) > window)
-    if len(gaps):
-        extra = [np.arange(positions[g] + window, positions[g + 1], window) for g in gaps]
-        positions = np.union1d(positions, np.concatenate(extra))
-    penalty = np.full(len(positions), IN_SENTENCE)
-    penalty[np.isin(positions, sentence_ends)] = IN_DOCUMENT
-    penalty[np.isin(positions, document_ends)] = 0.0
+    penalty = np.full(total + 1, IN_SENTENCE)
+    penalty[sentence_ends] = IN_DOCUMENT
+    penalty[document_ends] = 0.0
     penalty[[0, -1]] = 0.0
-    return positions, penalty
+    return np.arange(total + 1), penalty
 
 
 def best_cuts(positions: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
     """The cut positions, first 0 and last the end, of least total cost."""
-    at = positions.tolist()
-    cost = penalty.tolist()
-    best, back = [0.0] * len(at), [0] * len(at)
+    total = int(positions[-1])
+    price = np.full(total + 1, np.inf)
+    price[positions] = penalty + PRICE
     powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
-    place = {p: i for i, p in enumerate(at)}
-    queue: deque[tuple[float, int]] = deque([(float(at[0]), 0)])
-    for j in range(1, len(at)):
-        here = at[j]
-        while at[queue[0][1]] < here - window:
-            queue.popleft()
-        least, i = queue[0]
-        least += window - here
-        for p in powers:
-            k = place.get(here - p)
-            if k is not None and best[k] < least:
-                least, i = best[k], k
-        best[j] = least + PRICE + cost[j]
-        back[j] = i
-        value = best[j] + here
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j))
-    cuts, j = [at[-1]], len(at) - 1
+    # A window of places without a cost stands before the first position.
+    best = np.full(window + total + 1, np.inf)
+    best[window] = 0.0
+    ahead = best + np.arange(-window, total + 1)
+    for begin in range(1, total + 1, window):
+        end = min(begin + window, total + 1)
+        s, e = begin + window, end + window
+        here, own = np.arange(begin, end), price[begin:end]
+        least = np.minimum.accumulate(ahead[s - window : s][::-1])[::-1][: e - s]
+        while True:
+            inner = np.minimum.accumulate(ahead[s:e])[:-1]
+            reached = least.copy()
+            np.minimum(reached[1:], inner, out=reached[1:])
+            reached += window - here
+            for p in powers:
+                np.minimum(reached, best[s - p : e - p], out=reached)
+            reached += own
+            if np.array_equal(reached, best[s:e]):
+                break
+            best[s:e] = reached
+            ahead[s:e] = reached + here
+    cuts, j = [total], total
     while j:
-        j = back[j]
-        cuts.append(at[j])
+        at = j + window
+        back = [p for p in powers if p <= j and best[at - p] + price[j] == best[at]]
+        j = j - max(back) if back else int(np.argmin(ahead[at - window : at])) + j - window
+        cuts.append(j)
     return cuts[::-1]
 
 
 class Packer:
     """Takes documents in order, gives pieces; keeps what is not packed for good."""
 
-    def __init__(self, first_sequence: int, ends_sentence: np.ndarray, window: int = WINDOW, chunk: int = CHUNK):
-        self.sequence, self.ends_sentence, self.window, self.chunk = first_sequence, ends_sentence, window, chunk
+    def __init__(self, first_sequence: int, tokenizer: Tokenizer, window: int = WINDOW, chunk: int = CHUNK):
+        self.sequence, self.tokenizer, self.window, self.chunk = first_sequence, tokenizer, window, chunk
         self.open: list[tuple[int | None, np.ndarray, int]] = []  # id, ids, tokens already packed
         self.waiting = 0
 
@@ -154,7 +176,7 @@ class Packer:
             return []
         stream = np.concatenate([ids[done:] for _, ids, done in self.open])
         document_ends = np.cumsum([len(ids) - done for _, ids, done in self.open])
-        sentence_ends = np.flatnonzero(self.ends_sentence[stream]) + 1
+        sentence_ends = self.tokenizer.sentence_ends(stream)
         cuts = best_cuts(*cut_points(sentence_ends, document_ends, len(stream), self.window), self.window)
         if not last:
             # A cut far from the open end hardly depends on what follows; the rest is packed again.
@@ -195,7 +217,7 @@ def packed(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         for rows in batches:
             if packer is None and rows.num_rows:
                 tokenizer = Tokenizer(tokenizer_path)
-                packer = Packer(rows.column("_part")[0].as_py() << 33, tokenizer.ends_sentence, window)
+                packer = Packer(rows.column("_part")[0].as_py() << 33, tokenizer, window)
             for doc_id, body in zip(rows.column("_key"), rows.column("_text")):
                 ids = np.append(tokenizer.ids(body.as_py() or ""), np.uint32(END))
                 if pieces := packer.add(doc_id.as_py(), ids):

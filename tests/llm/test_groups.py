@@ -213,6 +213,26 @@ def test_monotone_queue_finds_the_least_cost():
         assert cost == pytest.approx(brute_cost(positions.tolist(), penalty.tolist(), 64))
 
 
+def test_text_without_sentence_ends_is_packed_as_tightly():
+    for size in (600, 700, 1100, 2100):
+        ends = np.arange(size, 60 * size + 1, size)
+        positions, penalty = packing.cut_points(np.zeros(0, dtype=np.int64), ends, int(ends[-1]), packing.WINDOW)
+        cuts = packing.best_cuts(positions, penalty)
+        lengths = np.diff(cuts)
+        assert max(lengths) <= packing.WINDOW
+        padding = sum(0 if n & (n - 1) == 0 else packing.WINDOW - n for n in lengths.tolist())
+        assert padding < 0.05 * ends[-1]
+
+
+def test_sentence_marks_of_other_scripts():
+    own = packing.Tokenizer(packing.default_tokenizer())
+    for text in ("\u5929\u5730\u7384\u9ec4\u3002\u5b87\u5b99", "\u0645\u0631\u062d\u0628\u0627\u061f \u0646\u0639\u0645", "\u0928\u092e\u0938\u094d\u0924\u0947\u0964 \u0915"):
+        ids = own.ids(text)
+        ends = own.sentence_ends(ids).tolist()
+        assert len(ends) == 1 and own.core.decode(ids[: ends[0]].tolist())[-1] in packing.MARKS
+    assert own.sentence_ends(own.ids("\u5929\u5730 plain")).tolist() == []
+
+
 def test_packing_round_trip(spark):
     import zlib
 
