@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontamination, jaccard_join, licences, packing, pitman_yor, quality_qda, quality_rules, sharding, toxicity, url_filter
+from barloom.llm import decontamination, jaccard_join, licences, packing, pitman_yor, quality_qda, quality_rules, queries_corpus, sharding, toxicity, url_filter
 from barloom.llm.staging import table
 
 
@@ -154,5 +154,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_quality_qda": op10_quality_qda,
+    **queries_corpus.QUERIES,
 }
-SQL: dict[str, str] = {"op9_quality_cascade": OP9_SQL}
+SQL: dict[str, str] = {"op9_quality_cascade": OP9_SQL, **queries_corpus.SQL}
