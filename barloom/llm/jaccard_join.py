@@ -77,15 +77,28 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[wordhash.Words, np.ndarray, n
 
 
 def nodes_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``key``, set size ``n`` and ``node`` (null without words)."""
+    """Per row: ``key``, ``text_hash`` (of the text as it is), set size ``n`` and ``node`` (null without words)."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, count, _, node, _ in _sets(batch):
-                keys = batch.column("_key").slice(words.first_row, words.rows)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(count.astype(np.int64)), pa.array(node, mask=count == 0)], ["key", "n", "node"])
+                keys, hashes = (batch.column(c).slice(words.first_row, words.rows) for c in ("_key", "_hash"))
+                sizes = pa.array(count.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([keys, hashes, sizes, pa.array(node, mask=count == 0)], ["key", "text_hash", "n", "node"])
 
-    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(nodes, "key long, n long, node long")
+    named = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    return named.mapInArrow(nodes, "key long, text_hash long, n long, node long")
+
+
+def _row_id(key: str, text_hash: str) -> Column:
+    """What tells texts apart, smallest key first: a key may stand for several texts, and a text may lack a key."""
+    return F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"), F.col(text_hash).alias("text_hash"))
+
+
+def _rows_with(docs: DataFrame, ids: DataFrame, key: str, text: str, how: str) -> DataFrame:
+    """Rows of ``docs`` whose key and text are among ``ids`` (key, text_hash), or are not, by ``how``."""
+    ids = ids.select(F.col("key").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(ids, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), how)
 
 
 def prefixes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -109,13 +122,19 @@ def prefixes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row with words: ``node`` and ``shingles``, the whole set."""
+    """Per row with words: ``node`` and ``shingles``, the whole set; once in each task that meets the node."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for _, count, begin, node, value in _sets(batch):
+                new = np.zeros(len(count), dtype=bool)
+                for k in np.flatnonzero(count):
+                    if (name := int(node[k])) not in met:
+                        met.add(name)
+                        new[k] = True
                 held = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node), held], ["node", "shingles"]).filter(pa.array(count > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(node), held], ["node", "shingles"]).filter(pa.array(new))
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(sets, "node long, shingles array<long>")
 
@@ -307,23 +326,17 @@ def _small(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
-
-    ``component_id`` is the smallest key that links reach. Null, empty and
-    white-space texts have no shingles and are linked with nothing: they keep their
-    own key. A row without a key joins the group of its equals but never names it;
-    where no row has one, the component is null. Rows that repeat a key with other
-    texts are linked each by its own text.
-    """
+def grouped_rows(docs: DataFrame, key: str, text: str, max_broadcast: int = MAX_BROADCAST, rounds: int = ROUNDS) -> DataFrame:
+    """Per row of ``docs``: ``key, text_hash, n, node`` and ``group``, the same for all rows that links reach; null without words."""
     rows = staged(nodes_of(docs, key, text), "nodes")
-    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"))
-    left = staged(survivors(prefixes(docs, text), sizes).join(sizes.select("node", "key"), "node"), "survivors")
-    wanted = left.where("key IS NOT NULL").select(F.col("key").alias("_wanted")).distinct()
-    texts = docs.join(_small(wanted, max_broadcast), F.col(key) == F.col("_wanted"), "left_semi")
+    # One text stands for a node, with a key or without.
+    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("n").alias("n"), F.min(_row_id("key", "text_hash")).alias("row"))
+    left = staged(survivors(prefixes(docs, text), sizes).join(sizes.select("node", "row"), "node"), "survivors")
+    wanted = left.select("row.key", "row.text_hash").distinct()
+    texts = _rows_with(docs, _small(wanted, max_broadcast), key, text, "left_semi")
     nodes = _small(left.select("node"), max_broadcast)
     sets = staged(whole_sets(texts, text).join(nodes, "node", "left_semi"), "sets")
-    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # keys that stand for several rows
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # a row that the table repeats
         sets = staged(sets.dropDuplicates(["node"]), "sets")
     matrix = staged(incidence(sets), "matrix")
 
@@ -348,7 +361,19 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadca
     more = compared(open_pairs(_with_roots(matrix, roots)), "open").where("linked").select("a", "b")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    grouped = rows.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    return rows.join(roots, "node", "left").select("key", "text_hash", "n", "node", F.coalesce("root", "node").alias("group"))
+
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST, rounds: int = ROUNDS) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+
+    ``component_id`` is the smallest key that links reach. Null, empty and
+    white-space texts have no shingles and are linked with nothing: they keep their
+    own key. A row without a key links others like any row, and joins their group,
+    but never names it; where no row has a key, the component is null. Rows that
+    repeat a key with other texts are linked each by its own text.
+    """
+    grouped = grouped_rows(docs, key, text, max_broadcast, rounds)
     least = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min("key").alias("least"))
     return grouped.join(least, "group", "left").select(
         F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id")
@@ -356,19 +381,22 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadca
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """The rows of ``docs`` whose key names their group; every group keeps one.
+    """One row of ``docs`` for each group, and every row that is in none.
 
-    Rows that repeat a key and a text are one document, of which one stays. Rows
-    without a key can't name a group nor be named, so all of them stay.
+    A group keeps its row of smallest key; of equal keys that of smallest text hash,
+    and a row without a key only where none has one. That is settled for each row, so
+    a key that stands for several texts keeps what the groups of those texts keep.
+    Texts without words are in no group; of rows that repeat a key and such a text
+    one stays, and without a key all of them.
     """
-    groups = staged(linked(docs, key, text, max_broadcast), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(_small(gone, max_broadcast), F.col(key) == F.col("_gone"), "left_anti")
-    named = groups.where("doc_id = component_id")
-    repeated = staged(named.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "repeated")
+    grouped = staged(grouped_rows(docs, key, text, max_broadcast), "groups")
+    row = _row_id("key", "text_hash")
+    kept = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min(row).alias("kept"))
+    gone = grouped.join(kept, "group").where(row != F.col("kept")).select("key", "text_hash").distinct()
+    left = _rows_with(docs, _small(gone, max_broadcast), key, text, "left_anti")
+    same = grouped.where("key IS NOT NULL OR group IS NOT NULL").groupBy("key", "text_hash").agg(F.count("*").alias("n"))
+    repeated = staged(same.where("n > 1").join(gone, ["key", "text_hash"], "left_anti").select("key", "text_hash"), "repeated")
     if repeated.isEmpty():
         return left
     again = _small(repeated, max_broadcast)
-    return left.join(again, F.col(key) == F.col("_again"), "left_anti").unionByName(
-        left.join(again, F.col(key) == F.col("_again"), "left_semi").dropDuplicates([key, text])
-    )
+    return _rows_with(left, again, key, text, "left_anti").unionByName(_rows_with(left, again, key, text, "left_semi").dropDuplicates([key, text]))
