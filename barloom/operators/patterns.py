@@ -12,7 +12,8 @@ two frames. That costs a handful of lags a row in place of hundreds of updates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +122,7 @@ def with_frame_extremes(bars: DataFrame, frames: dict[str, tuple[str, str, int,
 def with_pattern_features(
     bars: DataFrame,
     timeframe: str = "D",
-    patterns: tuple[str, ...] = STUDY_PATTERNS,
+    patterns: Sequence[Pattern] = STUDY_PATTERNS,
     study_window: int | None = None,
     keep_last: int | None = None,
 ) -> DataFrame:
@@ -132,6 +133,7 @@ def with_pattern_features(
     full-history averages, for callers that only score the latest one.
     """
     timeframe = check_timeframe(timeframe)
+    own = _own(patterns)
     w = by_symbol()
     out = with_ema(bars, [20, 50, 200])
     first = {"rn": F.row_number().over(w)}
@@ -151,6 +153,8 @@ def with_pattern_features(
         # Before the frame columns, while rows are narrow.
         out = _with_shoulders(out, timeframe)
     frames = {k: v for k, v in _frames(timeframe).items() if any(k in _NEEDED.get(p, ()) for p in patterns)}
+    for detector in own:
+        frames.update(detector.frames)
     out = with_frame_extremes(out, frames)
     volume_base = F.avg("volume").over(frame(-scaled_bars(20, timeframe), -1))
     extra = {
@@ -158,6 +162,8 @@ def with_pattern_features(
         "volume_base": volume_base,
         "close_29_back": F.lag("close", 29).over(w),
     }
+    for detector in own:
+        extra.update(detector.windows)
     if timeframe == "M":
         extra["volume_base20"] = F.avg("volume").over(frame(-20, -1))
     if study_window:
@@ -262,6 +268,15 @@ def _hit(name: str, side: str, score: Column, confidence: Column, level: Column,
     )
 
 
+def hit(name: str, side: str, score: Column, confidence: Column, level: Column, *reasons: Column, label: str | None = None) -> Column:
+    """The hit of a caller's own detector; ``side`` is BUY or SELL."""
+    if side not in ("BUY", "SELL"):
+        raise ValueError("a hit's side is BUY or SELL")
+    texts = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
+    parts = (F.lit(name), F.lit(side), score.cast("double"), confidence.cast("double"), level.cast("double"), F.lit(label or name), texts)
+    return F.struct(*(p.alias(n) for p, n in zip(parts, HIT_FIELDS)))
+
+
 def breakout(timeframe: str) -> Column:
     close, level, vr = F.col("close"), F.col("hi60"), F.col("vr")
     rise = pct_change(close, level)
@@ -412,6 +427,39 @@ def _double_bottom_of(timeframe: str) -> str:
 
 
 Detector = Callable[[str], Column]
+
+
+@dataclass(frozen=True, eq=False)
+class OwnDetector:
+    """A detector that one call brings along, with the columns that it needs.
+
+    ``rule(timeframe)`` gives a hit (see :func:`hit`) or NULL from the columns that
+    every detector may read - bars, ``rn``, averages, ``prev_close``, ``vr``, ``phase``
+    - and from its own: ``frames`` are range extremes (kind, column, first and last
+    offset in bars), ``windows`` further columns over a symbol's bars. They are planned
+    only for calls that bring the detector, in the exchange that is there anyway.
+    """
+
+    name: str
+    rule: Detector
+    frames: Mapping[str, tuple[str, str, int, int]] = field(default_factory=dict)
+    windows: Mapping[str, Column] = field(default_factory=dict)
+
+
+Pattern = str | OwnDetector
+
+
+def _own(patterns: Sequence[Pattern]) -> list[OwnDetector]:
+    """The detectors that a call brings; names that nobody knows and names given twice are errors."""
+    names = [p if isinstance(p, str) else p.name for p in patterns]
+    unknown = [p for p in patterns if isinstance(p, str) and p not in DETECTORS and p != "double_bottom"]
+    if unknown:
+        raise ValueError(f"unknown patterns: {', '.join(unknown)}")
+    if len(set(names)) < len(names):
+        raise ValueError("a pattern is given twice")
+    return [p for p in patterns if isinstance(p, OwnDetector)]
+
+
 DETECTORS: dict[str, Detector] = {
     "breakout": breakout,
     "retest": retest,
@@ -429,7 +477,7 @@ def register_detector(name: str, detector: Detector, label: str | None = None) -
 def detect(
     features: DataFrame,
     timeframe: str = "D",
-    patterns: tuple[str, ...] = SCAN_PATTERNS,
+    patterns: Sequence[Pattern] = SCAN_PATTERNS,
     keep: list[str] | None = None,
     only: Column | None = None,
     also: Column | None = None,
@@ -442,7 +490,8 @@ def detect(
     """
     timeframe = check_timeframe(timeframe)
     keep = list(keep or [])
-    patterns = tuple(p for p in patterns if p in DETECTORS or p == "double_bottom")
+    detectors = {**DETECTORS, **{p.name: p.rule for p in _own(patterns)}}
+    patterns = tuple(p if isinstance(p, str) else p.name for p in patterns)
     wanted = only if only is not None else F.lit(True)
     order = {p: i for i, p in enumerate(patterns)}
     plain = [p for p in patterns if p != "double_bottom"]
@@ -453,7 +502,7 @@ def detect(
             column.isNotNull(), F.struct((-column["score"]).alias("k"), F.lit(order[name]).alias("o"), column.alias("h"))
         )
 
-    direct = F.array_compact(F.array(*[ranked(DETECTORS[p](timeframe), p) for p in plain])) if plain else None
+    direct = F.array_compact(F.array(*[ranked(detectors[p](timeframe), p) for p in plain])) if plain else None
     if "double_bottom" not in patterns:
         out = features.withColumn("_r", F.when(wanted, direct).otherwise(F.array_compact(F.array(F.when(F.lit(False), direct[0])))))
         out = out.filter((F.size("_r") > 0) | also)

@@ -172,17 +172,25 @@ def merge_memberships(existing: DataFrame, snapshots: DataFrame, refreshed: tupl
     watchlist entry. A known symbol takes the snapshot's market, and its sector
     only where its own is unknown.
     """
-    members = snapshots.groupBy("symbol").agg(
+    members = _by_symbol(snapshots)
+    both = existing.join(members, "symbol", "full_outer")
+    own = F.filter(F.split(F.coalesce("index_groups", F.lit("")), r"\|"), lambda g: g != "")
+    return _settled(both, F.array_except(own, F.array(*[F.lit(g) for g in refreshed])))
+
+
+def _by_symbol(snapshots: DataFrame) -> DataFrame:
+    """One row for each member of a snapshot, with all its groups."""
+    return snapshots.groupBy("symbol").agg(
         F.sort_array(F.collect_set("group")).alias("_new"),
         F.max_by("name", "group").alias("_name"),
         F.max_by("market", "group").alias("_market"),
         F.min_by(F.nullif("sector", F.lit("Unknown")), "group").alias("_sector"),
     )
-    both = existing.join(members, "symbol", "full_outer")
-    none = F.array().cast("array<string>")
-    own = F.filter(F.split(F.coalesce("index_groups", F.lit("")), r"\|"), lambda g: g != "")
-    kept = F.array_except(own, F.array(*[F.lit(g) for g in refreshed]))
-    tags = F.array_union(kept, F.coalesce("_new", none))
+
+
+def _settled(both: DataFrame, kept: Column) -> DataFrame:
+    """Merged rows from both sides: the tags ``kept`` with the new ones, and what each side knows of the symbol."""
+    tags = F.array_union(kept, F.coalesce("_new", F.array().cast("array<string>")))
     tags = F.when(F.col("_new").isNotNull(), F.array_except(tags, F.array(F.lit(UNTAGGED)))).otherwise(tags)
     tags = F.when(F.size(tags) == 0, F.array(F.lit(UNTAGGED))).otherwise(F.array_sort(tags))
     vague = F.coalesce("sector", F.lit("Unknown")).isin("Unknown", "", "-", "Other")
@@ -202,15 +210,19 @@ def update_memberships(existing: DataFrame, members: DataFrame, today: dt.date |
     per group with its counts, the rule it breaks and whether it was ``accepted``; a
     group that breaks a rule or loses too many members keeps its old tags.
     """
-    tags = F.explode(F.split(F.coalesce("index_groups", F.lit("")), r"\|"))
-    current = existing.select("symbol", tags.alias("group")).filter(F.col("group").isin(*MANAGED_GROUPS))
-    changes = membership_changes(current, members.select("group", "symbol")).select("group", "added", "removed", "removed_share", "review")
-    report = validate_members(members, today).join(changes, "group", "left")
+    tags = existing.select("symbol", F.explode(F.split(F.coalesce("index_groups", F.lit("")), r"\|")).alias("group")).filter("group <> ''")
+    managed = F.col("group").isin(*MANAGED_GROUPS)
+    changes = membership_changes(tags.filter(managed), members.select("group", "symbol"))
+    # A group that is only in the old universe has no new members to judge.
+    report = validate_members(members, today).join(changes.select("group", "added", "removed", "removed_share", "review"), "group", "left")
+    report = report.withColumn("error", F.when(~managed, "not_managed").otherwise(F.col("error")))
     report = report.withColumn("accepted", F.col("error").isNull() & ~F.coalesce("review", F.lit(False)))
-    # At most one name per managed group.
-    accepted = tuple(sorted(r["group"] for r in report.filter("accepted").select("group").collect()))
-    good = members.filter(F.col("group").isin(*accepted)) if accepted else members.limit(0)
-    return merge_memberships(existing, good, accepted), report
+    # Acceptance is a set that both sides are held against; at most one name per managed group.
+    accepted = F.broadcast(report.filter(F.col("accepted") & managed).select("group"))
+    kept = tags.join(accepted, "group", "left_anti").groupBy("symbol").agg(F.collect_set("group").alias("_kept"))
+    new = _by_symbol(members.join(accepted, "group", "left_semi"))
+    both = existing.join(new, "symbol", "full_outer").join(kept, "symbol", "left")
+    return _settled(both, F.coalesce("_kept", F.array().cast("array<string>"))), report
 
 
 def coverage_overview(universe: DataFrame, latest: DataFrame, coverage: DataFrame, expected: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import Window
 from barloom.operators import study as ST
 from barloom.operators.bars import check_timeframe, resample
 from barloom.operators.filters import eligible
-from barloom.operators.patterns import STUDY_PATTERNS, STUDY_WINDOW, detect, with_pattern_features
+from barloom.operators.patterns import STUDY_PATTERNS, STUDY_WINDOW, Pattern, detect, with_pattern_features
 
 
 @dataclass
@@ -40,7 +41,7 @@ def event_study(
     listing: DataFrame | None = None,
     *,
     timeframe: str = "D",
-    patterns: tuple[str, ...] = STUDY_PATTERNS,
+    patterns: Sequence[Pattern] = STUDY_PATTERNS,
     horizons: tuple[int, ...] = (5, 10, 20),
     cooldown: int = 20,
     cost_bps: float = 30.0,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from barloom.operators import scoring as X
 from barloom.operators.bars import check_timeframe, completed, last_bars, resample, with_min_history
 from barloom.operators.filters import eligible, expected_eod, is_fresh
 from barloom.operators.liquidity import tail_metrics, with_liquidity
-from barloom.operators.patterns import SCAN_PATTERNS, detect, technical_score, with_pattern_features
+from barloom.operators.patterns import SCAN_PATTERNS, Pattern, detect, technical_score, with_pattern_features
 from barloom.operators.risk import risk_plan
 from barloom.operators.study import with_best_evidence
 from barloom.operators.valuation import derive_valuation
@@ -27,7 +28,7 @@ def scan_market(
     as_of: dt.date | str,
     market: str = "ALL",
     universe: str = "ALL",
-    patterns: tuple[str, ...] = SCAN_PATTERNS,
+    patterns: Sequence[Pattern] = SCAN_PATTERNS,
     min_score: float = 70.0,
     min_liquidity: float = 40.0,
     timeframe: str = "D",

@@ -23,9 +23,11 @@ from barloom.registry import patterns as RP
 from barloom.registry import sql as S
 from barloom.registry import statements as RS
 from barloom.registry.bars import smooth
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, work_folder
+from barloom.sources import evidence_store as EV
 from barloom.sources import order_statements as O
 from barloom.sources import trade_ticks as T
+from barloom.sources.sinks import publish_version, read_current
 
 AS_OF = S.AS_OF
 
@@ -143,16 +145,59 @@ def _risk(bearish):
     return run
 
 
-def _scan(spark, d, detail=False):
-    bars = cut_lineage(smooth(spark, d))
-    # A scan reads stored evidence; here the study that makes it runs first.
-    evidence = cut_lineage(STU.evidence(ES.event_study(bars, T.listing(spark, d), as_of=AS_OF, **RP.WEEKLY).edges, "W"))
+_folders: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark, d, name, make):
+    """A folder that is written once in a session for each input folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _folders:
+        folder = work_folder(spark, name)
+        make(folder)
+        _folders[key] = folder
+    return _folders[key]
+
+
+def _evidence_folder(spark, d):
+    """Where the weekly study's evidence lies; the first that asks runs the study, as a nightly job would."""
+
+    def make(folder):
+        edges = ES.event_study(smooth(spark, d), T.listing(spark, d), as_of=AS_OF, **RP.WEEKLY).edges
+        EV.write_evidence(STU.evidence(edges, "W"), folder, "W", AS_OF)
+
+    return _once(spark, d, "evidence", make)
+
+
+def stored_evidence(spark, d):
+    """Evidence as the store gives it ten days later, and what it gives when the study is too old: nothing."""
+    folder = _evidence_folder(spark, d)
+    rows = EV.read_evidence(spark, folder, "W", "2001-11-12").unionByName(EV.read_evidence(spark, folder, "W", "2002-06-30"))
+    rows = rows.unionByName(EV.read_evidence(spark, folder, "W", "2001-11-01")).unionByName(EV.read_evidence(spark, folder, "M", AS_OF))
+    return rows.select("pattern", "timeframe", "verdict", "tradeable", "signals", "horizon_bars", "return_edge_pp", "hit_rate_edge_pp", "measured_on")
+
+
+def _inputs(spark, d):
+    """What a scan reads: bars, snapshots and rates, each written once."""
+    names = ("bars", "snapshots", "rates")
+    made = {"bars": lambda: smooth(spark, d), "snapshots": lambda: snapshots(spark, d), "rates": lambda: O.fx_rates(spark, d)}
+    folders = [_once(spark, d, n, lambda folder, n=n: made[n]().write.parquet(folder)) for n in names]
+    return [spark.read.parquet(f) for f in folders]
+
+
+def _scan(spark, d, detail=False, patterns=STUDY_PATTERNS, measured=AS_OF, **limits):
+    bars, snaps, rates = _inputs(spark, d)
+    evidence = EV.read_evidence(spark, _evidence_folder(spark, d), "W", measured)
     return SC.scan_market(
-        bars, snapshots(spark, d), O.fx_rates(spark, d), evidence, as_of=AS_OF, patterns=STUDY_PATTERNS,
-        min_score=0.0, min_liquidity=0.0, timeframe="W", detail=detail,
+        bars, snaps, rates, evidence, as_of=AS_OF, patterns=patterns, timeframe="W", detail=detail, **{"min_score": 0.0, "min_liquidity": 0.0, **limits}
     )
 
 
+def published_scan(spark, d):
+    """The scan's result as a published table, which the overview, the counts, the details and the export read."""
+    folder = _once(spark, d, "scan", lambda folder: publish_version(_scan(spark, d, detail=True), folder, AS_OF))
+    return read_current(spark, folder)
+
+
 def market_scan(spark, d):
     out = _scan(spark, d)
     return out.select(
@@ -166,7 +211,7 @@ def market_scan(spark, d):
 
 def scan_detail(spark, d):
     """Scan rows with the nested insights and summary flattened to a few checks."""
-    out = _scan(spark, d, detail=True)
+    out = published_scan(spark, d)
     return out.select(
         "symbol", F.size("insights").alias("insights"), F.col("insights")[0]["label"].alias("technical_label"),
         F.col("insights")[1]["label"].alias("financial_label"), F.col("decision_summary.technical.pass").alias("technical_pass"),
@@ -175,18 +220,18 @@ def scan_detail(spark, d):
 
 
 def scan_overview(spark, d):
-    out = SC.scan_overview(_scan(spark, d))
+    out = SC.scan_overview(published_scan(spark, d))
     return out.withColumn("best_score", F.round("best_score", 5))
 
 
 def symbol_detail(spark, d):
     bars = cut_lineage(smooth(spark, d))
-    rows = SC.symbol_detail(_scan(spark, d), completed(bars, AS_OF), T.listing(spark, d))
+    rows = SC.symbol_detail(published_scan(spark, d), completed(bars, AS_OF), T.listing(spark, d))
     return rows.select("symbol", "date", F.round("close", 6).alias("close"), F.round("result.final_score", 5).alias("final_score"), F.col("snapshot.name").alias("name"))
 
 
 def verification_counts(spark, d):
-    return SC.verification_counts(_scan(spark, d))
+    return SC.verification_counts(published_scan(spark, d))
 
 
 QUERIES = {
@@ -206,6 +251,7 @@ QUERIES = {
     "scan_overview": scan_overview,
     "verification_counts": verification_counts,
     "symbol_detail": symbol_detail,
+    "stored_evidence": stored_evidence,
 }
 
 _DAY = f"done AS (SELECT * FROM smooth_bars WHERE date < DATE '{AS_OF}')"
@@ -319,7 +365,7 @@ def _risk_sql(bearish):
     )
 
 
-def _scan_ctes():
+def scan_ctes():
     study = RP._study_ctes()
     scan = RP.features_sql("W", base="done")[1:]
     names = (
@@ -407,16 +453,16 @@ FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)""",
   round(final, 5) AS final_score, {_GRADE} AS grade, {_VERDICT} AS verdict, fw AS financial_warnings, vw AS valuation_warnings FROM fs""",
     "risk_plan_long": _risk_sql(False),
     "risk_plan_bearish": _risk_sql(True),
-    "market_scan": S.with_(*_scan_ctes(), recursive=True)
+    "market_scan": S.with_(*scan_ctes(), recursive=True)
     + """SELECT symbol, market, phase AS market_phase, round(tech, 5) AS technical_score, round(final, 5) AS final_score, fin AS fundamental_score,
   CASE WHEN research THEN biz ELSE 0 END AS business_score, val AS valuation_score, grade, decision, level AS verification_level, patterns,
   round(stop, 5) AS stop, verdict AS evidence, fresh AS price_is_fresh, warnings FROM sd""",
-    "scan_detail": S.with_(*_scan_ctes(), recursive=True)
+    "scan_detail": S.with_(*scan_ctes(), recursive=True)
     + """SELECT sd.symbol, 5 AS insights, CASE WHEN tech >= 78 THEN 'A setup' WHEN tech >= 58 THEN 'Watch' ELSE 'Weak' END AS technical_label,
   CASE WHEN fin >= 75 THEN 'Strong' WHEN fin >= 55 THEN 'Check' ELSE 'Weak' END AS financial_label, NOT bearish AS technical_pass,
   CASE WHEN bearish THEN short_risk ELSE long_risk END / r3.last_price * 100 > 12 AS wide_risk FROM sd JOIN r3 ON r3.symbol = sd.symbol""",
     "scan_overview": S.with_(
-        *_scan_ctes(),
+        *scan_ctes(),
         "bm AS (SELECT market, count(*) AS n, max(final) AS best FROM sd GROUP BY 1)",
         recursive=True,
     )
@@ -429,3 +475,4 @@ LEFT JOIN ({SQL["market_scan"]}) m ON m.verification_level = l.level GROUP BY 1"
 SQL["symbol_detail"] = S.with_(S.SMOOTH, S.LISTING, f"m AS ({SQL['market_scan']})", f"""
 t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM smooth_bars WHERE date < DATE '{AS_OF}')""") + """
 SELECT t.symbol, t.date, round(t.close, 6) AS close, m.final_score, l.name FROM t JOIN m ON m.symbol = t.symbol JOIN listing l ON l.symbol = t.symbol WHERE back <= 180"""
+SQL["stored_evidence"] = f"SELECT *, DATE '{AS_OF}' AS measured_on FROM ({RP.SQL['pattern_evidence']})"

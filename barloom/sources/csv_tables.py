@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.session import cut_lineage
+
 # Accepted header names per price field.
 PRICE_ALIASES = {
     "date": ("date", "timestamp", "time", "datetime"),
@@ -31,7 +33,7 @@ def read_text_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Only the header line is read ahead; there is no inference pass. Files under
     one path must share a header: one that differs fails the job, since its
-    columns would land under other names. Read differing ones separately.
+    columns would land under other names. ``read_price_files`` takes differing ones.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
@@ -83,10 +85,71 @@ def first_value(df: DataFrame, *names: str, default: str = "") -> Column:
 
 
 def read_price_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Price files to bars; see ``price_rows``."""
+    """Price files that share one header to bars; see ``price_rows``."""
     return price_rows(read_text_columns(spark, path), F.input_file_name())
 
 
+def read_price_files(spark: SparkSession, path: str | list[str], skip_bad: bool = False) -> DataFrame:
+    """Price files of any headers to bars, in one job.
+
+    Each file's own header decides where its fields are. A file without a required
+    column is an error that names it, unless ``skip_bad`` leaves such files out. A
+    record is a line; line breaks inside quotes are not read.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("value").alias("line"),
+        # Lines of a file in order: its splits by their offset, lines as they are read.
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"),
+    )
+    rows, problems = price_files(lines, F.col("place.block") == 0)
+    bad = [] if skip_bad else problems.limit(10).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.file} is missing columns: {', '.join(r.missing)}" for r in bad))
+    return rows
+
+
+FIELD_ORDER = tuple(PRICE_ALIASES)
+
+
+def _positions(header: str) -> tuple[list[int | None], list[str]]:
+    """Where the fields are in a header, in the order of ``FIELD_ORDER``, and which required ones are not."""
+    names = [_plain(n) for n in next(csv.reader([header]), [])]
+    first = {n: k for k, n in reversed(list(enumerate(names)))}
+    at = [next((first[a] for a in PRICE_ALIASES[f] if a in first), None) for f in FIELD_ORDER]
+    return at, sorted(f for f, k in zip(FIELD_ORDER, at) if f in REQUIRED and k is None)
+
+
+def price_files(lines: DataFrame, may_be_header: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bars, problems) of the lines of many price files.
+
+    ``lines``: file, line, place (anything that orders the lines of a file). A file's
+    first line is its header. Files are grouped by header: the distinct headers, few
+    however many files there are, are resolved once, and every line is parsed once
+    by the positions of its file. ``problems`` has ``file`` and ``missing`` of the
+    files that lack a required column; they have no bars. Empty files have neither.
+    ``may_be_header`` tells the lines among which headers are, where that is known.
+    """
+    spark = lines.sparkSession
+    heads = lines.where(may_be_header) if may_be_header is not None else lines
+    heads = heads.groupBy("file").agg(F.min_by("line", "place").alias("header"), F.min("place").alias("_first"))
+    heads = cut_lineage(heads)
+    headers = [r[0] for r in heads.select("header").distinct().collect()]
+    resolved = [(h, *_positions(h)) for h in headers]
+    width = max((len(next(csv.reader([h]), [])) for h in headers), default=1)
+    layouts = spark.createDataFrame(resolved, "header string, _at array<int>, missing array<string>")
+    files = heads.join(F.broadcast(layouts), "header")
+    problems = files.where(F.size("missing") > 0).select("file", "missing")
+    good = files.where(F.size("missing") == 0).select("file", "_first", "_at")
+    rows = lines.join(good, "file").where(F.col("place") != F.col("_first"))
+    schema = ", ".join(f"c{k} string" for k in range(max(width, 1)))
+    cells = rows.select("file", "_at", F.from_csv("line", F.lit(schema)).alias("_c"))
+    cells = cells.select("file", "_at", F.array(*(F.col(f"_c.c{k}") for k in range(max(width, 1)))).alias("_cells"))
+    fields = {f: F.get("_cells", F.col("_at")[k]) for k, f in enumerate(FIELD_ORDER)}
+    named = cells.select("file", *(value.alias(f) for f, value in fields.items()))
+    return price_rows(named, F.col("file")), problems
+
+
 def price_rows(rows: DataFrame, file: Column) -> DataFrame:
     """Text columns to bars; a missing required column is an error, rows too short for them are skipped.
 
