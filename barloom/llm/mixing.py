@@ -28,6 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; slots of an output shard.
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
+#: Slots of a partition, about.
+PART_SLOTS = 50_000
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: How often the words of a source may be taken at most.
@@ -46,11 +48,17 @@ def mixed_number(x: str) -> str:
     return f"((({twice}) * ({twice}) + 15485863) % {PRIME})"
 
 
+def mixed_bit(x: str) -> str:
+    """SQL of a pseudorandom bit of the non-negative long ``x``; cheaper than a number, it stands in every round."""
+    once = f"(({x}) % {PRIME} * 48271 + 11) % {PRIME}"
+    return f"((({once}) * ({once}) + 1299709) % {PRIME} % 2)"
+
+
 def permuted(index: str, blocks: str, points: str, stream: str) -> Column:
     """``index`` (0 to ``blocks`` - 1) under the permutation that ``points`` and ``stream`` stand for."""
     mirror = f"(({points}[r] + {blocks} - x) % {blocks})"
-    bit = mixed_number(f"greatest(x, {mirror}) + ({stream} * {ROUNDS} + r) * 1000003")
-    fold = f"aggregate(sequence(0, {ROUNDS - 1}), {index}, (x, r) -> CASE WHEN {bit} % 2 = 1 THEN {mirror} ELSE x END)"
+    bit = mixed_bit(f"greatest(x, {mirror}) + ({stream} * {ROUNDS} + r) * 1000003")
+    fold = f"aggregate(sequence(0, {ROUNDS - 1}), {index}, (x, r) -> CASE WHEN {bit} = 1 THEN {mirror} ELSE x END)"
     return F.expr(fold)
 
 
@@ -149,18 +157,21 @@ def draws(sources: DataFrame, slots: int, shard_slots: int = SHARD_SLOTS, seed:
     return met.groupBy("shard", "number").agg(F.count("*").alias("n"))
 
 
-def settled(drawn: DataFrame, sources: DataFrame) -> DataFrame:
+def settled(drawn: DataFrame, sources: DataFrame, parts: int = 8) -> DataFrame:
     """``shard, number, turn``: the slots, with the turns of a source numbered from 0 to its quota.
 
     Draws beyond a quota, in a random order of shards, go to the sources that were
-    drawn too rarely: the i-th draw too many meets the i-th missing turn.
+    drawn too rarely: the i-th draw too many meets the i-th missing turn. ``parts``:
+    partitions in which counts become slots again.
     """
     cells = drawn.join(sources.select("number", "quota"), "number")
     mixed = Window.partitionBy("number").orderBy(F.expr(mixed_number("shard * 7919 + number")), "shard").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("first", F.coalesce(F.sum("n").over(mixed), F.lit(0)))
     cells = cells.withColumn("kept", F.expr("greatest(0L, least(n, quota - first))"))
     cells = staged(cells, "draws")
-    kept = cells.where("kept > 0").select("shard", "number", F.explode(F.expr("sequence(first, first + kept - 1)")).alias("turn"))
+    # A few bytes of counts stand for many slots: dealt by number, not by size.
+    dealt = cells.where("kept > 0").repartition(parts, "shard", "number")
+    kept = dealt.select("shard", "number", F.explode(F.expr("sequence(first, first + kept - 1)")).alias("turn"))
 
     def listed(df: DataFrame, n: str, order: Sequence[str]) -> DataFrame:
         """One row for each of ``n``, numbered through. Only rows with some come here: few for each source."""
@@ -203,7 +214,7 @@ def mixed(
     rows = staged(streams(docs, key, text, source), "streams")
     sources = staged(plan(rows, block_words, weights, passes), "sources")
     slots = int(sources.agg(F.sum("quota")).first()[0] or 0)
-    turns = settled(draws(sources, slots, shard_slots, seed), sources)
+    turns = settled(draws(sources, slots, shard_slots, seed), sources, max(8, -(-slots // PART_SLOTS)))
     stream = f"(number * {passes} + pass)"
     laps = sources.where("blocks > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))))
     laps = staged(laps.select("number", "name", "blocks", "pass", points("blocks", stream).alias("points")), "laps")

@@ -90,7 +90,7 @@ def _permutation_sql() -> str:
     at = f"(stream * {_R} + r)"
     wide = f"({mixing.mixed_number(at + ' + 700001')} * {_P} + {mixing.mixed_number(at + ' + 900007')})"
     mirror = "((p[r + 1] + blocks - x) % blocks)"
-    bit = mixing.mixed_number(f"greatest(x, {mirror}) + (stream * {_R} + r) * 1000003")
+    bit = mixing.mixed_bit(f"greatest(x, {mirror}) + (stream * {_R} + r) * 1000003")
     return f"""
 ), laps AS (
     SELECT number, blocks, pass, number * 3 + pass AS stream FROM plan, range(3) AS l(pass) WHERE blocks > 0
@@ -100,7 +100,7 @@ def _permutation_sql() -> str:
     SELECT number, blocks, turn // blocks AS pass, turn % blocks AS spot
     FROM (SELECT number, blocks, unnest(range(quota)) AS turn FROM plan)
 ), slots AS (
-    SELECT number, list_reduce(range({_R}), lambda x, r: CASE WHEN {bit} % 2 = 1 THEN {mirror} ELSE x END, spot) AS block
+    SELECT number, list_reduce(range({_R}), lambda x, r: CASE WHEN {bit} = 1 THEN {mirror} ELSE x END, spot) AS block
     FROM turns JOIN pointed USING (number, blocks, pass)
 """
 
