@@ -519,6 +519,21 @@ def with_currency_presentation(periods: DataFrame) -> DataFrame:
     )
 
 
+def without_derived_per_share(periods: DataFrame, metrics: tuple[str, ...] = PER_SHARE_METRICS) -> DataFrame:
+    """Periods that came from the year as a whole keep a per-share value only where it was reported itself.
+
+    ``periods``: wide, with ``derived_from_annual``, ``derived_metrics`` (names) and
+    ``metric_sources`` (name to a struct with ``kind``).
+    """
+
+    def kept(metric: str) -> Column:
+        own = ~F.array_contains(F.coalesce("derived_metrics", F.array().cast("array<string>")), metric)
+        reported = F.coalesce(F.try_element_at("metric_sources", F.lit(metric))["kind"] == "reported", F.lit(False))
+        return F.when(~F.coalesce("derived_from_annual", F.lit(False)) | (own & reported), F.col(metric))
+
+    return periods.withColumns({m: kept(m) for m in metrics})
+
+
 def thesis_progress(actual: Column, target: Column, inverse: bool = False) -> Column:
     """Share of a target reached, 0..100; inverse for debt, where less is better."""
     if inverse:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bars", "patterns", "statements", "scan", "profiles", "feeds", "texts", "sources", "stores")
+MODULES = ("bars", "patterns", "statements", "scan", "profiles", "feeds", "texts", "sources", "stores", "rules")
 
 
 def load() -> tuple[dict, dict]:

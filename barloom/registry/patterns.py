@@ -110,10 +110,9 @@ def study_places(spark, d):
 
 
 def pattern_reasons(spark, d):
-    """Label and reasons of every weekly hit; numbers are masked, their printing differs between engines."""
+    """Label and reasons of every weekly hit, with their numbers."""
     hits = hits_of(spark, d, "W", P.STUDY_PATTERNS).select("symbol", "date", F.explode("hits").alias("h"))
-    masked = F.transform("h.reasons", lambda r: F.regexp_replace(r, r"[0-9]+\.[0-9]+", "#"))
-    return hits.select("symbol", "date", "h.name", "h.label", F.array_join(masked, "; ").alias("reasons"))
+    return hits.select("symbol", "date", "h.name", "h.label", F.array_join("h.reasons", "; ").alias("reasons"))
 
 
 def pattern_evidence(spark, d):
@@ -146,6 +145,11 @@ QUERIES = {
 _W = "PARTITION BY symbol ORDER BY date"
 
 
+def _n(value, digits=2):
+    """A number as reasons print it: halves up, fixed digits."""
+    return f"CAST(round(CAST({value} AS DECIMAL(30, 12)), {digits}) AS VARCHAR)"
+
+
 def _fr(first, last):
     def side(n):
         return "CURRENT ROW" if n == 0 else f"{-n} PRECEDING" if n < 0 else f"{n} FOLLOWING"
@@ -419,16 +423,17 @@ SELECT *, row_number() OVER (PARTITION BY group_kind, horizon ORDER BY samples D
   SELECT CASE WHEN GROUPING(pattern) = 0 THEN 'pattern' WHEN GROUPING(market) = 0 THEN 'market' ELSE 'overall' END AS group_kind, market, pattern, horizon, count(*) AS samples
   FROM events_out GROUP BY GROUPING SETS ((pattern, horizon), (market, horizon), (horizon)))""",
     "pattern_reasons": S.with_(*features_sql("W"), recursive=True)
-    + """
+    + f"""
 SELECT h.symbol, h.date, h.name,
   CASE h.name WHEN 'breakout' THEN 'Breakout' WHEN 'retest' THEN 'Breakout Retest' WHEN 'cup_handle' THEN 'Cup & Handle' WHEN 'double_bottom' THEN 'Double Bottom' ELSE 'Head & Shoulders' END AS label,
   CASE h.name
-    WHEN 'breakout' THEN 'close above the earlier high #; volume # times its average; close above EMA50' || CASE WHEN f.close > f.ema200 THEN '; close above EMA200' ELSE '' END
-    WHEN 'retest' THEN 'earlier resistance # held as support; close back above the level; volume # times its average'
-    WHEN 'cup_handle' THEN 'cup #% deep; handle gave back #%; close above the handle''s high #'
-    WHEN 'double_bottom' THEN 'two lows near # after a fall of #%; close above the neckline #; volume # times its average'
-    ELSE 'head at # above both shoulders; close below the neckline #; bearish: lowers conviction in a long entry' END AS reasons
-FROM all_hits h JOIN f ON f.symbol = h.symbol AND f.rn = h.rn""",
+    WHEN 'breakout' THEN 'close above the earlier high ' || {_n('f.hi60')} || '; volume ' || {_n('f.vr')} || ' times its average; close above EMA50' || CASE WHEN f.close > f.ema200 THEN '; close above EMA200' ELSE '' END
+    WHEN 'retest' THEN 'earlier resistance ' || {_n('f.base_hi')} || ' held as support; close back above the level; volume ' || {_n('f.vr')} || ' times its average'
+    WHEN 'cup_handle' THEN 'cup ' || {_n('(f.cl - f.cb) / f.cl * 100', 1)} || '% deep; handle gave back ' || {_n('(f.hh - f.hl) / f.hh * 100', 1)} || '%; close above the handle''s high ' || {_n('f.hh')}
+    WHEN 'double_bottom' THEN 'two lows near ' || {_n('least(p.llow, p.rlow)')} || ' after a fall of ' || {_n('(p.prior_hi - p.llow) / p.prior_hi * 100', 1)} || '%; close above the neckline ' || {_n('p.neck')} || '; volume ' || {_n('f.vr')} || ' times its average'
+    ELSE 'head at ' || {_n('s.hhigh')} || ' above both shoulders; close below the neckline ' || {_n('s.neck')} || '; bearish: lowers conviction in a long entry' END AS reasons
+FROM all_hits h JOIN f ON f.symbol = h.symbol AND f.rn = h.rn LEFT JOIN chosen p ON p.symbol = h.symbol AND p.rn = h.rn AND p.pick = 1
+  LEFT JOIN shoulder_bars s ON s.symbol = h.symbol AND s.rn = h.rn AND s.pick = 1""",
     "pattern_evidence": S.with_(*_study_ctes(), _EDGES, recursive=True)
     + """
 SELECT pattern, 'W' AS timeframe,

@@ -365,7 +365,8 @@ def _risk_sql(bearish):
     )
 
 
-def scan_ctes():
+def scan_ctes(own=""):
+    """All CTEs of the scan; ``own`` defines ``scan_own``, hits of one more pattern."""
     study = RP._study_ctes()
     scan = RP.features_sql("W", base="done")[1:]
     names = (
@@ -376,6 +377,8 @@ def scan_ctes():
     for name in names:
         # Names are CTE references unless quoted or aliased as a column.
         text = re.sub(rf"(?<=FROM )({name})\b|(?<=JOIN )({name})\b|(?m:^)({name})(?= AS \()", f"scan_{name}", text)
+    if own:
+        text = text.replace("scan_all_hits AS (", own.strip() + ",\nscan_all_hits AS (").replace("*, 4 FROM scan_head_shoulders", "*, 4 FROM scan_head_shoulders UNION ALL SELECT *, 5 FROM scan_own")
     return [*study, RP_EDGES, _DAY, TAIL, LIQ, *_SNAP, text, _STOPS, _SCAN]
 
 

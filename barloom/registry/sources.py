@@ -118,10 +118,14 @@ def provider_lines(spark, d):
 
 
 def chart_json(spark, d):
-    """Daily bars as chart bodies: nulls inside, adjusted closes for every second symbol."""
-    bars = raw(spark, d).withColumn("open", F.when(F.dayofmonth("date") != 13, F.col("open")))
+    """Daily bars as chart bodies: nulls inside, adjusted closes for every second symbol.
+
+    Prices have four decimals and the adjustment doubles them, so both engines carry the same numbers to the end.
+    """
+    bars = raw(spark, d).withColumns({c: F.floor(F.col(c) * 10000) / 10000 for c in ("open", "high", "low", "close")})
+    bars = bars.withColumn("open", F.when(F.dayofmonth("date") != 13, F.col("open")))
     ts = F.unix_timestamp(F.col("date").cast("timestamp"))
-    row = F.struct(ts.alias("ts"), "open", "high", "low", "close", "volume", F.round(F.col("close") * 0.37, 6).alias("adj"))
+    row = F.struct(ts.alias("ts"), "open", "high", "low", "close", "volume", (F.col("close") * 2).alias("adj"))
     per = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(row)).alias("r"))
     quote = F.struct(*[F.col(f"r.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")])
     adjusted = F.when(_number() % 2 == 0, F.array(F.struct(F.col("r.adj").alias("adjclose"))))
@@ -130,7 +134,7 @@ def chart_json(spark, d):
     options = {"ignoreNullFields": "false"}
     body = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), options)
     out = LJ.chart_bars(per.select("symbol", body.alias("body")))
-    return out.select("symbol", "date", "open", "high", "low", "close", "volume", F.floor("adjusted_close").alias("adjusted_close"), F.round(F.col("adjusted_open") / F.col("open"), 2).alias("adjustment"))
+    return out.select("symbol", "date", "open", "high", "low", "close", "volume", "adjusted_close", "adjusted_open")
 
 
 def exchange_history(spark, d):
@@ -258,7 +262,7 @@ def sector_trends(spark, d):
     needles = F.array(*[F.lit(k) for k in PR.SECTOR_TRENDS])
     key = F.col("p_partkey")
     sector = F.when(key % 3 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" Global "), F.initcap(F.get(needles, (key % len(PR.SECTOR_TRENDS)).cast("int")))))
-    return T.table(spark, d, "part").select("p_partkey", F.length(F.coalesce(PR.sector_trend(sector), F.lit(""))).alias("label_length"), PR.sector_trend(sector).isNotNull().alias("has_trend"))
+    return T.table(spark, d, "part").select("p_partkey", PR.sector_trend(sector).alias("trend"))
 
 
 def calendar_quarters(spark, d):
@@ -352,7 +356,7 @@ _LETTERS = "translate(CAST(p_partkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ')"
 _SHEET = f"CASE WHEN regexp_matches({_LETTERS}, '^[A-Z][A-Z0-9]{{0,5}}$') THEN {_LETTERS} END"
 _NEEDLES = list(PR.SECTOR_TRENDS)
 _TREND_LIST = ", ".join(f"'{k}'" for k in _NEEDLES)
-_TREND_CASE = " ".join(f"WHEN contains(t, '{k}') THEN {len(v)}" for k, v in PR.SECTOR_TRENDS.items())
+_TREND_CASE = " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in PR.SECTOR_TRENDS.items())
 _TREND_GROUPS = next(groups for groups in SC.TRENDS.values() if "semiconductor" in groups)
 _CHOICES = ", ".join(f"'{g}'" for g in _TREND_GROUPS)
 
@@ -367,9 +371,10 @@ FROM listing WHERE {_N} % 6 <> 0""",
   make_date(y + 1, 2, 20) AS filed, 'a-' || y AS accn FROM y""",
     "provider_lines": S.with_(_YEARS) + """SELECT symbol, make_date(y, 12, 31) AS period_end, m.metric, round(v * m.f, 2) AS value, 'USD' AS currency
 FROM y, (VALUES ('total_revenue', 2), ('net_income', 1)) AS m(metric, f) WHERE y % 4 <> 0""",
-    "chart_json": S.with_(S.RAW) + f"""SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, floor(volume) AS volume,
-  CASE WHEN {_N} % 2 = 0 THEN CAST(floor(round(close * 0.37::DOUBLE, 6)) AS BIGINT) END AS adjusted_close, CASE WHEN {_N} % 2 = 0 THEN 0.37::DOUBLE END AS adjustment
-FROM raw_bars WHERE day(date) <> 13""",
+    "chart_json": S.with_(S.RAW, """
+cut AS (SELECT symbol, date, floor(open * 10000) / 10000 AS open, floor(high * 10000) / 10000 AS high, floor(low * 10000) / 10000 AS low, floor(close * 10000) / 10000 AS close, volume FROM raw_bars)""")
+    + f"""SELECT symbol, date, open, high, low, close, floor(volume) AS volume, CASE WHEN {_N} % 2 = 0 THEN close * 2 END AS adjusted_close, CASE WHEN {_N} % 2 = 0 THEN open * 2 END AS adjusted_open
+FROM cut WHERE day(date) <> 13""",
     "exchange_history": S.with_(S.RAW) + f"""SELECT symbol, date, round(open, 2) AS open, round(high, 2) AS high, -round(low, 2) AS low, round(close, 2) AS close, CASE WHEN {_N} % 4 = 0 THEN 0 ELSE floor(volume) END AS volume
 FROM raw_bars WHERE day(date) <> 29 AND {_N} % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""",
     "fx_table": "SELECT 'C' || n_nationkey AS code, n_nationkey - 3.0::DOUBLE AS per_usd, DATE '2001-10-20' AS updated FROM nation",
@@ -388,7 +393,7 @@ FROM raw_bars WHERE day(date) <> 29 AND {_N} % 9 <> 0 QUALIFY row_number() OVER
   CAST(count(*) AS DOUBLE) AS volume FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2, 3""",
     "symbol_format": "SELECT p_partkey, regexp_matches(CASE WHEN p_partkey % 2 = 0 THEN replace(upper(p_name), ' ', '.') ELSE upper(p_name) END, '^[A-Z0-9.\\-]{1,12}$') AS valid FROM part",
     "sector_trends": f"""WITH s AS (SELECT p_partkey, lower(trim(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'global ' || ([{_TREND_LIST}])[p_partkey % {len(_NEEDLES)} + 1] END)) AS t FROM part)
-SELECT p_partkey, CASE {_TREND_CASE} ELSE 0 END AS label_length, CASE {_TREND_CASE} END IS NOT NULL AS has_trend FROM s""",
+SELECT p_partkey, CASE {_TREND_CASE} END AS trend FROM s""",
     "calendar_quarters": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN 'Q' || quarter(o_orderdate) ELSE 'Q?' END AS quarter FROM orders",
     "default_reviews": S.with_(S.LISTING) + f"""SELECT symbol, CASE WHEN {_N} % 6 = 0 THEN 'Owned' ELSE 'Watch' END AS status, CASE WHEN {_N} % 3 = 0 THEN account_balance ELSE 0 END AS fair_value,
   CASE WHEN {_N} % 3 = 0 THEN 't' ELSE '' END AS thesis FROM listing""",

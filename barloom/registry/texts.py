@@ -13,7 +13,7 @@ from barloom.sources import trade_ticks as T
 _CONCEPTS = {"total_revenue": "Revenues", "net_income": "NetIncomeLoss", "operating_cash_flow": "NetCashProvidedByUsedInOperatingActivities"}
 
 
-def raw_facts(spark, d):
+def clean_facts(spark, d):
     """Supplier sales as filed facts: yearly 10-K values, quarterly 10-Q values, year-to-date cash flow."""
     lines = T.table(spark, d, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.year("l_shipdate").alias("fy"), F.quarter("l_shipdate").alias("q"),
@@ -62,9 +62,14 @@ def raw_facts(spark, d):
     # Every seventh filer reports under the other taxonomy.
     other = F.create_map(*[F.lit(x) for kv in _IFRS.items() for x in kv])
     ifrs = (F.substring("symbol", 2, 20).cast("int") % 7 == 0) & F.col("concept").isin(*_IFRS)
-    clean = clean.withColumns(
+    return clean.withColumns(
         {"taxonomy": F.when(ifrs, "ifrs-full").otherwise(F.col("taxonomy")), "concept": F.when(ifrs, other[F.col("concept")]).otherwise(F.col("concept"))}
     )
+
+
+def raw_facts(spark, d):
+    """The filed facts together with facts that must change nothing."""
+    clean = clean_facts(spark, d)
     return clean.unionByName(_noise(clean))
 
 
@@ -179,8 +184,8 @@ def filing_profiles(spark, d):
     )
 
 
-def segment_tables(spark, d):
-    """Supplier revenue by return flag written as filing tables, with a total row; some totals are off."""
+def segment_tables(spark, d, off=4, report=1):
+    """Supplier revenue by return flag written as filing tables, with a total row; one total in ``off`` is wrong."""
     key = F.col("l_suppkey")
     parts = T.table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.sum("l_quantity"), 0).alias("v"))
     cell = F.concat(
@@ -189,12 +194,12 @@ def segment_tables(spark, d):
     per = parts.withColumn("cell", cell).groupBy("l_suppkey").agg(
         F.concat_ws("", F.sort_array(F.collect_list("cell"))).alias("rows"), F.sum("v").alias("t")
     )
-    total = F.format_number(F.when(key % 4 == 0, F.col("t") * 2).otherwise(F.col("t")), 0)
+    total = F.format_number(F.when(key % off == 0, F.col("t") * 2).otherwise(F.col("t")), 0)
     page = F.concat(
         F.lit("<table><tr><th>Revenue (Details) - USD ($) $ in Thousands</th></tr><tr><td>Total company</td></tr><tr><td>Net sales</td><td>"), total,
         F.lit("</td></tr>"), "rows", F.lit("</table>"),
     )
-    return per.select(F.concat(F.lit("S"), key.cast("string")).alias("symbol"), F.lit(1).alias("report"), F.lit("Revenue by flag (Details)").alias("title"), page.alias("html"))
+    return per.select(F.concat(F.lit("S"), key.cast("string")).alias("symbol"), F.lit(report).alias("report"), F.lit("Revenue by flag (Details)").alias("title"), page.alias("html"))
 
 
 def reconciled_segments(spark, d):
