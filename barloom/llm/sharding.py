@@ -24,7 +24,6 @@ ROUNDS = 4
 #: Rows of a bucket, about, and the most buckets.
 BUCKET_ROWS = 50_000
 MAX_BUCKETS = 20_000
-_MORE = "CAST(0 AS BIGINT), (a, x) -> a + x"
 
 
 def bucket_count(rows: int) -> int:
@@ -74,16 +73,24 @@ def propagate(groups: DataFrame, capacity: int, shards: int, rounds: int, bucket
         want = want.withColumn("ahead", F.coalesce(F.sum("moving").over(inside), F.lit(0))).join(starts, ["to", "bucket"])
         take = F.expr("greatest(0L, least(moving, rooms[to] - start - ahead))")
         moved = want.withColumn("take", take.cast("long"))
-        gone = (
-            f"transform(held, (n, s) -> IF(s = to, 0L, greatest(0L, least(n, take - aggregate("
-            f"transform(slice(held, 1, s), (m, r) -> IF(r = to, 0L, m)), {_MORE})))))"
+        # One walk over the shards: those before give up members until ``take`` have gone to the wanted one.
+        walk = (
+            "aggregate(sequence(0, size(held) - 1), named_struct('left', take, 'held', CAST(array() AS ARRAY<BIGINT>)), "
+            "(a, s) -> named_struct('left', IF(s = to, a.left, a.left - least(held[s], a.left)), "
+            "'held', array_append(a.held, IF(s = to, held[s] + take, held[s] - least(held[s], a.left)))), a -> a.held)"
         )
-        moved = moved.withColumn("gone", F.expr(gone))
-        groups = moved.select("group", "members", F.expr("transform(held, (n, s) -> n - gone[s] + IF(s = to, take, 0L))").alias("held"))
-        groups = staged(groups, "groups")
+        groups = staged(moved.select("group", "members", F.expr(walk).alias("held")), "groups")
     return groups
 
 
+def running(held: str) -> Column:
+    """Sums of the counts up to each shard, in one walk."""
+    return F.expr(
+        f"aggregate({held}, named_struct('sum', 0L, 'ends', CAST(array() AS ARRAY<BIGINT>)), "
+        "(a, n) -> named_struct('sum', a.sum + n, 'ends', array_append(a.ends, a.sum + n)), a -> a.ends)"
+    )
+
+
 def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of every row; law `rows`: counts of shards are at most one apart.
 
@@ -97,18 +104,21 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
         (F.length(data) + 8).cast("long").alias("size"),
         F.crc32(data).alias("crc"),
         F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("group"),
+        F.monotonically_increasing_id().alias("place"),
     )
     rows = staged(rows, "rows")
     total = rows.count()
     buckets = bucket_count(total)
     start = F.pmod(F.xxhash64("key", "crc", "size", F.lit(1)), F.lit(shards))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "crc", F.lit(2)), F.lit(buckets)))
+    # By the row's place in the table: rows that are equal in everything are spread like others.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("place", F.lit(2)), F.lit(buckets))).drop("place")
     counted = rows.where("group IS NOT NULL").groupBy("group", "size", "crc").agg(
         F.count("*").alias("members"), F.array(*(F.count_if(start == s) for s in range(shards))).alias("held")
     )
     links = counted.where("members > 1").select(F.struct("group", "size", "crc").alias("group"), "members", "held")
     floor, extra = divmod(total, shards)
-    groups = propagate(staged(links, "groups"), floor + (extra > 0), shards, rounds, min(buckets, 64))
+    links = staged(links, "groups")
+    groups = propagate(links, floor + (extra > 0), shards, rounds, bucket_count(links.count()))
     loads = _sums(groups, shards)
     # The fuller shards take the odd rows.
     odd = set(sorted(range(shards), key=lambda s: (-loads[s], s))[:extra])
@@ -118,20 +128,20 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
     linked = rows.withColumn("group", F.struct("group", "size", "crc"))
     salts = linked.groupBy("group", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("group").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    placed = salts.join(groups, "group").select("group", "salt", "held", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ends = groups.select("group", running("held").alias("ends"))
+    placed = salts.join(ends, "group").select("group", "salt", "ends", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     joined = rows.select("key", "size", "crc", "salt", F.struct("group", "size", "crc").alias("group")).join(placed, ["group", "salt"], "left")
     rank = F.row_number().over(Window.partitionBy("group", "salt").orderBy("key")) - 1
-    ends = "transform(held, (n, s) -> aggregate(slice(held, 1, s + 1), " + _MORE + "))"
     member = (
-        joined.where("held IS NOT NULL")
+        joined.where("ends IS NOT NULL")
         .withColumn("rank", rank + F.col("first"))
-        .withColumn("shard", F.expr(f"size(filter({ends}, e -> e <= rank))"))
+        .withColumn("shard", F.expr("size(filter(ends, e -> e <= rank))"))
         .select("key", "size", "crc", "salt", "shard")
     )
     member = staged(numbered(member, ["shard"], "salt", ["key", "crc", "size"], "slot"), "members")
     kept = member.where(F.col("slot") < quotas[F.col("shard")])
     rest = member.where(F.col("slot") >= quotas[F.col("shard")]).select("key", "size", "crc", "salt")
-    single = joined.where("held IS NULL").select("key", "size", "crc", "salt")
+    single = joined.where("ends IS NULL").select("key", "size", "crc", "salt")
     pool = numbered(single.unionByName(rest), [], "salt", ["key", "crc", "size"], "number")
     filled = [min(load, q) for load, q in zip(loads, quota)]
     ends_at, at = [], 0
