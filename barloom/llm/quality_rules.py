@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
-A sample gives each rule's cost (seconds) and selectivity (share of rows it
-rejects). The rules then stand in one CASE by rejection per cost, the base
+A sample gives each rule's cost (seconds) and selectivity (rows it rejects of
+those that reach it). The rules then stand in one CASE by rejection per cost, the base
 checks first: a row stops at the first rule that rejects it. The order changes
 the work, never the verdict. All statistics are built-in functions over one
 row, so a hot source or group of copies needs no shuffle at all.
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import computed_once
+from barloom.llm.staging import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -87,45 +88,63 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("windows", "hits")
 
 
-def measured(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Cost in seconds and share of rejected rows of each rule, on a bounded sample: the first rows that a scan gives."""
-    taken = docs.select(F.col(text).alias("text")).limit(sample_rows).collect()
-    sample = statistics(docs.sparkSession.createDataFrame(taken, "text string")).cache()
-    try:
-        total = sample.count()
+class Figures(NamedTuple):
+    """What a sample says: seconds of each rule, and how many rows each set of rules rejects together."""
 
-        def timed(condition: Column) -> tuple[float, int]:
-            began = time.perf_counter()
-            found = sample.agg(F.count_if(condition)).first()[0]
-            return time.perf_counter() - began, found
+    seconds: dict[str, float]
+    rejected: list[tuple[frozenset[str], int]]
 
-        floor = min(timed(F.lit(True))[0] for _ in range(2))
-        found = {}
-        for rule in rules:
-            runs = [timed(F.expr(rule.rejects)) for _ in range(2)]
-            found[rule.name] = (max(min(s for s, _ in runs) - floor, 1e-4), runs[0][1] / max(total, 1))
-        return found
-    finally:
-        sample.unpersist()
 
+def measured(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> Figures:
+    """Cost and rejections of the rules on about ``sample_rows`` rows, drawn by a hash of their place in the table.
 
-def cascade(figures: dict[str, tuple[float, float]], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """The rules by rejection per cost; equal ones stay in the given order."""
-    return tuple(sorted(rules, key=lambda rule: -figures[rule.name][1] / figures[rule.name][0]))
+    The base checks come first whatever they cost, so the figures are of rows that
+    pass them. The sample is a written table; only counts come to the driver, one
+    for each set of rules that reject a row together.
+    """
+    share = sample_rows / max(docs.count(), 1)
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_000)) < F.lit(int(1_000_000 * share) + 1)
+    sample = staged(docs.select(F.col(text).alias("text"), drawn.alias("drawn")).where("drawn").select("text"), "rules-sample")
+    # Written before the filter, which would otherwise be pushed into every step of the statistics.
+    reached = staged(statistics(sample).drop("doc"), "rules-statistics").where(~F.expr(BASE_FAILED))
+
+    def seconds(condition: Column) -> float:
+        began = time.perf_counter()
+        reached.agg(F.count_if(condition)).first()
+        return time.perf_counter() - began
+
+    floor = min(seconds(F.lit(True)) for _ in range(2))
+    cost = {rule.name: max(min(seconds(F.expr(rule.rejects)) for _ in range(2)) - floor, 1e-4) for rule in rules}
+    names = F.array_compact(F.array(*(F.when(F.expr(rule.rejects), rule.name) for rule in rules)))
+    counts = reached.groupBy(names.alias("names")).agg(F.count("*").alias("n")).collect()
+    return Figures(cost, [(frozenset(r["names"]), r["n"]) for r in counts])
+
+
+def cascade(figures: Figures, rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
+    """The rules by rejection per cost, each counted on the rows that the ones before it let through; equal ones stay in the given order."""
+    order, left, open_rules = [], figures.rejected, list(rules)
+    while open_rules:
+        worth = {r.name: sum(n for names, n in left if r.name in names) / figures.seconds[r.name] for r in open_rules}
+        best = max(open_rules, key=lambda r: (worth[r.name], -rules.index(r)))
+        order.append(best)
+        open_rules.remove(best)
+        left = [(names, n) for names, n in left if best.name not in names]
+    return tuple(order)
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc``, the base statistics, ``base_failed``, ``kept`` and ``failed_rule`` (null if kept)."""
+    """``doc``, the base statistics, ``base_failed`` and ``kept``.
+
+    Which rule of several rejects a row first depends on the measured order, which
+    may differ between runs, so it is not told; whether a row is kept does not.
+    """
     stats = statistics(docs, text)
-    verdict = F.when(F.expr(BASE_FAILED), F.lit("base"))
+    kept = F.when(F.expr(BASE_FAILED), F.lit(False))
     for rule in cascade(measured(docs, text, rules, sample_rows), rules):
-        verdict = verdict.when(F.expr(rule.rejects), F.lit(rule.name))
+        kept = kept.when(F.expr(rule.rejects), F.lit(False))
     # Through a one-row generator: a filter on the verdict must not be pushed below the statistics,
     # where every use would compute them anew.
     return computed_once(
         stats.select("doc", "body", "words", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"),
-        {"base_failed": F.expr(BASE_FAILED), "failed_rule": verdict},
-    ).select(
-        *("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule"),
-        F.col("failed_rule").isNull().alias("kept"),
-    )
+        {"base_failed": F.expr(BASE_FAILED), "kept": kept.otherwise(F.lit(True))},
+    ).select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
