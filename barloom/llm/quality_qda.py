@@ -149,7 +149,8 @@ def posterior(model: Model, matrix: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on at most ``max_labelled`` rows of ``labels``, those with the smallest hash of their key.
 
-    Null keys and labels other than 0 and 1 are not labels. The sample does not
+    Null keys and labels other than 0 and 1 are not labels. Of documents that repeat
+    a labelled key the smallest text counts, once. The sample does not
     depend on order or partitions; it is small by its bound, so it is sent to the
     texts, and only the statistics of its texts reach the driver.
     """
@@ -157,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = known.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label"))
     sample = sample.orderBy(F.xxhash64("_key"), "_key", "_label").limit(max_labelled)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
+    texts = texts.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
     rows = raw_statistics(texts, "_text").select("raw.*", F.col("doc._label").alias("_label")).toPandas()
     return fit(transformed(rows), rows["_label"].to_numpy())
 

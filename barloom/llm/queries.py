@@ -18,17 +18,22 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(column: str, divisor: int) -> Column:
-    """What fixes the folds: crc32 of the id as text, modulo ``divisor``."""
+    """What fixes the folds: crc32 of the id as text, modulo ``divisor``. A row without an id is in no fold."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def held_out(column: str, divisor: int, fold: int) -> Column:
+    """Whether a row is held out. Rows without an id are not; they have no label, and a language model learns from their texts."""
+    return F.coalesce(remainder(column, divisor) == fold, F.lit(False))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    learns = remainder("doc_id", 5) != 0
+    learns = ~held_out("doc_id", 5, 0)
     scored = toxicity.scored(docs, toxicity.train(docs.where(learns), labels.where(learns)))
     return scored.select(
         F.col("doc.doc_id").alias("doc_id"),
-        (remainder("doc.doc_id", 5) == 0).alias("held_out"),
+        held_out("doc.doc_id", 5, 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "n_restored",
@@ -37,7 +42,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    learns = F.coalesce(remainder("doc_id", 5) != 1, F.lit(True))
+    learns = ~held_out("doc_id", 5, 1)
     model = pitman_yor.train(docs, learns)
     return pitman_yor.scored(docs, model, learns).select(
         "doc_id",
@@ -101,11 +106,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality_qda.train(docs, labels.where(remainder("doc_id", 4) != 2))
+    model = quality_qda.train(docs, labels.where(~held_out("doc_id", 4, 2)))
     scored = quality_qda.scored(docs.select("doc_id", "text"), model)
     return scored.select(
         F.col("doc.doc_id").alias("doc_id"),
-        (remainder("doc.doc_id", 4) == 2).alias("held_out"),
+        held_out("doc.doc_id", 4, 2).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )

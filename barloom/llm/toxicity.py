@@ -331,14 +331,16 @@ def places(model: Model) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Trigrams of ``docs``, and a fit on at most ``max_labelled`` rows of ``labels`` (those with the smallest hash of their key).
 
-    Null keys and labels other than 0 and 1 are not labels. Without labels every
-    score is one half or less.
+    Null keys and labels other than 0 and 1 are not labels. Of documents that repeat
+    a labelled key the smallest text is learned from, once, so the fit's rows are
+    bounded too. Without labels every score is one half or less.
     """
     log_p = language_model(trigram_counts(docs, text))
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     sample = known.select(F.col(key).alias("_key"), F.col(label).cast("long").alias("_label"))
     sample = sample.orderBy(F.xxhash64("_key"), "_key", "_label").limit(max_labelled)
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key").select("_label", "_text")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
+    texts = texts.groupBy("_key", "_label").agg(F.min("_text").alias("_text")).select("_label", "_text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(log_p)
