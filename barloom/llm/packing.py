@@ -8,8 +8,13 @@ document and a larger one inside a sentence, and a price per sequence.
     best(j) = cut(j) + price + min over i, position(j) - position(i) <= window, of best(i) + padding(j - i)
 
 Padding is window - length, so the minimum runs over best(i) + position(i).
-Positions are taken a window at a time: running minima give what stands before
-the window and what is in it, and the latter is repeated until nothing changes.
+That is the minimum of a sliding window, which a monotone queue keeps as its
+falling candidates. The queue is run for a window of positions at once: its state
+before the window is a running minimum from the right, what the window adds is one
+from the left, and the latter is repeated until nothing changes. That takes a few
+rounds: of two positions in one window the direct step pays the window in padding at
+most, and every step in between its price, so a best path has at most
+1 + window / price steps there (``most_rounds``), however long the stream is.
 Lengths that are a power of two take no padding; they are looked up one by one.
 
 Work is per partition of the scan, with no shuffle: order is that of the table's
@@ -122,6 +127,11 @@ def cut_points(sentence_ends: np.ndarray, document_ends: np.ndarray, total: int,
     return np.arange(total + 1), penalty
 
 
+def most_rounds(window: int) -> int:
+    """Bound of the rounds within a window of positions: steps of a best path, one that enters it, one that changes nothing."""
+    return 3 + int(window / PRICE)
+
+
 def best_cuts(positions: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
     """The cut positions, first 0 and last the end, of least total cost."""
     total = int(positions[-1])
@@ -137,7 +147,7 @@ def best_cuts(positions: np.ndarray, penalty: np.ndarray, window: int = WINDOW)
         s, e = begin + window, end + window
         here, own = np.arange(begin, end), price[begin:end]
         least = np.minimum.accumulate(ahead[s - window : s][::-1])[::-1][: e - s]
-        while True:
+        for _ in range(most_rounds(window)):
             inner = np.minimum.accumulate(ahead[s:e])[:-1]
             reached = least.copy()
             np.minimum(reached[1:], inner, out=reached[1:])
@@ -149,6 +159,8 @@ def best_cuts(positions: np.ndarray, penalty: np.ndarray, window: int = WINDOW)
                 break
             best[s:e] = reached
             ahead[s:e] = reached + here
+        else:
+            raise AssertionError("a best path has more steps than its price allows")
     cuts, j = [total], total
     while j:
         at = j + window
