@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from barloom.llm.staging import staged
 
-SLOTS = 2048
-SIZES = (3, 4, 5)
-STEPS = 25
+SLOTS = 8192
+SIZES = (3, 4)
+STEPS = 30
 RATE = 0.5
-DECAY = 1e-3
+DECAY = 1e-2
 #: Bound of the labelled table, for each label.
 MAX_PER_LABEL = 1500
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,26 +36,40 @@ class Rule(NamedTuple):
         return self.host + self.path
 
 
-#: The small labelled table that the queries learn from: words of hosts to block and of hosts to allow,
-#: each in a few everyday forms of host and path.
+#: The small labelled table that the queries learn from. Words of hosts to block and of hosts to allow, and the
+#: paths that each kind has, besides paths that both have. None of the words is a host of the check data.
 BLOCK_WORDS = (
-    "casino casino-win poker-room slots-online free-bets bet-now sports-bets cheap-pills pills-online viagra-shop pharma-cheap "
-    "adult-x adult-video xxx-tube porn-hub sex-cams spam-farm link-farm seo-spam ads-track ad-track track-click click-ads "
-    "popup-ads fast-loans payday-loans win-prize crypto-win replica-watches free-download-crack warez-keygen phishing-login"
+    "casinos casinogames megacasino winbig bigwin gambling gamblers jackpots pokerroom roulette blackjack bingo lottery lotto slotmachine betting bettors wagers bookies sportsbook "
+    "pharmacy pharmacies viagra cialis pillstore pillshop discountmeds steroids weightloss adults adultchat porno pornos erotica sexcams camgirls escorts "
+    "hookups spammer spammers spamming linkfarms linkspam seoboost backlinks adserver adservers adverts adclicks bannerads popunders popups tracker trackers "
+    "clicktracker retargeting clickbait paydayloan fastcash replicas cracked warez keygens torrents phishing freebies freestuff giveaways prizes winners "
+    "luckydraw bonuses cheapest cheapmeds discounted cryptopump"
 ).split()
 ALLOW_WORDS = (
-    "library museum university college school hospital weather news daily times journal science nature history garden "
-    "kitchen recipes travel maps city council river mountain music theatre football gazette archive docs wiki forum "
-    "books reader letters teacher student north south stone water thought anthem thistle thorn tenth tithe other rather "
-    "herald harvest hearth station nation motion action region onion union edition notion lotion tension inside outside"
+    "library museum university college school hospital weather newspaper daily times journal science nature history garden kitchen recipes travel maps "
+    "council river mountain music theatre football gazette archive manual wiki forum books reader letters teacher student observatory astronomy chemistry "
+    "biology geology physics mathematics linguistics philosophy orchestra gallery heritage village parish harbour station railway aviation sailing cycling "
+    "climbing gardening carpentry pottery knitting painting sculpture poetry novels biography dictionary encyclopedia atlas almanac statistics census "
+    "parliament ministry embassy court police firebrigade ambulance charity foundation institute academy laboratory workshop bakery brewery farmers "
+    "forestry fisheries meteorology volcano glacier wetland bird insects orchids zeitung bibliothek museo escuela jardin musique"
 ).split()
-FORMS = (("{}.example.com", "/en/12345"), ("www.{}.example.net", "/de/4410.html"), ("m.{}.example.org", "/fr/980/"), ("blog.{}.example.com", "/es/23011"))
+HOSTS = ("{}.example.com", "www.{}.example.net", "m.{}.example.org", "blog.{}.example.com", "{}.example.net", "www.my-{}.example.org")
+BLOCK_PATHS = ("/click/{}", "/go/{}.php", "/bonus/{}", "/offer-{}.html", "/promo/{}/", "/landing/{}")
+ALLOW_PATHS = ("/article/{}", "/wiki/{}", "/docs/{}.html", "/news/{}/", "/archive/{}", "/topics/{}.html")
+BOTH_PATHS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/", "/index.html")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``host, path, label`` (1.0: allow) of ``BLOCK_WORDS`` and ``ALLOW_WORDS`` in every form."""
-    rows = [(host.format(w), path, label) for label, words in ((0.0, BLOCK_WORDS), (1.0, ALLOW_WORDS)) for w in words for host, path in FORMS]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', {y}D)" for h, p, y in rows) + " AS t(host, path, label)")
+    """``word, host, path, label`` (1.0: allow): each word with every host form, on two paths of its kind or of both."""
+    rows = []
+    for label, words, own in ((0.0, BLOCK_WORDS, BLOCK_PATHS), (1.0, ALLOW_WORDS, ALLOW_PATHS)):
+        for k, word in enumerate(words):
+            for f, form in enumerate(HOSTS):
+                number = 1000 + 7919 * (k * len(HOSTS) + f) % 9000
+                rows.append((word, form.format(word), BOTH_PATHS[(k + f) % len(BOTH_PATHS)].format(number), label))
+                if f % 2 == k % 2:
+                    rows.append((word, form.format(word), own[(k + f) % len(own)].format(number), label))
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', '{h}', '{p}', {y}D)" for w, h, p, y in rows) + " AS t(word, host, path, label)")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -90,8 +104,9 @@ def grams(host: str = "host", path: str = "path", slots: int = SLOTS) -> Column:
 
 
 def logit(weights: list[float], bias: float, slots: str) -> Column:
-    values = ", ".join(f"{w:.12e}D" for w in weights)
-    return F.expr(f"aggregate({slots}, CAST({bias:.12e}D AS DOUBLE), (a, s) -> a + array({values})[s])")
+    # A cast of one text is folded to one literal; thousands of literals would be planned each.
+    values = "CAST(split('" + ",".join(f"{w:.12e}" for w in weights) + "', ',') AS ARRAY<DOUBLE>)"
+    return F.expr(f"aggregate({slots}, CAST({bias:.12e}D AS DOUBLE), (a, s) -> a + {values}[s])")
 
 
 class Model(NamedTuple):
