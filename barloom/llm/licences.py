@@ -1,7 +1,9 @@
 """Licences of files: TF-IDF cosine of headers to templates, then inheritance from the nearest directory.
 
-A header is a stretch of text, up to the next line, tag or full stop, that speaks
-of a licence. Of a licence file (by name) the whole text counts as well. The
+A header is a paragraph that speaks of a licence - the lines of a comment block or a
+tag joined - or a sentence of it, or the paragraph with the conditions that follow. Of
+a licence file (by name) the whole text counts as well. Templates are short forms,
+titles, standard notices and the texts of short licences. The
 weights of words come from all headers of the table: how many of them hold each
 word of the templates. That statistic has one number per template word, so it
 travels as a literal, and each file is compared where it is read.
@@ -21,24 +23,99 @@ from pyspark.sql import functions as F
 
 from barloom.llm.staging import staged
 
-#: Short forms under which licences are stated; several of one name are alternatives.
+#: The words of licences. Short forms, titles and notices; several of one name are alternatives.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
     ("MIT", "Licensed under the MIT License"),
     ("MIT", "Released under the MIT License"),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    ("ISC", "Licensed under the ISC License"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    ),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, Version 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
@@ -46,13 +123,16 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC0-1.0", "Licensed under CC0 1.0 Universal, dedicated to the public domain"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "Copyright. All rights reserved"),
 )
-SPEAKS = r"(?i)(licen[sc]e|spdx|copyright|all rights reserved|governed by|hereby granted|public domain|creative commons)"
+SPEAKS = r"(?i)(licen[sc]e|spdx|copyright|all rights reserved|governed by|hereby granted|public domain|creative commons|redistribution and use)"
+#: Paragraphs that are compared as one where a licence begins: conditions and disclaimer follow its first words.
+TOGETHER = 6
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]es?|copying|notice|copyright)([.\-_][^/]*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)?"
-#: Least cosine for a header to state a licence.
-LEAST = 0.6
+#: Least cosine for a header to state a licence, and what a named version is worth among near ties.
+LEAST, VERSION_LEAD = 0.6, 0.03
 #: Directories of the inheritance table that may be broadcast (about 100 bytes each).
 MAX_BROADCAST = 500_000
 
@@ -61,13 +141,37 @@ def terms_of(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
 
+def paragraphs(text: Column) -> Column:
+    """The text without tags and comment signs, cut at empty lines; the lines of a paragraph are one."""
+    body = F.coalesce(text, F.lit(""))
+    flat = F.regexp_replace(body, r"(?i)</?(a|b|i|u|em|strong|span|code|tt|small|font|abbr)(\s[^<>]*)?>", " ")
+    flat = F.regexp_replace(F.regexp_replace(flat, r"<[^<>]*>", "\n\n"), r"\r", "")
+    flat = F.regexp_replace(flat, r"(?m)^[ \t]*(/\*+|\*+/?|//+|#+|;+|--+|%+|dnl\b|rem\b)", "")
+    return F.split(flat, r"\n[ \t]*\n\s*")
+
+
 def headers(text: Column, path: Column) -> Column:
-    """The stretches that speak of a licence, and the whole text of a licence file, as lists of terms."""
+    """What may state a licence, as lists of terms.
+
+    Those are the paragraphs that speak of one and their sentences, each such
+    paragraph with the next ones, and the whole text of a licence file.
+    """
     body = F.coalesce(text, F.lit(""))
-    stretches = F.filter(F.split(body, r"[\n<>]|\.(?![0-9])"), lambda x: F.rlike(x, F.lit(SPEAKS)))
-    found = F.when(F.rlike(body, F.lit(SPEAKS)), stretches).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.rlike(F.coalesce(path, F.lit("")), F.lit(LICENCE_FILE)), F.array(body)).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.concat(found, whole), lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({TERM})"), F.lit(1)))
+    none = F.array().cast("array<string>")
+    speaks = lambda x: F.rlike(x, F.lit(SPEAKS))
+
+    def found(parts: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: speaks(parts[k - 1]))
+        together = F.transform(at, lambda k: F.array_join(F.slice(parts, k, F.lit(TOGETHER)), " "))
+        alone = F.filter(parts, speaks)
+        sentences = F.filter(F.flatten(F.transform(alone, lambda p: F.split(p, r"\.(?![0-9])|\n"))), speaks)
+        return F.concat(alone, sentences, together)
+
+    # The paragraphs are made once and named by a one-element transform.
+    of_text = F.when(speaks(body), F.flatten(F.transform(F.array(paragraphs(text)), found))).otherwise(none)
+    whole = F.when(F.rlike(F.coalesce(path, F.lit("")), F.lit(LICENCE_FILE)), F.array(body)).otherwise(none)
+    terms = F.transform(F.concat(of_text, whole), lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({TERM})"), F.lit(1)))
+    return F.array_distinct(F.filter(terms, lambda t: F.size(t) > 0))
 
 
 def header_counts(with_headers: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
@@ -79,34 +183,61 @@ def header_counts(with_headers: DataFrame, vocabulary: list[str]) -> tuple[int,
     return counts.pop("", 0), counts
 
 
-def _quoted(words: list[str]) -> str:
-    return "array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"
+def counted_terms(terms: str) -> str:
+    """SQL: structs (t, n) of the distinct terms of an array and how often each stands there, by one sort."""
+    starts = "filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[greatest(i - 1, 0)])"
+    runs = "transform(b, (at, k) -> struct(s[at] AS t, IF(k + 1 < size(b), b[least(k + 1, size(b) - 1)], size(s)) - at AS n))"
+    return f"transform(array(array_sort({terms})), s -> transform(array({starts}), b -> {runs})[0])[0]"
+
+
+def _numbers(values: list[float]) -> str:
+    """SQL of an array that is folded to one literal."""
+    return "CAST(split('" + ",".join(f"{v:.12e}" for v in values) + "', ',') AS ARRAY<DOUBLE>)"
+
+
+def versions_of(name: str) -> list[str]:
+    """The terms under which a licence's version is written."""
+    found = re.search(r"-(\d+)\.(\d+)$", name)
+    return [] if not found else [f"{found[1]}.{found[2]}"] + ([found[1]] if found[2] == "0" else [])
 
 
 def best_template(templates: tuple[tuple[str, str], ...], total: int, counts: dict[str, int]) -> Column:
-    """Struct of ``score`` and ``licence`` of the best template for the column ``headers``; null without headers."""
+    """Struct of ``score`` and ``licence`` of the best template for the column ``headers``; null without headers.
+
+    Templates that differ in their version only are nearly alike, so a version that
+    the header names adds ``VERSION_LEAD`` to the order (not to the score). What still
+    ties goes to the name that comes last by text.
+    """
     texts = [terms_of(t) for _, t in templates]
-    vocabulary = sorted({w for t in texts for w in t})
+    vocabulary = sorted({w for t in texts for w in t} | {v for name, _ in templates for v in versions_of(name)})
+    place = {w: k for k, w in enumerate(vocabulary)}
     size = total + len(templates)
     idf = {w: math.log((1 + size) / (1 + counts.get(w, 0) + sum(w in t for t in texts))) + 1 for w in vocabulary}
     rare = math.log(1 + size) + 1
-    weights = f"map_from_arrays({_quoted(vocabulary)}, array({', '.join(f'{idf[w]:.12e}D' for w in vocabulary)}))"
-    dots = []
-    for (name, _), words in zip(templates, texts):
-        vector = {w: (1 + math.log(words.count(w))) * idf[w] for w in sorted(set(words))}
+    # One row of weights for each term, a column for each template.
+    matrix = [0.0] * (len(vocabulary) * len(templates))
+    for k, words in enumerate(texts):
+        vector = {w: (1 + math.log(words.count(w))) * idf[w] for w in set(words)}
         norm = math.sqrt(sum(v * v for v in vector.values()))
-        held = f"map_from_arrays({_quoted(list(vector))}, array({', '.join(f'{v / norm:.12e}D' for v in vector.values())}))"
-        dots.append(f"struct(aggregate(v, 0D, (a, x) -> a + x.w * coalesce(try_element_at({held}, x.t), 0D)) AS dot, '{name}' AS licence)")
-    vector = (
-        "transform(array_distinct(h), t -> struct(t AS t, (1 + ln(size(filter(h, y -> y = t)))) *"
-        f" coalesce(try_element_at({weights}, t), {rare:.12e}D) AS w))"
-    )
-    scored = (
-        f"transform(transform(headers, h -> {vector}), v -> struct(array_max(array({', '.join(dots)})) AS top,"
-        " sqrt(aggregate(v, 0D, (a, x) -> a + x.w * x.w)) AS norm))"
+        for w, v in vector.items():
+            matrix[place[w] * len(templates) + k] = v / norm
+    terms = "split('" + ",".join(vocabulary) + "', ',')"
+    weighed = (
+        f"transform({counted_terms('h')}, x -> struct(CAST(array_position({terms}, x.t) AS INT) AS p, 1 + ln(x.n) AS f))"
     )
-    best = f"array_max(transform({scored}, x -> struct(IF(x.norm > 0, x.top.dot / x.norm, 0D) AS score, x.top.licence AS licence)))"
-    return F.expr(f"CASE WHEN size(headers) > 0 THEN {best} END")
+    vector = f"transform({weighed}, x -> struct(x.p AS p, x.f * IF(x.p > 0, {_numbers(list(idf.values()))}[greatest(x.p - 1, 0)], {rare:.12e}D) AS w))"
+    zero = f"array_repeat(0D, {len(templates)})"
+    row = f"slice({_numbers(matrix)}, (x.p - 1) * {len(templates)} + 1, {len(templates)})"
+    dots = f"aggregate(filter(v, x -> x.p > 0), {zero}, (a, x) -> zip_with(a, {row}, (d, m) -> d + m * x.w))"
+    norm = "sqrt(aggregate(v, 0D, (a, x) -> a + x.w * x.w))"
+    names = "split('" + ",".join(name for name, _ in templates) + "', ',')"
+    version = "split('" + ",".join("|".join(str(place[v] + 1) for v in versions_of(name)) or "0" for name, _ in templates) + "', ',')"
+    lead = f"IF(exists(v, x -> x.p > 0 AND array_contains(split({version}[k], '[|]'), CAST(x.p AS STRING))), {VERSION_LEAD}D, 0D)"
+    each = f"transform({dots}, (d, k) -> struct(d / n + {lead} AS ahead, d / n AS score, {names}[k] AS licence))"
+    of_header = f"transform(array({vector}), v -> transform(array({norm}), n -> array_max({each}))[0])[0]"
+    best = f"array_max(transform(headers, h -> {of_header}))"
+    found = F.expr(f"CASE WHEN size(headers) > 0 THEN {best} END")
+    return F.when(found.isNotNull(), F.struct(found["score"].alias("score"), found["licence"].alias("licence")))
 
 
 def folder_of(path: Column) -> Column:
