@@ -1,8 +1,9 @@
 """Tables written between steps, in the shared folder that the cluster names.
 
 A written table cuts the lineage and outlives lost executors. The folder is
-``spark.checkpoint.dir``; only where that is unset, as in tests, an own
-temporary folder is used.
+``spark.checkpoint.dir``. Only a local master without one, as in tests, gets an own
+temporary folder; on a cluster a missing folder is an error. Written tables stay
+until the owner of the folder clears it, since results are read from them lazily.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="barloom-llm-"))
     return _own_folder[0]
