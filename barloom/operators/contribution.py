@@ -141,15 +141,16 @@ def rank_leaders(plans: DataFrame, min_return: float = 15.0) -> DataFrame:
     return global_rank(kept, [F.col("annualized_return_pct").desc(), F.col("ending_value").desc(), F.col("symbol").asc()])
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Row numbers over the whole table without one global window partition.
 
     Rows are range-partitioned by the order, numbered inside their partition and
     shifted by the size of the partitions before it. Range bounds are drawn from a
     sample each time an exchange runs, so the dealt rows are written once, with
     their partition's number, and both the counts and the rows read that.
+    ``partitions`` defaults to the session's shuffle partitions.
     """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(df.repartitionByRange(count, *order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: a table of fixed size.

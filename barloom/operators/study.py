@@ -168,9 +168,9 @@ def evidence(edges: DataFrame, timeframe: str) -> DataFrame:
     ``edges`` is the by-pattern output of :func:`edges_of`. Every pattern is
     judged at the study's longest horizon.
     """
-    by_pattern = edges.filter("pattern is not null")
-    longest = by_pattern.agg(F.max("horizon").alias("horizon"))
-    rows = by_pattern.join(F.broadcast(longest), "horizon")
+    # A row for each pattern and horizon: few enough for one window, and the study is planned once.
+    longest = F.max("horizon").over(Window.partitionBy(F.lit(True)))
+    rows = edges.filter("pattern is not null").withColumn("_longest", longest).filter(F.col("horizon") == F.col("_longest"))
     edge, hit = (F.coalesce(c, F.lit(0.0)) for c in (F.col("return_edge_pp"), F.col("hit_rate_edge_pp")))
     few = F.col("samples") < MINIMUM_SIGNALS
     wins = (edge >= MINIMUM_EDGE_PP) & (hit > 0)

@@ -12,12 +12,14 @@ from barloom.operators import scoring as X
 from barloom.operators import statements as ST
 from barloom.operators import universe as U
 from barloom.plans import leaders as L
+from barloom.plans import scan as SC
 from barloom.registry import profiles as RPR
 from barloom.registry import scan as RS
 from barloom.registry import sql as S
 from barloom.registry import texts as RT
 from barloom.sources import landed_json as LJ
 from barloom.sources import trade_ticks as T
+from barloom.sources.sinks import publish_version, read_current
 
 AS_OF = S.AS_OF
 
@@ -44,6 +46,20 @@ def _wide_scan(spark, d, **limits):
     return RS._scan(spark, d, detail=True, patterns=(*P.STUDY_PATTERNS, own), **limits)
 
 
+def _published_wide(spark, d):
+    folder = RS._once(spark, d, "wide-scan", lambda folder: publish_version(_wide_scan(spark, d), folder, AS_OF))
+    return read_current(spark, folder)
+
+
+def wide_overview(spark, d):
+    """The overview over all results of the wide scan."""
+    return SC.scan_overview(_published_wide(spark, d)).withColumn("best_score", F.round("best_score", 5))
+
+
+def wide_verification_counts(spark, d):
+    return SC.verification_counts(_published_wide(spark, d))
+
+
 def scan_thresholds(spark, d):
     out = _wide_scan(spark, d, min_score=LEAST_SCORE, min_liquidity=LEAST_LIQUIDITY)
     return out.select(
@@ -54,7 +70,7 @@ def scan_thresholds(spark, d):
 
 def scan_texts(spark, d):
     """Every text of a scan in full: warnings, and the insights' labels, summaries and bullets."""
-    out = _wide_scan(spark, d)
+    out = _published_wide(spark, d)
     told = lambda k: F.concat_ws(" / ", F.col("insights")[k]["label"], F.col("insights")[k]["summary"], F.array_join(F.col("insights")[k]["bullets"], "; "))
     names = ("technical", "financial", "business", "valuation", "report")
     return out.select("symbol", F.array_join("warnings", "; ").alias("warnings"), *[told(k).alias(n) for k, n in enumerate(names)])
@@ -187,7 +203,7 @@ def filing_profiles_segments(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_thresholds, scan_texts, facts_voted, landed_taxonomies, reported_per_share, leaders_without_breaks, report_choice, segment_shares_varied,
+        scan_thresholds, scan_texts, wide_overview, wide_verification_counts, facts_voted, landed_taxonomies, reported_per_share, leaders_without_breaks, report_choice, segment_shares_varied,
         index_file_dates, topic_windows, filing_profiles_segments,
     )
 }
@@ -271,6 +287,12 @@ SQL = {
   {_label('val', 72, 'Attractive', 55, 'Fair', 'Expensive')} || ' / price against value / ' || {_joined(*_PRICE)} AS valuation,
   grade || ' / ' || sd.symbol || ': ' || decision || ' / technical ' || {n('tech', 1)} || ', financial ' || {n('fin', 1)} || '; business ' || {n(_BIZ, 1)} || ', valuation ' || {n('val', 1)} AS report
 FROM sd JOIN told ON told.symbol = sd.symbol JOIN rev ON rev.symbol = sd.symbol JOIN (SELECT symbol, price_as_of FROM tm) t ON t.symbol = sd.symbol""",
+    "wide_overview": _WIDE
+    + """, bm AS (SELECT market, count(*) AS n, max(final) AS best FROM sd GROUP BY 1)
+SELECT (SELECT count(*) FROM sd) AS results, round((SELECT max(final) FROM sd), 5) AS best_score, (SELECT count(*) FROM sd WHERE grade IN ('A', 'A+')) AS top_grades,
+  (SELECT market FROM bm ORDER BY n DESC, best DESC, market LIMIT 1) AS busiest_market""",
+    "wide_verification_counts": _WIDE
+    + f"""SELECT l.level, count(sd.symbol) AS results FROM (VALUES {", ".join(f"('{k}')" for k in X.LEVELS)}) AS l(level) LEFT JOIN sd ON sd.level = l.level GROUP BY 1""",
     "facts_voted": """WITH l AS (SELECT l_suppkey AS k, year(l_shipdate) AS fy, quarter(l_shipdate) AS q, l_extendedprice AS p, l_tax FROM lineitem WHERE NOT (l_suppkey % 4 = 2 AND year(l_shipdate) > 1997)),
 y AS (SELECT DISTINCT k, fy FROM l),
 votes AS (
