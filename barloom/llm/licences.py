@@ -78,6 +78,7 @@ TEMPLATES = (
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
     ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2"),
     ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
     (
@@ -86,6 +87,7 @@ TEMPLATES = (
         "Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     (

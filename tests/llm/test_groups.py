@@ -433,6 +433,27 @@ def test_seating_of_few_customers_has_the_right_mean():
     assert ((many >= 1) & (many <= 100_000)).all()
 
 
+def tables_by_dynamic_programming(customers, new_table, discount):
+    """The exact distribution of tables: customers sit down one after another."""
+    p = np.zeros(customers + 1)
+    p[1] = 1.0
+    t = np.arange(customers + 1)
+    for n in range(1, customers):
+        opens = new_table / (new_table + n - discount * np.minimum(t, n))
+        p, moved = p * (1 - opens), p * opens
+        p[1:] += moved[:-1]
+    return (p * t).sum(), math.sqrt((p * t**2).sum() - (p * t).sum() ** 2)
+
+
+@pytest.mark.parametrize("customers, new_table, discount", [(3, 0.5, 0.3), (20, 2.0, 0.7), (150, 30.0, 0.5), (255, 0.01, 0.9), (1500, 5.0, 0.6), (6000, 100.0, 0.4)])
+def test_seating_matches_the_exact_distribution(customers, new_table, discount):
+    """One by one up to 256 customers; the steps beyond stay within one part in fifty of the exact mean."""
+    mean, spread = tables_by_dynamic_programming(customers, new_table, discount)
+    drawn = pitman_yor.seated(np.full(4000, customers), np.full(4000, new_table), discount, np.random.default_rng(7))
+    assert drawn.mean() == pytest.approx(mean, abs=5 * spread / math.sqrt(4000) + (0.02 * mean if customers > pitman_yor.ONE_BY_ONE else 0))
+    assert drawn.std() == pytest.approx(spread, rel=0.1 if customers <= pitman_yor.ONE_BY_ONE else 0.3)
+
+
 def test_language_model_of_nothing(spark):
     docs = cases.empty(spark)
     assert pitman_yor.scored(docs, pitman_yor.train(docs, F.lit(True)), F.lit(True)).count() == 0
