@@ -91,6 +91,12 @@ def ema_phase(spark, d):
     )
 
 
+def ema_blocks(spark, d):
+    """Short spans: a history takes several blocks of running sums."""
+    bars = I.with_ema(smooth(spark, d), [3, 5])
+    return bars.select("symbol", "date", *[F.round(f"ema{n}", 6).alias(f"ema{n}") for n in (3, 5)])
+
+
 QUERIES = {
     "ohlcv_daily": ohlcv_daily,
     "ohlcv_smooth": ohlcv_smooth,
@@ -101,6 +107,7 @@ QUERIES = {
     "pivots": pivots,
     "max_drawdown": drawdown,
     "ema_phase": ema_phase,
+    "ema_blocks": ema_blocks,
 }
 
 _OUT = "symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume"
@@ -154,6 +161,8 @@ q AS (SELECT symbol, date, lo AND rn > 5 AND rn <= n - 5 AS is_low, hi AND rn >
 x AS (SELECT symbol, close / max(close) OVER ({_W} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM smooth_bars)""",
     )
     + "SELECT symbol, round(-min(dd) * 100, 6) AS max_drawdown_pct FROM x GROUP BY symbol",
+    "ema_blocks": S.with_(S.SMOOTH, S.numbered("smooth_bars", "nb"), S.ema("nb", "e", (3, 5)), recursive=True)
+    + "SELECT b.symbol, b.date, round(ema3, 6) AS ema3, round(ema5, 6) AS ema5 FROM e JOIN nb b ON b.symbol = e.symbol AND b.rn = e.rn",
     "ema_phase": S.with_(
         S.SMOOTH, S.numbered("smooth_bars", "nb"), S.ema("nb", "e"), recursive=True
     )
