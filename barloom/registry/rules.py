@@ -15,6 +15,7 @@ from barloom.plans import leaders as L
 from barloom.plans import scan as SC
 from barloom.registry import profiles as RPR
 from barloom.registry import scan as RS
+from barloom.registry import sources as RSO
 from barloom.registry import sql as S
 from barloom.registry import texts as RT
 from barloom.sources import landed_json as LJ
@@ -200,11 +201,39 @@ def filing_profiles_segments(spark, d):
     return out.select("symbol", F.col("found.revenue_segments").alias("has_segments"), F.col("revenue_segments.total").alias("total"), F.size("revenue_segments.segments").alias("parts"))
 
 
+def exchange_symbols_markets(spark, d):
+    """Charting-site symbols of listings in every market; Hong Kong codes with and without leading zeros."""
+    rows, n = T.listing(spark, d), _number()
+    code = (
+        F.when(F.col("market") == "HK", F.concat(F.lpad(n.cast("string"), F.when(n % 2 == 0, 4).otherwise(5), F.lit("0")), F.lit(".HK")))
+        .when(F.col("market") == "TH", F.concat("symbol", F.lit(".BK")))
+        .when(F.col("market") == "CN", F.concat(F.lpad(n.cast("string"), 6, "6"), F.when(n % 3 == 0, ".SS").when(n % 3 == 1, ".SZ").otherwise("")))
+        .otherwise(F.col("symbol"))
+    )
+    return rows.select(code.alias("code"), "market", U.exchange_symbol(code, F.lower("market")).alias("shown"))
+
+
+def chosen_filing_profiles(spark, d):
+    """Profiles of the chosen filings with their segments; the page of one company in four has not landed, other pages have."""
+    chosen = RSO.chosen_filings(spark, d)
+    line = F.trim(F.repeat(F.concat("entity_name", F.lit(" sells parts to many buyers. ")), 6))
+    html = F.concat(F.lit("<p>Item 1. Business</p><p>"), line, F.lit("</p><p>Competition</p><p>There are many rivals.</p><p>Item 1A. Risk Factors</p><p>x</p>"))
+    pages = chosen.where(_number() % 4 != 1).select("url", html.alias("html"))
+    pages = pages.unionByName(chosen.select(F.concat("url", F.lit(".old")).alias("url"), html.alias("html")))
+    segments = FI.first_reconciled(FI.reconciled_segments(FI.segment_pairs(RT.segment_tables(spark, d))))
+    out = FI.chosen_profiles(chosen, pages, segments)
+    return out.select(
+        "symbol", "cik", "industry", "form", "filed_at", "period", "source_url", F.md5("business_summary").alias("summary_digest"), F.col("found.revenue_segments").alias("has_segments"),
+        F.round("revenue_segments.total", 3).alias("total"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_thresholds, scan_texts, wide_overview, wide_verification_counts, facts_voted, landed_taxonomies, reported_per_share, leaders_without_breaks, report_choice, segment_shares_varied,
-        index_file_dates, topic_windows, filing_profiles_segments,
+        index_file_dates, topic_windows, filing_profiles_segments, chosen_filing_profiles,
+        exchange_symbols_markets,
     )
 }
 
@@ -331,6 +360,25 @@ island AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNB
 merged AS (SELECT doc_id, i, min(a) AS a, max(b) AS b FROM island GROUP BY 1, 2),
 told AS (SELECT doc_id, string_agg(substring(body, a + 1, b - a), chr(10) || '[...]' || chr(10) ORDER BY a) AS told FROM merged JOIN (SELECT doc_id, body FROM b) USING (doc_id) GROUP BY 1)
 SELECT doc_id, length(told) AS chars, md5(told) AS digest FROM told""",
+    "exchange_symbols_markets": S.with_(S.LISTING, """
+c AS (
+  SELECT *, CAST(substr(symbol, 2) AS INT) AS n FROM listing
+),
+k AS (
+  SELECT market, n, CASE market WHEN 'HK' THEN lpad(n::VARCHAR, CASE WHEN n % 2 = 0 THEN 4 ELSE 5 END, '0') || '.HK' WHEN 'TH' THEN symbol || '.BK'
+    WHEN 'CN' THEN lpad(n::VARCHAR, 6, '6') || CASE n % 3 WHEN 0 THEN '.SS' WHEN 1 THEN '.SZ' ELSE '' END ELSE symbol END AS code, symbol FROM c
+)""")
+    + """SELECT code, market, CASE market WHEN 'HK' THEN 'HKEX:' || n WHEN 'TH' THEN 'SET:' || symbol
+  WHEN 'CN' THEN CASE n % 3 WHEN 0 THEN 'SSE:' || lpad(n::VARCHAR, 6, '6') WHEN 1 THEN 'SZSE:' || lpad(n::VARCHAR, 6, '6') ELSE code END ELSE code END AS shown FROM k""",
+    "chosen_filing_profiles": S.with_(f"""
+p AS (SELECT l_suppkey AS k, round(sum(l_quantity), 0) AS v FROM lineitem GROUP BY l_suppkey, l_returnflag),
+t AS (SELECT k, sum(v) AS t, count(*) AS parts FROM p GROUP BY 1),
+ok AS (SELECT * FROM t WHERE parts >= 2 AND k % 4 <> 0),
+c AS ({RSO.SQL["annual_filing_choice"]}),
+n AS (SELECT c.*, s_suppkey AS k, s_name AS name FROM c JOIN supplier ON c.symbol = 'S' || s_suppkey)""")
+    + """SELECT symbol, lpad(k::VARCHAR, 10, '0') AS cik, industry, form, '2001-02-20' AS filed_at, '2000-12-31' AS period, url AS source_url,
+  md5(trim(repeat(name || ' sells parts to many buyers. ', 6))) AS summary_digest, ok.k IS NOT NULL AS has_segments, round(t / 1000, 3) AS total
+FROM n LEFT JOIN ok USING (k) WHERE k % 4 <> 1""",
     "filing_profiles_segments": """WITH p AS (SELECT l_suppkey AS k, round(sum(l_quantity), 0) AS v FROM lineitem GROUP BY l_suppkey, l_returnflag),
 t AS (SELECT k, sum(v) AS t, count(*) AS parts FROM p GROUP BY 1),
 ok AS (SELECT * FROM t WHERE parts >= 2 AND k % 4 <> 0)

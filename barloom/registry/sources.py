@@ -192,8 +192,8 @@ def fx_freshness(spark, d):
     return H.fx_health(rates, stamp, "2001-11-02")
 
 
-def annual_filing_choice(spark, d):
-    """A regulator's submissions: the first annual report that is a page."""
+def chosen_filings(spark, d):
+    """The first annual report that is a page, of each company's submissions."""
     n = _number()
     forms = F.array(F.lit("8-K"), F.when(n % 3 == 0, "10-K").otherwise("10-Q"), F.when(n % 2 == 0, "20-F").otherwise("10-K"), F.lit("10-K"))
     pages = F.array(F.lit("a.htm"), F.lit("b.pdf"), F.when(n % 5 == 0, "c.txt").otherwise("c.HTM"), F.lit("d.html"))
@@ -203,7 +203,12 @@ def annual_filing_choice(spark, d):
     )
     body = F.to_json(F.struct(F.col("name").alias("name"), F.col("sector").alias("sicDescription"), F.struct(recent.alias("recent")).alias("filings")))
     rows = T.listing(spark, d).select("symbol", F.concat(F.lit("000"), n.cast("string")).alias("cik"), body.alias("body"))
-    out = LJ.latest_annual_filing(rows)
+    return LJ.latest_annual_filing(rows)
+
+
+def annual_filing_choice(spark, d):
+    """A regulator's submissions: the first annual report that is a page."""
+    out = chosen_filings(spark, d)
     return out.select("symbol", "industry", "form", "url", filing_url(F.col("cik"), F.lit("0-0-9")).alias("index_url"))
 
 
