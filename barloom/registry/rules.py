@@ -61,6 +61,14 @@ def wide_verification_counts(spark, d):
     return SC.verification_counts(_published_wide(spark, d))
 
 
+def scan_decisions(spark, d):
+    """The decision summary of every result, field by field."""
+    s = lambda name: F.col(f"decision_summary.{name}")
+    names = ("technical.pass", "technical.label", "financials.verified", "financials.data_verified", "financials.detail", "valuation.verified", "valuation.label",
+             "valuation.detail", "risk.label", "risk.wide", "risk.detail", "evidence.tradeable", "evidence.label", "evidence.pattern")
+    return _published_wide(spark, d).select("symbol", *[s(n).alias(n.replace(".", "_")) for n in names])
+
+
 def scan_thresholds(spark, d):
     out = _wide_scan(spark, d, min_score=LEAST_SCORE, min_liquidity=LEAST_LIQUIDITY)
     return out.select(
@@ -97,6 +105,13 @@ def facts_voted(spark, d):
     return annual.select(*columns, F.lit("FY").alias("quarter")).unionByName(quarters.select(*columns, "quarter"))
 
 
+def facts_provenance(spark, d):
+    """Where each accepted revenue and asset value comes from: concept, dates, form and filing."""
+    annual, _, _ = CF.normalize(RT.raw_facts(spark, d))
+    rows = annual.select("symbol", "fiscal_year", F.explode("metric_sources").alias("metric", "s")).where("metric IN ('total_revenue', 'total_assets')")
+    return rows.select("symbol", "fiscal_year", "metric", "s.kind", "s.concept", "s.period_start", "s.filed_at", "s.source_form", "s.accession")
+
+
 def landed_taxonomies(spark, d):
     """Company-facts bodies with the same values under two taxonomies: the first one's count."""
     lines = T.table(spark, d, "lineitem").groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.year("l_shipdate").alias("y")).agg(
@@ -231,7 +246,7 @@ def chosen_filing_profiles(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_thresholds, scan_texts, wide_overview, wide_verification_counts, facts_voted, landed_taxonomies, reported_per_share, leaders_without_breaks, report_choice, segment_shares_varied,
+        scan_thresholds, scan_texts, scan_decisions, wide_overview, wide_verification_counts, facts_voted, facts_provenance, landed_taxonomies, reported_per_share, leaders_without_breaks, report_choice, segment_shares_varied,
         index_file_dates, topic_windows, filing_profiles_segments, chosen_filing_profiles,
         exchange_symbols_markets,
     )
@@ -316,6 +331,19 @@ SQL = {
   {_label('val', 72, 'Attractive', 55, 'Fair', 'Expensive')} || ' / price against value / ' || {_joined(*_PRICE)} AS valuation,
   grade || ' / ' || sd.symbol || ': ' || decision || ' / technical ' || {n('tech', 1)} || ', financial ' || {n('fin', 1)} || '; business ' || {n(_BIZ, 1)} || ', valuation ' || {n('val', 1)} AS report
 FROM sd JOIN told ON told.symbol = sd.symbol JOIN rev ON rev.symbol = sd.symbol JOIN (SELECT symbol, price_as_of FROM tm) t ON t.symbol = sd.symbol""",
+    "scan_decisions": _WIDE
+    + f"""SELECT sd.symbol, NOT bearish AS technical_pass, names AS technical_label, history AS financials_verified, true AS financials_data_verified,
+  'ROE ' || {n('roe', 1)} || '%, D/E ' || {n('debt_to_equity', 2)} || ', growth ' || {n('revenue_growth', 1)} || '%' AS financials_detail,
+  valued AS valuation_verified, {RS._VERDICT} AS valuation_label, {_NOTE} AS valuation_detail,
+  'stop ' || {n('CASE WHEN bearish THEN short_stop ELSE long_stop END', 2)} || ' ' || trading AS risk_label,
+  CASE WHEN bearish THEN short_risk ELSE long_risk END / r3.last_price * 100 > 12 AS risk_wide,
+  'entry ' || {n('r3.last_price', 2)} || ', first target ' || {n('CASE WHEN bearish THEN st[1] ELSE lt[1] END', 2)} || ', R:R '
+    || {n('CASE WHEN bearish THEN 3.0::DOUBLE ELSE (lt[3] - r3.last_price) / long_risk END', 2)} AS risk_detail,
+  verdict = 'edge' AS evidence_tradeable, verdict AS evidence_label, chosen.name AS evidence_pattern
+FROM sd JOIN told ON told.symbol = sd.symbol JOIN r3 ON r3.symbol = sd.symbol
+  JOIN (SELECT h.symbol, h.name, row_number() OVER (PARTITION BY h.symbol ORDER BY CASE WHEN ev.verdict = 'edge' THEN 2 WHEN ev.verdict IS NOT NULL THEN 1 ELSE 0 END DESC,
+    CASE WHEN ev.verdict = 'edge' THEN return_edge_pp ELSE coalesce(nullif(return_edge_pp, 0), -999) END DESC, ord) AS pick FROM last_hits h LEFT JOIN ev ON ev.pattern = h.name) chosen
+  ON chosen.symbol = sd.symbol AND chosen.pick = 1""",
     "wide_overview": _WIDE
     + """, bm AS (SELECT market, count(*) AS n, max(final) AS best FROM sd GROUP BY 1)
 SELECT (SELECT count(*) FROM sd) AS results, round((SELECT max(final) FROM sd), 5) AS best_score, (SELECT count(*) FROM sd WHERE grade IN ('A', 'A+')) AS top_grades,
@@ -331,6 +359,10 @@ s AS (SELECT k, CASE WHEN 2 * ahead >= filings THEN 1 ELSE 0 END AS shift FROM v
 SELECT 'S' || k AS symbol, fy + shift AS fiscal_year, make_date(fy, 12, 31) AS period_end, round(sum(p), 4) AS total_revenue, 'FY' AS quarter FROM l JOIN s USING (k) WHERE fy % 5 <> 3 GROUP BY k, fy, shift
 UNION ALL
 SELECT 'S' || k, fy + shift, last_day(make_date(fy, q * 3, 1)), round(sum(p), 4), 'Q' || q FROM l JOIN s USING (k) WHERE q < 4 AND NOT (k % 3 = 0 AND q = 2) GROUP BY k, fy, q, shift""",
+    "facts_provenance": """WITH y AS (SELECT DISTINCT l_suppkey AS k, year(l_shipdate) AS fy FROM lineitem)
+SELECT 'S' || k AS symbol, fy AS fiscal_year, metric, 'reported' AS kind, CASE WHEN metric = 'total_assets' THEN 'us-gaap:Assets' WHEN k % 7 = 0 THEN 'ifrs-full:Revenue' ELSE 'us-gaap:Revenues' END AS concept,
+  CASE WHEN metric = 'total_revenue' THEN make_date(fy, 1, 1) END AS period_start, make_date(fy, 12, 31) + 50 AS filed_at, '10-K' AS source_form, 'S' || k || '-K-' || fy AS accession
+FROM y, (VALUES ('total_revenue'), ('total_assets')) AS m(metric)""",
     "landed_taxonomies": """SELECT 'S' || l_suppkey AS symbol, year(l_shipdate) AS fiscal_year, round(sum(l_extendedprice), 2) AS total_revenue, round(round(sum(l_extendedprice), 2) * 2, 2) AS net_income,
   round(round(sum(l_extendedprice), 2) * 4, 2) AS total_assets FROM lineitem GROUP BY l_suppkey, year(l_shipdate)""",
     "reported_per_share": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 OR (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0) THEN o_totalprice * 2 END AS basic_eps,
