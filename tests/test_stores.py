@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import patterns as P
+from barloom.operators import statements as ST
 from barloom.operators import universe as U
 from barloom.registry import scan as RS
 from barloom.registry import stores
@@ -151,6 +152,22 @@ def test_profiles_of_another_version_are_not_read(spark, tmp_path):
     assert [r.symbol for r in read.collect()] == ["B"] and "PushedFilters: [IsNotNull(schema_version), EqualTo(schema_version,2)]" in plan_of(read)
 
 
+def test_freshness_reaches_the_scan_of_the_store(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = spark.createDataFrame([("A", "2024-03-01"), ("B", "2024-01-01")], "symbol string, day string").select("symbol", F.col("day").cast("timestamp").alias("fetched_at"))
+    sinks.refresh_store(rows, path)
+    fresh = ST.fresh_store(sinks.read_store(spark, path, ["A", "B"]), "2024-03-05")
+    assert [r.symbol for r in fresh.collect()] == ["A"]
+    assert "GreaterThanOrEqual(fetched_at" in plan_of(fresh) and "bucket" in plan_of(fresh).split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_reported_per_share_values_stay(spark):
+    schema = "k int, derived_from_annual boolean, basic_eps double, derived_metrics array<string>, metric_sources map<string,struct<kind:string>>"
+    rows = [(1, False, 1.0, ["basic_eps"], None), (2, True, 1.0, None, {"basic_eps": ("reported",)}), (3, True, 1.0, ["basic_eps"], {"basic_eps": ("reported",)}), (4, True, 1.0, [], {"basic_eps": ("derived",)}), (5, True, 1.0, [], None)]
+    got = {r.k: r.basic_eps for r in ST.without_derived_per_share(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: None, 4: None, 5: None}
+
+
 # --- evidence and scans -------------------------------------------------------------------
 
 
