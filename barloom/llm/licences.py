@@ -21,6 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.numeric import computed_once
 from barloom.llm.staging import staged
 
 #: The words of licences. Short forms, titles and notices; several of one name are alternatives.
@@ -258,11 +259,12 @@ def licences(
     name. Null texts have no header; a file with a null path inherits nothing and
     gives nothing. Rows that repeat a path are judged each by its own text.
     """
-    spread = files.select(F.struct("*").alias("file"), F.col(path).alias("path"), headers(F.col(text), F.col(path)).alias("headers"))
-    # The long texts end here: what follows reads rows of a few bytes.
+    whole = files.select(F.struct("*").alias("file"), F.col(path).alias("path"), F.col(text).alias("text"))
+    # Both are made through a one-row generator: filters on them must not copy them into every use.
+    spread = computed_once(whole, {"headers": headers(F.col("text"), F.col("path"))}).drop("text")
     vocabulary = sorted({w for _, t in templates for w in terms_of(t)})
     total, counts = header_counts(spread, vocabulary)
-    best = spread.withColumn("best", best_template(templates, total, counts))
+    best = computed_once(spread, {"best": best_template(templates, total, counts)})
     judged = best.select("file", folder_of(F.col("path")).alias("folder"), F.when(F.col("best.score") >= least, F.col("best")).alias("own"), "best")
     stated = judged.where("own IS NOT NULL AND folder IS NOT NULL").groupBy("folder", F.col("own.licence").alias("licence")).agg(F.count("*").alias("n"))
     stated = staged(stated, "stated")
