@@ -53,45 +53,45 @@ def test_jaccard_null_keys_and_empty(spark):
     assert jaccard_join.linked(cases.empty(spark)).count() == 0
 
 
-def link_chain():
+def link_chain(seed):
     """Three texts where only the middle one is linked with both others."""
-    w = cases.prose(21, 104).split()
-    a, n, b = w[:100], w[1:101] + ["n1"], w[2:102] + ["b1", "b2", "b3", "b4", "b5", "b6", "b7", "b8", "b9"]
+    w = cases.prose(seed, 104).split()
+    a, n, b = w[:100], w[1:101] + ["n1"], w[2:102] + [f"b{k}" for k in range(9)]
     return [" ".join(x) for x in (a, n, b)]
 
 
 def group_cases():
-    a, n, b = link_chain()
-    other, one_more = cases.prose(22, 60), cases.prose(22, 60) + " more"
-    return {
-        "named middle": [(1, a), (2, n), (3, b)],
-        "keyless middle": [(1, a), (None, n), (3, b)],
-        "keyless copies in the middle": [(4, a), (None, n), (None, n), (3, b)],
-        "key of two texts": [(3, a), (7, a + " tail"), (7, other), (9, one_more)],
-        "key of two texts, both groups": [(7, a), (7, other), (7, a), (9, one_more), (None, other), (8, None), (8, None), (None, ""), (None, "")],
-        "no keys": [(None, a), (None, n), (None, b), (None, other)],
-        "smallest key is the far end": [(9, a), (None, n), (9, other), (5, b), (9, b)],
-    }
-
-
-@pytest.mark.parametrize("name", list(group_cases()))
-def test_null_and_repeated_keys_match_brute_force(spark, name):
-    texts = group_cases()[name]
+    """Documents of seven cases with texts and keys of their own: named and unnamed middles of chains, keys of two texts."""
+    texts = []
+    for k, keys in enumerate([(1, 2, 3), (1, None, 3), (9, None, 5), (None, None, None)]):
+        chain = link_chain(21 + k)
+        texts += [(None if key is None else 100 * k + key, t) for key, t in zip(keys, chain)]
+        texts += [(None, chain[1])] * (k == 1) + [(209, chain[2])] * (k == 2)
+    a, _, _ = link_chain(30)
+    other = cases.prose(31, 60)
+    texts += [(503, a), (507, a + " tail"), (507, other), (509, other + " more")]
+    a, _, _ = link_chain(32)
+    other = cases.prose(33, 60)
+    texts += [(607, a), (607, other), (607, a), (609, other + " more"), (None, other), (608, None), (608, None), (None, ""), (None, "")]
+    return texts
+
+
+def test_null_and_repeated_keys_match_brute_force(spark):
+    texts = group_cases()
     group, sizes = cases.jaccard_components(texts)
-    least = {}
-    for (key, _), g in zip(texts, group):
-        least[g] = min((k for (k, _), h in zip(texts, group) if h == g and k is not None), default=None)
+    least = {g: min((k for (k, _), h in zip(texts, group) if h == g and k is not None), default=None) for g in group}
     want = Counter((key, n, (least[g] if n else key)) for (key, _), g, n in zip(texts, group, sizes))
     docs = cases.frame(spark, texts)
-    bound = 0 if name == "keyless middle" else jaccard_join.MAX_BROADCAST
-    assert Counter(map(tuple, jaccard_join.linked(docs, max_broadcast=bound).collect())) == want
+    assert Counter(map(tuple, jaccard_join.linked(docs, max_broadcast=0).collect())) == want
     kept = [(r.doc_id, r.text) for r in jaccard_join.representatives(docs).collect()]
-    groups = {g for g, n in zip(group, sizes) if n}
     of_text = {t: g for (_, t), g in zip(texts, group)}
-    assert sorted(of_text[t] for _, t in kept if (t or "").strip()) == sorted(groups)
-    assert all(k == least[of_text[t]] for k, t in kept if (t or "").strip())
+    named = [(k, t) for k, t in kept if (t or "").strip()]
+    # Every group keeps one row, that of its smallest key.
+    assert sorted(of_text[t] for _, t in named) == sorted({g for g, n in zip(group, sizes) if n})
+    assert all(k == least[of_text[t]] for k, t in named)
     blank = [(k, t) for k, t in texts if not (t or "").strip()]
-    assert Counter((k, t) for k, t in kept if not (t or "").strip()) == Counter([x for x in blank if x[0] is None] + list({x for x in blank if x[0] is not None}))
+    once = [x for x in blank if x[0] is None] + list({x for x in blank if x[0] is not None})
+    assert Counter((k, t) for k, t in kept if not (t or "").strip()) == Counter(once)
 
 
 def test_jaccard_without_broadcast(spark):
